@@ -17,48 +17,61 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SEEN = 4  # places from which a context counts as known
-ENDS = 0.2  # share of them that end a sentence, below which a text that stops there was cut
+ENDS = 0.08  # share of them that end a sentence, below which a text that stops there was cut
+BREAKS = 0.1  # weight of a clause break against an end
 KEYS_HELD = 200_000  # counters a task keeps before it hands them on
 
 _SENTENCE = re.compile(r"(?<=[.?!…])[\"'”’)\]]*\s+|\n+")
 _CLAUSE = re.compile(r"[,;:]\s+|\s[-–—]+\s")
 _OUTER = re.compile(r"^\W+|\W+$")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-_END = re.compile(r"[.?!…。]['\"”’)\]*_]*\s*$")
+_END = re.compile(r"[.?!。]['\"”’)\]*_]*\s*$")
+_MORE = r"(?:\s*(?:\.\.+|…|\[(?:more|read more|continued|\.\.\.|…)\]))+\s*$"  # signs that text was left out
 _TAIL = re.compile(r"(?:\s+(?:[^\w\s]+[\w)(]?|#\w+))+$")  # smileys, hearts, dashes, hashtags
 
 
 def has_end(text: Column) -> Column:
-    """Whether the text ends with an end mark, closing quotes or brackets aside."""
-    return text.rlike(r"[.?!…。]['\"”’)\]*_]*\s*$")
+    """Whether the text ends with an end mark, closing quotes or brackets aside; dots that stand for
+    more text are none."""
+    return F.regexp_replace(text, _MORE, "").rlike(r"[.?!。]['\"”’)\]*_]*\s*$")
 
 
 def words(part: str) -> list[str]:
     return [w for w in (_OUTER.sub("", _NUMBER.sub("0", x)) for x in part.lower().split()) if w]
 
 
-def places(text: str) -> Iterator[tuple[str, str, str, str, bool | None]]:
-    """Opening, word before, word, whole last sentence, ended (None: the open end of the text)."""
-    parts = [p for p in _SENTENCE.split(text) if p and p.strip()]
+MID, BREAK, END, OPEN = range(4)  # after a word: another word, a clause break, the sentence's end, the open end of the text
+
+
+def places(text: str) -> Iterator[tuple[list[str], int, str, int]]:
+    """Clause, place in it, whole last sentence, what comes after the place."""
+    parts = [p for p in _SENTENCE.split(re.sub(_MORE, "", text)) if p and p.strip()]
     for k, sentence in enumerate(parts):
         closed = bool(_END.search(sentence)) or k + 1 < len(parts)
         clauses = [c for c in (words(x) for x in _CLAUSE.split(_TAIL.sub("", sentence))) if c]
         for j, clause in enumerate(clauses):
-            opening, final = " ".join(clause[:2]), j + 1 == len(clauses)
-            for i, w in enumerate(clause):
-                here = final and i + 1 == len(clause)
-                yield opening, clause[i - 1] if i else "", w, sentence if here else "", (True if closed else None) if here else False
+            for i in range(len(clause)):
+                after = MID if i + 1 < len(clause) else BREAK if j + 1 < len(clauses) else END if closed else OPEN
+                yield clause, i, sentence, after
+
+
+def contexts(clause: list[str], i: int) -> tuple[str, str, str, str]:
+    opening, before, w = " ".join(clause[:2]), clause[i - 1] if i else "", clause[i]
+    return f"A {opening}|{w}", f"D {opening}|{before}", f"B {before}|{w}", f"C {w}"
 
 
-def open_end(text: str) -> tuple[str, str, str, str, bool] | None:
-    """Contexts of the last word of a text without an end mark, its last sentence, and whether it
-    breaks off visibly (at a comma, inside a bracket or quote that nothing closes)."""
+def open_end(text: str) -> tuple[str | None, ...] | None:
+    """The contexts of the last word of a text without an end mark, those of the two words before,
+    the word, its sentence, and whether the text breaks off visibly (at a comma, inside a bracket
+    or quote that nothing closes, with a sign that text was left out)."""
     last = None
-    for opening, before, w, sentence, ended in places(text):
-        if ended is None:
-            last = (opening, before, w, " ".join(words(sentence)))
+    for clause, i, sentence, after in places(text):
+        if after == OPEN:
+            last = clause, i, sentence
     if last is None:
         return None
+    clause, i, sentence = last
+    back = [contexts(clause, i - k) if i >= k else (None, None, None, None) for k in (1, 2)]
     tail = text.rstrip()
     stack: list[str] = []
     for ch in tail:
@@ -67,46 +80,47 @@ def open_end(text: str) -> tuple[str, str, str, str, bool] | None:
         elif ch in ")]}" and stack and stack[-1] == {")": "(", "]": "[", "}": "{"}[ch]:
             stack.pop()
     start = tail[:1]
+    left_out = bool(re.search(_MORE, text))
     unclosed = bool(stack) or (start == '"' and tail.count('"') % 2 == 1)
-    return (*last, tail.endswith((",", ";")) or unclosed)
+    return (*contexts(clause, i), back[0][0], back[0][1], back[1][0], clause[i], "S " + " ".join(words(sentence)), tail.endswith((",", ";")) or unclosed or left_out)
+
+
+_COUNTS = ("mid", "brk", "end", "open")
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, list[int]] = {}
 
     def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(k, *v) for k, v in held.items()], columns=["ctx", "mid", "end", "open"])
+        out = pd.DataFrame([(k, *v) for k, v in held.items()], columns=["ctx", *_COUNTS])
         held.clear()
         return out
 
     for batch in batches:
         for text, times in Counter(t for t in batch["text"].tolist() if t).items():
-            for opening, before, w, sentence, ended in places(text):
-                which = 2 if ended is None else int(ended)
-                for ctx in (f"A {opening}|{w}", f"D {opening}|{before}", f"B {before}|{w}", f"C {w}"):
-                    held.setdefault(ctx, [0, 0, 0])[which] += times
-                if ended is None:
-                    held.setdefault("S " + " ".join(words(sentence)), [0, 0, 0])[2] += times
+            for clause, i, sentence, after in places(text):
+                for ctx in contexts(clause, i):
+                    held.setdefault(ctx, [0, 0, 0, 0])[after] += times
+                if after == OPEN:
+                    held.setdefault("S " + " ".join(words(sentence)), [0, 0, 0, 0])[OPEN] += times
             if len(held) > KEYS_HELD:
                 yield flush()
     yield flush()
 
 
 def ending_counts(texts: DataFrame, column: str) -> DataFrame:
-    """``(ctx, mid, end, open)``: how often each context went on, ended, or was left open."""
-    parts = texts.select(F.col(column).cast("string").alias("text")).mapInPandas(_count, "ctx string, mid bigint, end bigint, open bigint")
-    return parts.groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("mid", "end", "open")])
+    """``(ctx, mid, brk, end, open)``: how often each context went on, broke, ended, or was left open."""
+    parts = texts.select(F.col(column).cast("string").alias("text")).mapInPandas(_count, "ctx string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return parts.groupBy("ctx").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-_OPEN = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "d", "b", "w", "s")] + [T.StructField("broken", T.BooleanType())])
+_KINDS = ("A", "D", "B", "C", "P", "Q", "R")
+_OPEN = T.StructType([T.StructField(c, T.StringType()) for c in (*_KINDS, "w", "S")] + [T.StructField("broken", T.BooleanType())])
 
 
 def _open(text: pd.Series) -> pd.DataFrame:
     rows = [open_end(t) if t else None for t in text]
-    return pd.DataFrame(
-        [(None,) * 6 if r is None else (f"A {r[0]}|{r[2]}", f"D {r[0]}|{r[1]}", f"B {r[1]}|{r[2]}", r[2], "S " + r[3], r[4]) for r in rows],
-        columns=["a", "d", "b", "w", "s", "broken"],
-    )
+    return pd.DataFrame([(None,) * 10 if r is None else r for r in rows], columns=_OPEN.names)
 
 
 def judge_open_ends(texts: DataFrame, key: str, column: str, counts: DataFrame, sure: float = ENDS) -> DataFrame:
@@ -116,25 +130,25 @@ def judge_open_ends(texts: DataFrame, key: str, column: str, counts: DataFrame,
     sentence ends among the places of the context that decided, for callers with more evidence.
     """
     open_ = texts.filter(~has_end(F.col(column))).select(F.col(key).alias("key"), F.pandas_udf(_open, _OPEN)(F.col(column).cast("string")).alias("o")).filter("o.w is not null")
-    asked = open_.select("key", "o.broken", "o.w", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("ctx")) for k, c in (("A", F.col("o.a")), ("D", F.col("o.d")), ("B", F.col("o.b")), ("C", F.concat(F.lit("C "), "o.w")), ("S", F.col("o.s")))])).alias("q"))
-    got = asked.select("key", "broken", "w", "q.kind", "q.ctx").join(counts, "ctx", "left")
-    per = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.coalesce(F.col(c), F.lit(0))))
-    wide = got.groupBy("key", "broken", "w").agg(*[per(k, c).alias(f"{k}_{c}") for k in "ADBCS" for c in ("mid", "end", "open")])
+    asked = open_.select("key", "o.broken", "o.w", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"o.{k}").alias("ctx")) for k in (*_KINDS, "S")])).alias("q"))
+    got = asked.select("key", "broken", "w", "q.kind", "q.ctx").filter("ctx is not null").join(counts, "ctx", "left")
+    per = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    wide = got.groupBy("key", "broken", "w").agg(*[per(k, c).alias(f"{k}_{c}") for k in (*_KINDS, "S") for c in _COUNTS])
     # how much longer words that begin like the last word are used
-    known = counts.filter(F.col("ctx").startswith("C ")).select(F.substring("ctx", 3, 10_000).alias("v"), (F.col("mid") + F.col("end")).alias("n")).filter("n > 0")
-    mass = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("v") - 1, F.lit(1))), lambda i: F.substring(F.col("v"), F.lit(1), i))).alias("w"), "v", "n").filter("w <> v").groupBy("w").agg(F.sum("n").alias("mass"))
+    known = counts.filter(F.col("ctx").startswith("C ")).select(F.substring("ctx", 3, 10_000).alias("v"), (F.col("mid") + F.col("brk") + F.col("end")).alias("n")).filter("n > 0 and length(v) between 2 and 40")
+    mass = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("v") - 1), lambda i: F.substring(F.col("v"), F.lit(1), i))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("mass"))
     wide = wide.join(mass, "w", "left").withColumn("mass", F.coalesce("mass", F.lit(0)))
-    n = lambda k: F.col(f"{k}_mid") + F.col(f"{k}_end")
-    share = lambda k: F.when(n(k) >= SEEN, F.col(f"{k}_end") / n(k))
-    known_word = (n("C") >= 2) | (n("C") + F.col("C_open") >= 5) & (F.col("C_open") > F.col("mass") * 0.02)
-    # a stock close that texts use again and again and never go on from
-    stock = (F.col("S_open") >= 5) & (F.col("C_open") > F.col("mass") * 0.02) & (F.col("A_mid") == 0)
-    tail_word = (F.col("C_open") >= 5) & (F.col("C_open") > 4 * F.col("C_mid")) & (F.col("C_open") > F.col("mass") * 0.02)
-    fragment = ~known_word & (F.col("mass") > 0)
-    after = F.when(F.col("D_mid") + F.col("D_end") >= SEEN, F.col("D_end") / (F.col("D_mid") + F.col("D_end")))
+    # a text is seldom cut right at a clause break, so breaks weigh little against ends
+    n = lambda k: F.col(f"{k}_mid") + F.col(f"{k}_brk") * BREAKS + F.col(f"{k}_end")
+    share = lambda k: F.when(F.col(f"{k}_mid") + F.col(f"{k}_brk") + F.col(f"{k}_end") >= SEEN, F.col(f"{k}_end") / n(k))
+    uses = F.col("C_mid") + F.col("C_brk") + F.col("C_end")
+    often = (F.col("C_open") >= 5) & (F.col("C_open") > F.col("mass") * 0.02)  # ends open too often to be a fragment
+    stock = (F.col("S_open") >= 5) & often & (F.col("A_mid") + F.col("A_brk") == 0)  # a close that texts use again and again
+    added = often & (F.col("B_mid") == 0) & ((F.col("C_open") > 4 * uses) | (F.greatest(share("P"), share("Q"), share("R")) >= ENDS))  # a word after a whole sentence
+    fragment = (uses < 2) & ~often & (F.col("mass") > 0)
     chance = (
-        F.when(stock | tail_word, 1.0)
+        F.when(stock | added, 1.0)
         .when(fragment, 0.0)
-        .otherwise(F.coalesce(share("A"), F.when(n("C") >= SEEN, F.least(after, F.coalesce(share("C"), F.lit(1.0)))), F.when(n("C") < SEEN, after), share("B"), share("C"), F.when(n("C") == 0, 0.0), F.lit(0.5)))
+        .otherwise(F.coalesce(share("A"), F.when(uses >= SEEN, F.least(share("D"), F.coalesce(share("C"), F.lit(1.0)))).otherwise(share("D")), share("B"), share("C"), F.when(uses == 0, 0.0), F.lit(0.5)))
     )
     return wide.select("key", F.when(F.col("broken"), 0.0).otherwise(chance).alias("chance")).select("key", (F.col("chance") < sure).alias("broken"), "chance")
