@@ -4,7 +4,7 @@ Rows carry few distinct spellings next to their number, so nothing is parsed per
 
 1. every raw string (a date with its helpers, a clock time with its AM/PM field, a whole stamp)
    goes once into a dictionary keyed by source and string;
-2. the dictionary is parsed exhaustively with built-in expressions;
+2. the dictionary is parsed exhaustively, each string once;
 3. it may be kept as a Parquet table and is then only extended by strings it lacks;
 4. distinct local times with their zone are turned into instants in a second dictionary;
 5. both are joined back to the rows.
@@ -12,9 +12,12 @@ Rows carry few distinct spellings next to their number, so nothing is parsed per
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Zone abbreviations and their offsets from UTC in minutes.
 ABBREVIATIONS = {
@@ -27,111 +30,138 @@ ABBREVIATIONS = {
 # English month names by their first three letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_MON = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
-_DAY = r"(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
-_CLOCK = r"(\d{1,2})[:.h](\d{2})(?:[:.](\d{2})(?:[.,]\d+)?)?(?:\s*([ap])\.?(?:m\.?)?(?![a-z]))?"
-_ZONE = r"\s*((?:gmt|utc)?\s*[+-]\d{2}(?::?\d{2})?|[a-z]{1,4})?"
+_MON = r"(" + "|".join(MONTHS) + r")[a-z]*\.?"
+_DAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
+_ISO = re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:[t ]?(\d{1,2}[:.h].*))?")
+_TWO = re.compile(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})(?: (.*))?")
+_COMPACT = re.compile(r"(\d{4})(\d{2})(\d{2})(?:t?(\d{4}(?:\d{2})?)(?!\d)(.*))?")
+_DMY = re.compile(_DAY + r"(\d{1,2})(?:st|nd|rd|th)?[ -]" + _MON + r",?[ -](\d{4}|\d{2})(?: (.*))?")
+_MDY = re.compile(_DAY + _MON + r"[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -](\d{4})(?: (.*))?")
+_CLOCK = re.compile(r"(\d{1,2})[:.h](\d{2})(?:[:.](\d{2})(?:[.,]\d+)?)?(?:\s*([ap])\.?(?:m\.?)?(?![a-z]))?\s*(.*)")
+_OFFSET = re.compile(r"(?:gmt|utc)?([+-])(\d{2})(?::?(\d{2}))?")
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    got = F.regexp_extract(text, pattern, group)
-    return F.when(got != "", got)
+def month_number(text: str | None) -> int | None:
+    """1 to 12 from a number or an English month name in any case; else None."""
+    low = (text or "").strip().lower()
+    if low.isdigit():
+        return int(low) if 1 <= int(low) <= 12 else None
+    return MONTHS.index(low[:3]) + 1 if low[:3] in MONTHS else None
 
 
-def _int(c: Column) -> Column:
-    return c.try_cast("int")
+def year_number(text: str | None) -> int | None:
+    """A four-digit year, or 20yy for two digits, with any sign around; else None."""
+    m = re.fullmatch(r"\D*(\d{4}|\d{2})\D*", (text or "").strip())
+    return None if m is None else _year(m[1])
 
 
-def month_number(text: Column) -> Column:
-    """1 to 12 from a number or an English month name in any case; else null."""
-    low = F.lower(F.trim(text))
-    named = F.coalesce(*[F.when(low.startswith(m), F.lit(i)) for i, m in enumerate(MONTHS, 1)])
-    number = _int(_part(low, r"^(\d{1,2})$", 1))
-    return F.when(number.between(1, 12), number).otherwise(named)
+def _year(digits: str) -> int:
+    return int(digits) + (2000 if len(digits) == 2 else 0)
 
 
-def year_number(text: Column) -> Column:
-    """A four-digit year, or 20yy for two digits, with any sign around; else null."""
-    digits = _part(F.trim(text), r"^\D*(\d{4}|\d{2})\D*$", 1)
-    return F.when(F.length(digits) == 2, _int(digits) + 2000).otherwise(_int(digits))
+def offset_seconds(zone: str) -> int | None:
+    """Seconds east of UTC of a written offset or abbreviation; None where it is none.
 
+    An offset after GMT or UTC counts as written (GMT-05:00 is five hours west).
+    """
+    z = re.sub(r"\s", "", zone.lower())
+    m = _OFFSET.fullmatch(z)
+    if m:
+        hours, minutes = int(m[2]), int(m[3] or 0)
+        return (1 if m[1] == "+" else -1) * (hours * 3600 + minutes * 60) if hours <= 14 and minutes < 60 else None
+    known = ABBREVIATIONS.get(z.upper())
+    return None if known is None else known * 60
+
+
+def parse_date(date: str | None, month: str | None = None, year: str | None = None, order: str = "either") -> tuple[int | None, str | None, int | None]:
+    """``(day, rest, epoch)`` of a written date: days since 1970, the clock written behind it, or
+    an epoch second; all None where it is no date.
+
+    ``order`` says how two small numbers before a year are read: ``either`` lets ``month`` decide
+    (none, where it is null and they differ), ``written`` puts the month first with slashes or
+    dashes, the day first with dots. A month or year that contradicts the date makes it none.
+    """
+    s = " ".join((date or "").lower().split())
+    if re.fullmatch(r"\d{10}|\d{13}", s):
+        return None, None, int(s) // (1000 if len(s) == 13 else 1)
+    rest: str | None
+    if m := _ISO.fullmatch(s):
+        y, mo, d, rest = int(m[1]), int(m[3]), int(m[4]), m[5]
+    elif m := _COMPACT.fullmatch(s):
+        y, mo, d = int(m[1]), int(m[2]), int(m[3])
+        rest = m[4] and ":".join(m[4][i : i + 2] for i in range(0, len(m[4]), 2)) + m[5]
+    elif m := _TWO.fullmatch(s):
+        a, b, y, rest = int(m[1]), int(m[3]), _year(m[4]), m[5]
+        told = month_number(month)
+        if order == "written":
+            day_first = m[2] == "."
+        elif a > 12 or b > 12:
+            day_first = a > 12
+        elif a != b and told not in (a, b):
+            return None, None, None
+        else:
+            day_first = a == b or told == b
+        d, mo = (a, b) if day_first else (b, a)
+    elif m := _DMY.fullmatch(s):
+        d, mo, y, rest = int(m[1]), MONTHS.index(m[2]) + 1, _year(m[3]), m[4]
+    elif m := _MDY.fullmatch(s):
+        d, mo, y, rest = int(m[2]), MONTHS.index(m[1]) + 1, int(m[3]), m[4]
+    else:
+        return None, None, None
+    told_m, told_y = month_number(month), year_number(year)
+    if told_m not in (None, mo) or told_y not in (None, y) or not 1900 <= y <= 2100:
+        return None, None, None
+    try:
+        return datetime.date(y, mo, d).toordinal() - 719163, rest or None, None
+    except ValueError:
+        return None, None, None
 
-def offset_seconds(zone: Column) -> Column:
-    """Seconds east of UTC of a written offset or abbreviation; null where it is none.
 
-    An offset after GMT or UTC counts as written (GMT-05:00 is five hours west).
+def parse_clock(time: str | None, ampm: str | None = None) -> tuple[int | None, int | None]:
+    """``(seconds, offset)`` of a clock time: since midnight, and its written offset or None; both
+    None where it is not whole.
+
+    Missing seconds count as zero. AM beside an hour above 12 or two unlike marks are contradictions.
     """
-    z = F.upper(F.regexp_replace(zone, r"\s", ""))
-    sign = F.when(z.contains("-"), -1).otherwise(1)
-    hours, minutes = _int(_part(z, r"[+-](\d{2})", 1)), F.coalesce(_int(_part(z, r"[+-]\d{2}:?(\d{2})$", 1)), F.lit(0))
-    known = F.coalesce(*[F.when(z == k, F.lit(v * 60)) for k, v in ABBREVIATIONS.items()])
-    written = F.when((hours <= 14) & (minutes < 60), sign * (hours * 3600 + minutes * 60))
-    return F.when(z.rlike(r"^(GMT|UTC)?[+-]\d{2}(:?\d{2})?$"), written).otherwise(known)
+    s = re.sub(r"^(\d{2})(\d{2})$", r"\1:\2", " ".join((time or "").lower().split()))
+    m = _CLOCK.fullmatch(s)
+    if not m:
+        return None, None
+    hour, minute, second, inner, zone = int(m[1]), int(m[2]), int(m[3] or 0), m[4], m[5]
+    beside = re.sub(r"[^a-z]", "", (ampm or "").lower())[:1]
+    beside = beside if beside in ("a", "p") else None
+    mark = inner or beside
+    if (inner and beside and inner != beside) or (mark == "a" and hour > 12) or (mark == "p" and hour == 0):
+        return None, None
+    hour = 0 if mark == "a" and hour == 12 else hour + 12 if mark == "p" and hour < 12 else hour
+    offset = offset_seconds(zone) if zone else None
+    if hour > 23 or minute > 59 or second > 59 or (zone and offset is None):
+        return None, None
+    return hour * 3600 + minute * 60 + second, offset
 
 
-def _yyyy(c: Column) -> Column:
-    return F.when(F.length(c) == 2, _int(c) + 2000).otherwise(_int(c))
+_DATE_TYPE = T.StructType([T.StructField("day", T.LongType()), T.StructField("rest", T.StringType()), T.StructField("epoch", T.LongType())])
+_CLOCK_TYPE = T.StructType([T.StructField("seconds", T.LongType()), T.StructField("offset", T.LongType())])
 
 
-def parse_date(date: Column, month: Column, year: Column, order: str = "either") -> Column:
-    """Struct ``(day DATE, rest STRING, epoch BIGINT)`` of a written date, or null.
+def _none(v: object) -> str | None:
+    return v if isinstance(v, str) else None
 
-    ``rest`` is what follows an ISO date (its clock and zone). ``order`` says how two small
-    numbers before a year are read: ``either`` lets ``month`` decide (none, where it is null and
-    they differ), ``written`` puts the month first with slashes or dashes, the day first with dots.
-    A month or year that contradicts the date makes it null.
-    """
-    s = F.lower(F.trim(F.regexp_replace(date, r"\s+", " ")))
-    m, y = month_number(month), year_number(year)
-
-    def struct(yy: Column, mm: Column, dd: Column, rest: Column) -> Column:
-        agrees = (m.isNull() | (m == mm)) & (y.isNull() | (y == yy)) & yy.between(1900, 2100)
-        day = F.when(agrees, F.try_to_date(F.format_string("%04d-%02d-%02d", yy, mm, dd), "yyyy-MM-dd"))
-        return F.struct(day.alias("day"), rest.alias("rest"), F.lit(None).cast("bigint").alias("epoch"))
-
-    iso = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:(?:t| )?(\d{1,2}[:.].*))?$"
-    two = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})(?: (.*))?$"
-    a, b, yy = _int(F.regexp_extract(s, two, 1)), _int(F.regexp_extract(s, two, 3)), _yyyy(F.regexp_extract(s, two, 4))
-    if order == "either":
-        day_first = F.when(a > 12, True).when(b > 12, False).when(a == b, True).when(m == b, True).when(m == a, False)
-    else:
-        day_first = F.regexp_extract(s, two, 2) == "."
-    compact = r"^(\d{4})(\d{2})(\d{2})(?:t?(\d{4,6}.*))?$"
-    dmy = r"^(?:" + _DAY + r")?(\d{1,2})(?:st|nd|rd|th)?[ -]" + _MON + r",?[ -](\d{4}|\d{2})(?: (.*))?$"
-    mdy = r"^(?:" + _DAY + r")?" + _MON + r"[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -](\d{4})(?: (.*))?$"
-    e = lambda p, i: F.regexp_extract(s, p, i)
-    clock = F.regexp_replace(F.regexp_replace(e(compact, 4), r"^(\d{2})(\d{2})(\d{2})(?!\d)", "$1:$2:$3"), r"^(\d{2})(\d{2})(?!\d)", "$1:$2")
-    epoch = F.struct(F.lit(None).cast("date").alias("day"), F.lit("").alias("rest"), F.when(F.length(s) == 13, F.floor(s.try_cast("bigint") / 1000)).otherwise(s.try_cast("bigint")).alias("epoch"))
-    return (
-        F.when(s.rlike(r"^(\d{10}|\d{13})$"), epoch)
-        .when(s.rlike(iso), struct(_int(e(iso, 1)), _int(e(iso, 3)), _int(e(iso, 4)), e(iso, 5)))
-        .when(s.rlike(compact), struct(_int(e(compact, 1)), _int(e(compact, 2)), _int(e(compact, 3)), clock))
-        .when(s.rlike(two) & day_first, struct(yy, b, a, e(two, 5)))
-        .when(s.rlike(two) & ~day_first, struct(yy, a, b, e(two, 5)))
-        .when(s.rlike(dmy), struct(_yyyy(e(dmy, 3)), month_number(e(dmy, 2)), _int(e(dmy, 1)), e(dmy, 4)))
-        .when(s.rlike(mdy), struct(_int(e(mdy, 3)), month_number(e(mdy, 1)), _int(e(mdy, 2)), e(mdy, 4)))
-    )
-
-
-def parse_clock(time: Column, ampm: Column) -> Column:
-    """Struct ``(seconds INT, offset INT)`` of a clock time, or null where it is not whole.
-
-    Seconds since midnight and the written offset, null where none is written. Missing seconds
-    count as zero. AM beside an hour above 12 or two unlike marks are contradictions.
-    """
-    s = F.regexp_replace(F.lower(F.trim(F.regexp_replace(time, r"\s+", " "))), r"^(\d{2})(\d{2})$", "$1:$2")
-    p = "^" + _CLOCK + _ZONE + "$"
-    e = lambda i: F.regexp_extract(s, p, i)
-    h, mi, sec = _int(e(1)), _int(e(2)), F.coalesce(_int(F.when(e(3) != "", e(3))), F.lit(0))
-    zone = e(5)
-    beside = F.substring(F.regexp_replace(F.lower(F.trim(ampm)), r"[^a-z]", ""), 1, 1)
-    inner = e(4)
-    mark = F.when(inner != "", inner).when(F.coalesce(beside, F.lit("")).isin("a", "p"), beside).otherwise("")
-    clash = (inner != "") & F.coalesce(beside, F.lit("")).isin("a", "p") & (inner != beside)
-    hour = F.when((mark == "a") & (h == 12), 0).when((mark == "p") & (h < 12), h + 12).otherwise(h)
-    ok = s.rlike(p) & ~clash & ~((mark == "a") & (h > 12)) & ~((mark == "p") & (h == 0)) & (hour < 24) & (mi < 60) & (sec < 60)
-    offset = offset_seconds(zone)
-    return F.when(ok & ((zone == "") | offset.isNotNull()), F.struct((hour * 3600 + mi * 60 + sec).alias("seconds"), offset.alias("offset")))
+
+def _dates(order: str):
+    def run(d: pd.Series, m: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = [parse_date(_none(a), _none(b), _none(c), order) for a, b, c in zip(d, m, y, strict=True)]
+        return pd.DataFrame({"day": pd.array([r[0] for r in rows], "Int64"), "rest": pd.Series([r[1] for r in rows], dtype="object"), "epoch": pd.array([r[2] for r in rows], "Int64")})
+
+    return F.pandas_udf(run, _DATE_TYPE)
+
+
+def _clocks():
+    def run(t: pd.Series, ap: pd.Series) -> pd.DataFrame:
+        rows = [parse_clock(_none(a), _none(b)) for a, b in zip(t, ap, strict=True)]
+        return pd.DataFrame({"seconds": pd.array([r[0] for r in rows], "Int64"), "offset": pd.array([r[1] for r in rows], "Int64")})
+
+    return F.pandas_udf(run, _CLOCK_TYPE)
 
 
 def local_to_epoch(local_s: Column, zone: Column) -> Column:
@@ -204,15 +234,14 @@ def normalise_instants(
     raw = rows.select(F.col(row_id).alias("row_id"), pick(date).alias("d"), pick(month).alias("m"), pick(year).alias("y"), pick(time).alias("t"), pick(ampm).alias("ap"), pick(zone).alias("zone"))
     raw = raw.filter(F.trim("d") != "").withColumn("t", F.when(F.trim("t") != "", F.trim("t"))).withColumn("ap", F.when(F.col("t").isNotNull(), F.col("ap")))
     at = lambda name: None if dictionary is None else f"{dictionary}/{name}_{order}"
-    days = extend_dictionary(raw, ["d", "m", "y"], {"dd": parse_date(F.col("d"), F.col("m"), F.col("y"), order)}, at("dates"))
-    days = days.filter("dd.day is not null or dd.epoch is not null")
-    clocks = extend_dictionary(raw.filter("t is not null"), ["t", "ap"], {"tt": parse_clock(F.col("t"), F.col("ap"))}, at("clocks")).filter("tt is not null")
-    dated = null_safe_join(raw, days, ["d", "m", "y"], "inner")
-    dated = null_safe_join(dated, clocks, ["t", "ap"], "left")
-    rest = F.when(F.col("dd.rest") != "", F.col("dd.rest"))
-    inner = parse_clock(rest, null)
-    clock = F.when(rest.isNull(), F.col("tt")).when(F.col("t").isNull(), inner)
-    local = dated.select("row_id", "zone", F.col("dd.epoch").alias("epoch"), F.unix_date("dd.day").cast("bigint").alias("day_n"), clock.alias("c"))
+    days = extend_dictionary(raw, ["d", "m", "y"], {"dd": _dates(order)("d", "m", "y")}, at("dates")).filter("dd.day is not null or dd.epoch is not null")
+    clocks = extend_dictionary(raw.filter("t is not null"), ["t", "ap"], {"tt": _clocks()("t", "ap")}, at("clocks")).filter("tt.seconds is not null")
+    # a clock written behind the date joins the dictionary of clocks too
+    inner = extend_dictionary(days.filter("dd.rest is not null").select(F.col("dd.rest").alias("t"), null.alias("ap")), ["t", "ap"], {"rr": _clocks()("t", "ap")}, at("clocks_behind")).filter("rr.seconds is not null").select("t", "rr")
+    days = days.join(inner, F.col("dd.rest") == inner["t"], "left").drop(inner["t"])
+    dated = null_safe_join(null_safe_join(raw, days, ["d", "m", "y"], "inner"), clocks, ["t", "ap"], "left")
+    clock = F.when(F.col("dd.rest").isNull(), F.col("tt")).when(F.col("t").isNull(), F.col("rr"))
+    local = dated.select("row_id", "zone", F.col("dd.epoch").alias("epoch"), F.col("dd.day").alias("day_n"), clock.alias("c"))
     local = local.select("row_id", "epoch", "zone", (F.col("day_n") * 86400 + F.col("c.seconds")).alias("local_s"), F.col("c.offset").alias("offset"))
     stated = local.select("row_id", "zone", "local_s", F.coalesce("epoch", F.col("local_s") - F.col("offset")).alias("epoch_s"))
     zoned = stated.filter("epoch_s is null and local_s is not null and zone is not null")
