@@ -20,22 +20,22 @@ def distinct_tuple_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "select sab, cast(count(*) filter (where score >= 90) as bigint) as high, cast(count(*) filter (where umlsflag = 'true') as bigint) as known, "
-    "round(count(*) filter (where score >= 90) / count(*), 6) as share from content_tag where sab is not null group by sab"
+    "select sab, cast(count(*) filter (where cast(score as double) >= cast(0.9 as double)) as bigint) as high, cast(count(*) filter (where umlsflag = 'Y') as bigint) as known, "
+    "round(count(*) filter (where cast(score as double) >= cast(0.9 as double)) / count(*), 6) as share from content_tag where sab is not null group by sab"
 )
 def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "content_tag").filter("sab is not null")
-    return t.groupBy("sab").agg(F.count_if(F.col("score") >= 90).alias("high"), F.count_if(F.col("umlsflag") == "true").alias("known"), F.round(F.count_if(F.col("score") >= 90) / F.count("*"), 6).alias("share"))
+    return t.groupBy("sab").agg(F.count_if(F.col("score").cast("double") >= 0.9).alias("high"), F.count_if(F.col("umlsflag") == "Y").alias("known"), F.round(F.count_if(F.col("score").cast("double") >= 0.9) / F.count("*"), 6).alias("share"))
 
 
-@query("select (score > 80) as good, count(*) as n from content_tag group by 1")
+@query("select (cast(score as double) > cast(0.8 as double)) as good, count(*) as n from content_tag group by 1")
 def group_by_condition(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "content_tag").groupBy((F.col("score") > 80).alias("good")).agg(F.count("*").alias("n"))
+    return table(spark, d, "content_tag").groupBy((F.col("score").cast("double") > 0.8).alias("good")).agg(F.count("*").alias("n"))
 
 
-@query("select sab, count(distinct case when score > 80 then cui end) as good_concepts from content_tag group by sab")
+@query("select sab, count(distinct case when cast(score as double) > cast(0.8 as double) then cui end) as good_concepts from content_tag group by sab")
 def conditional_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "content_tag").groupBy("sab").agg(F.count_distinct(F.when(F.col("score") > 80, F.col("cui"))).alias("good_concepts"))
+    return table(spark, d, "content_tag").groupBy("sab").agg(F.count_distinct(F.when(F.col("score").cast("double") > 0.8, F.col("cui"))).alias("good_concepts"))
 
 
 @query("select cui, n from (select cui, count(*) as n from content_tag where cui is not null group by cui) where n >= 20")
