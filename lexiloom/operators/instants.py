@@ -19,6 +19,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..runtime import cut
+
 # Zone abbreviations and their offsets from UTC in minutes.
 ABBREVIATIONS = {
     "Z": 0, "UTC": 0, "GMT": 0, "UT": 0,
@@ -236,14 +238,16 @@ def normalise_instants(
     at = lambda name: None if dictionary is None else f"{dictionary}/{name}_{order}"
     days = extend_dictionary(raw, ["d", "m", "y"], {"dd": _dates(order)("d", "m", "y")}, at("dates")).filter("dd.day is not null or dd.epoch is not null")
     clocks = extend_dictionary(raw.filter("t is not null"), ["t", "ap"], {"tt": _clocks()("t", "ap")}, at("clocks")).filter("tt.seconds is not null")
+    clocks = cut(clocks)
     # a clock written behind the date joins the dictionary of clocks too
     inner = extend_dictionary(days.filter("dd.rest is not null").select(F.col("dd.rest").alias("t"), null.alias("ap")), ["t", "ap"], {"rr": _clocks()("t", "ap")}, at("clocks_behind")).filter("rr.seconds is not null").select("t", "rr")
-    days = days.join(inner, F.col("dd.rest") == inner["t"], "left").drop(inner["t"])
+    days = cut(days.join(inner, F.col("dd.rest") == inner["t"], "left").drop(inner["t"]))  # parsed once
     dated = null_safe_join(null_safe_join(raw, days, ["d", "m", "y"], "inner"), clocks, ["t", "ap"], "left")
     clock = F.when(F.col("dd.rest").isNull(), F.col("tt")).when(F.col("t").isNull(), F.col("rr"))
     local = dated.select("row_id", "zone", F.col("dd.epoch").alias("epoch"), F.col("dd.day").alias("day_n"), clock.alias("c"))
     local = local.select("row_id", "epoch", "zone", (F.col("day_n") * 86400 + F.col("c.seconds")).alias("local_s"), F.col("c.offset").alias("offset"))
     stated = local.select("row_id", "zone", "local_s", F.coalesce("epoch", F.col("local_s") - F.col("offset")).alias("epoch_s"))
+    stated = cut(stated)
     zoned = stated.filter("epoch_s is null and local_s is not null and zone is not null")
     walls = extend_dictionary(zoned, ["local_s", "zone"], {"epoch_s": local_to_epoch(F.col("local_s"), F.col("zone"))}, at("walls")).filter("epoch_s is not null")
     return stated.filter("epoch_s is not null").select("row_id", "epoch_s").unionByName(zoned.drop("epoch_s").join(walls, ["local_s", "zone"]).select("row_id", "epoch_s"))
