@@ -169,7 +169,7 @@ def strip_markup(fields: DataFrame, host: str, key: list[str], text: str) -> Dat
     joined = base.join(spans, "page", "left")
     words = F.split("clean", r"(?<=\s)(?=\S)")
     kept = F.array_join(F.filter(words, lambda w, i: ~F.exists(F.col("starts"), lambda s: (i >= s) & (i < s + RUN))), "")
-    unique = F.when(F.col("starts").isNull(), F.col("clean")).otherwise(F.trim(kept))
+    unique = F.when(F.col("starts").isNull(), F.col("clean")).otherwise(F.regexp_replace(kept, r"^\s+|\s+$", ""))
     cut = F.when(F.col("starts").isNull(), 0).otherwise(F.size(words) - F.size(F.split(unique, r"(?<=\s)(?=\S)")))
     kinds = F.when((F.col("starts").isNotNull()) & (unique == ""), F.array().cast("array<string>")).otherwise(markup_kinds(F.col("raw")))
     return joined.select(*key, kinds.alias("kinds"), unique.alias("clean"), cut.cast("bigint").alias("boilerplate"))

@@ -26,7 +26,7 @@ def length_limits(texts: DataFrame, source: Sequence[str], length: str) -> DataF
 
     The test is one-sided: a Poisson count with the neighbours' pooled hazard as its rate, by the
     normal approximation of its square root; ``limit`` marks lengths that the step-up procedure
-    accepts at ``FALSE_DISCOVERY`` and that hold ``LIMIT_COUNT`` texts.
+    accepts at ``FALSE_DISCOVERY``, that hold ``LIMIT_COUNT`` texts and twice what was expected.
     """
     hist = texts.groupBy(*source, length).agg(F.count("*").alias("n"))
     by = Window.partitionBy(*source).orderBy(F.col(length).desc())
@@ -43,7 +43,7 @@ def length_limits(texts: DataFrame, source: Sequence[str], length: str) -> DataF
     accepted = ranked.filter(F.col("p_value") <= F.col("rank") * FALSE_DISCOVERY / max(1, lengths)).agg(F.max("p_value").alias("bar"))
     return h.crossJoin(F.broadcast(accepted)).select(
         *source, length, "n", "at_risk", "hazard", "expected", "p_value",
-        ((F.col("p_value") <= F.coalesce("bar", F.lit(-1.0))) & (F.col("n") >= LIMIT_COUNT) & (F.col("n") > 3 * F.col("expected"))).alias("limit"),
+        ((F.col("p_value") <= F.coalesce("bar", F.lit(-1.0))) & (F.col("n") >= LIMIT_COUNT) & (F.col("n") > 2 * F.col("expected"))).alias("limit"),
     )
 
 
