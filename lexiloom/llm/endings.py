@@ -26,7 +26,7 @@ _CLAUSE = re.compile(r"[,;:]\s+|\s[-–—]+\s")
 _OUTER = re.compile(r"^\W+|\W+$")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _END = re.compile(r"[.?!。]['\"”’)\]*_]*\s*$")
-_MORE = r"(?:\s*(?:\.\.+|…|\[(?:more|read more|continued|\.\.\.|…)\]))+\s*$"  # signs that text was left out
+_MORE = r"(?:\s*(?:\.\.+|…|\[(?:more|read more|continued|\.\.\.|…)\]|\((?:cont\.?|cont'd|continued|more)\)))+\s*$"  # signs that text was left out
 _TAIL = re.compile(r"(?:\s+(?:[^\w\s]+[\w)(]?|#\w+))+$")  # smileys, hearts, dashes, hashtags
 
 
@@ -149,6 +149,6 @@ def judge_open_ends(texts: DataFrame, key: str, column: str, counts: DataFrame,
     chance = (
         F.when(stock | added, 1.0)
         .when(fragment, 0.0)
-        .otherwise(F.coalesce(share("A"), F.when(uses >= SEEN, F.least(share("D"), F.coalesce(share("C"), F.lit(1.0)))).otherwise(share("D")), share("B"), share("C"), F.when(uses == 0, 0.0), F.lit(0.5)))
+        .otherwise(F.coalesce(share("A"), F.least(share("D"), share("B")), share("C"), F.when(uses == 0, 0.0), F.lit(0.5)))
     )
     return wide.select("key", F.when(F.col("broken"), 0.0).otherwise(chance).alias("chance")).select("key", (F.col("chance") < sure).alias("broken"), "chance")

@@ -8,6 +8,7 @@ own sentence endings, and votes of stopwords find the other kinds.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import cache
 
 import pandas as pd
@@ -117,7 +118,7 @@ def is_copy(prompt: list[str], response: list[str]) -> bool:
         return False
     got = SuffixAutomaton(prompt).covered(response, min(RUN, len(prompt), len(response)))
     extra = len(response) - got
-    return got >= COPIED * len(response) and extra <= max(ADDED, len(response) // 10) and got * 2 >= min(len(prompt), len(response))
+    return got >= COPIED * len(response) and extra <= max(ADDED, len(response) // 10) and got * 2 >= len(prompt)
 
 
 @cache
@@ -148,31 +149,38 @@ def is_refusal(text: str) -> bool:
     return declined
 
 
+def _bare(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 @cache
 def _votes() -> dict[str, dict[str, float]]:
     owners: dict[str, list[str]] = {}
     for lang, ws in STOPWORDS.items():
         for w in set(ws.split()):
-            owners.setdefault(w, []).append(lang)
+            for form in {w, _bare(w)}:  # accents are often left out
+                if lang not in owners.setdefault(form, []):
+                    owners[form].append(lang)
     return {w: {lang: 1 / len(langs) for lang in langs} for w, langs in owners.items()}
 
 
-def language(words: list[str]) -> tuple[str | None, float, float]:
-    """Language with most stopword votes, its share of votes, and votes per word."""
+def votes(words: list[str]) -> dict[str, float]:
+    """Stopword votes per language; a word that languages share is parted among them."""
     score: dict[str, float] = {}
     for w in words:
         for lang, v in _votes().get(w, {}).items():
             score[lang] = score.get(lang, 0) + v
-    if not score:
-        return None, 0.0, 0.0
-    best = max(score, key=lambda k: (score[k], k))
-    return best, score[best] / sum(score.values()), score[best] / max(1, len(words))
+    return score
 
 
 def _other_language(prompt: list[str], response: list[str]) -> bool:
-    p, ps, pn = language(prompt)
-    r, rs, rn = language(response)
-    return p is not None and r is not None and p != r and ps >= 0.5 and rs >= 0.5 and pn >= 0.1 and rn >= 0.15
+    """Whether both have a language by clear majority, and not the same."""
+    p, r = votes(prompt), votes(response)
+    if not p or not r:
+        return False
+    mine, its = max(p, key=lambda k: (p[k], k)), max(r, key=lambda k: (r[k], k))
+    clear = p[mine] > 0.5 * sum(p.values()) and r[its] > 0.5 * sum(r.values()) and r.get(mine, 0) < 0.35 * sum(r.values())
+    return mine != its and clear and r[its] >= 1.2 and p[mine] >= 1 and r[its] >= 0.12 * len(response)
 
 
 def _plain_defect(prompt: pd.Series, response: pd.Series) -> pd.Series:
