@@ -39,7 +39,7 @@ OPENERS = frozenset("hi hello hey hmm sorry apologies unfortunately i'm i am but
 
 # Frequent words of each language that the others lack or use less.
 STOPWORDS = {
-    "en": "the and is are was were of to in it that this with for you your my i have has had do does not be been can could will would should but from by at an what when how why which after before there they he she his her we our their more than then if or as so on a me about will go see take",
+    "en": "no yes the and is are was were of to in it that this with for you your my i have has had do does not be been can could will would should but from by at an what when how why which after before there they he she his her we our their more than then if or as so on a me about will go see take",
     "es": "el la los las y es son que de en un una por para con no se su sus lo al del como más pero este esta esto tengo tiene mi me si yo le hace muy ya qué también cuando desde durante sin hay tomó años noche",
     "fr": "le la les et est sont que de en un une des du pour avec ne pas se sa son ses au aux ce cette mais plus je vous il elle mon ma mes qui dans sur si ai avez pendant depuis sans être parfois faut ou y d'un j'ai c'est n'est l'eau",
     "de": "der die das und ist sind nicht ein eine einen mit für von zu im in den dem des auf ich mir mich sie er es wir aber wenn auch als bei nach seit aus wie hat habe wird würde kann ohne mein meine meine schon noch dazu war",
@@ -174,13 +174,12 @@ def votes(words: list[str]) -> dict[str, float]:
 
 
 def _other_language(prompt: list[str], response: list[str]) -> bool:
-    """Whether both have a language by clear majority, and not the same."""
+    """Whether the votes for the response's language clearly pass those for the prompt's, on both sides."""
     p, r = votes(prompt), votes(response)
     if not p or not r:
         return False
     mine, its = max(p, key=lambda k: (p[k], k)), max(r, key=lambda k: (r[k], k))
-    clear = p[mine] > 0.5 * sum(p.values()) and r[its] > 0.5 * sum(r.values()) and r.get(mine, 0) < 0.35 * sum(r.values())
-    return mine != its and clear and r[its] >= 1.2 and p[mine] >= 1 and r[its] >= 0.12 * len(response)
+    return mine != its and p[mine] >= 1 and p[mine] > 2 * p.get(its, 0) and r[its] >= 1.2 and r[its] > 2.4 * r.get(mine, 0) and r[its] >= 0.1 * len(response)
 
 
 def _plain_defect(prompt: pd.Series, response: pd.Series) -> pd.Series:

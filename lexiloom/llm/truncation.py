@@ -18,7 +18,8 @@ from .endings import ENDS, ending_counts, has_end, judge_open_ends
 NEIGHBOURS = 5  # lengths on each side whose hazards are the measure
 FALSE_DISCOVERY = 0.01
 LIMIT_COUNT = 20  # texts at a length from which it can be a limit
-LIMIT_SHARE = 0.6  # at a limit an ending is whole only beyond this share of ends
+LIMIT_SHARE = 0.6  # at a limit an open ending is whole only beyond this share of ends
+CAP = 0.9  # hazard of a limit that lets hardly any text through; there an open ending is a cut one
 
 
 def length_limits(texts: DataFrame, source: Sequence[str], length: str) -> DataFrame:
@@ -59,12 +60,14 @@ def cut_sentences(rows: DataFrame, source: Sequence[str], key: str, text: str, g
     texts = base.select("text").distinct()
     counts = ending_counts(texts, "text")
     judged = judge_open_ends(texts.withColumn("t", F.col("text")), "text", "t", counts).select(F.col("key").alias("text"), "chance")
-    limits = length_limits(base.select(*source, "len"), source, "len").filter("limit").select(*[F.col(s).alias(f"s_{s}") for s in source], F.col("len").alias("s_len"), F.lit(True).alias("at_limit"))
+    limits = length_limits(base.select(*source, "len"), source, "len").filter("limit").select(*[F.col(s).alias(f"s_{s}") for s in source], F.col("len").alias("s_len"), F.lit(True).alias("at_limit"), (F.col("hazard") >= CAP).alias("cap"))
     found = base.join(judged, "text", "left")
     found = found.join(F.broadcast(limits), on=[F.col(s).eqNullSafe(F.col(f"s_{s}")) for s in source] + [F.col("len") == F.col("s_len")], how="left").drop("s_len", *[f"s_{s}" for s in source])
     found = found.withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     bar = F.when(F.col("at_limit"), LIMIT_SHARE).otherwise(ENDS)
-    broken = F.coalesce(F.col("chance") < bar, F.lit(False))
+    # a cap cuts numbers after their point too, which then looks like an end mark
+    capped = F.coalesce("cap", F.lit(False)) & (~has_end(F.col("text")) | F.col("text").rlike(r"(?:^|[^\d.])\d+\.$"))
+    broken = F.coalesce(F.col("chance") < bar, F.lit(False)) | capped
     if group:
         found = found.join(_continued(base, [f"g_{g}" for g in group]), "text", "left").withColumn("continued", F.coalesce("continued", F.lit(False)))
         broken = broken | F.col("continued")
