@@ -46,7 +46,7 @@ _MARKDOWN = (
     r"(?<![\w^_])_[^_\s](?:[^_\n]*[^_\s])?_(?![\w^_])",
     r"~~[^~\s](?:[^~\n]*[^~\s])?~~",
     r"`[^`\n]+`",
-    r"(?m)^```",
+    r"(?m)^(?:```|~~~)",
     r"!?\[[^\[\]\n]*\]\([^)\s]+\)",
     r"(?<![\w\]])\[[^\[\]\n]+\]\[[^\[\]\n]*\]",
     r"(?m)^\[[^\]\n]+\]:\s+\S",
@@ -112,6 +112,7 @@ _STEPS = (
     (r"(?m)^\{\|[^\n]*\n|^\|\}[ \t]*$|^\|-[ \t]*\n", ""),
     (r"(?m)^[!|] ?(.*?) ?(?:\|\||!!) ?", "$1 | "),
     # Markdown
+    (r"(?m)^~~~.*$", "```"),
     (r"(?m)^(\S.*)\n(?:={4,}|-{4,})[ \t]*$", "# $1"),
     (r"(?m)^#{2,6} ", "# "),
     (r"!?\[([^\[\]\n]*)\]\([^)\s]+\)", "$1"),
