@@ -21,6 +21,24 @@ def read_separated(spark: SparkSession, path: str, schema: T.StructType, sep: st
     return r.csv(path)
 
 
+def read_database(spark: SparkSession, url: str, relation: str, key: str, low: int, high: int, parts: int, **properties: str) -> DataFrame:
+    """A database table read in ``parts`` ranges of a numeric key, one connection each."""
+    return spark.read.jdbc(url, relation, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)
+
+
+def read_types(spark: SparkSession, types: str, groups: str) -> DataFrame:
+    """``(tui, abbr, name, grp)`` from two pipe-separated files, merged by type; a type of one file only is kept."""
+    a = read_separated(spark, types, T.StructType([T.StructField(c, T.StringType()) for c in ("abbr", "tui", "name")]), "|")
+    b = read_separated(spark, groups, T.StructType([T.StructField(c, T.StringType()) for c in ("grp", "group_name", "tui", "type_name")]), "|")
+    return a.join(b, "tui", "full").select("tui", "abbr", F.coalesce("name", "type_name").alias("name"), "grp")
+
+
+def read_vocabulary(spark: SparkSession, path: str, least: int) -> DataFrame:
+    """``(word, freq)`` of a file of words and frequencies, from a frequency on."""
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("freq", T.LongType())])
+    return read_separated(spark, path, schema, " ").filter(F.col("freq") >= least)
+
+
 def read_lexicon(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Dictionary source rows with all five fields; shorter rows are left out."""
     return read_separated(spark, path, LEXICON, sep).filter(F.col("preferred").isNotNull())

@@ -96,6 +96,11 @@ def test_files(spark, tmp_path):
     assert [(r.root, r.keyword) for r in S.read_keywords(spark, str(tmp_path / "k.txt")).collect()] == [("heart", "failure"), ("heart", "attack"), ("skin", "rash")]
     (tmp_path / "w.txt").write_text("# words\nab\nabc\n\n")
     assert S.read_words(spark, str(tmp_path / "w.txt")) == ["abc", "ab"]
+    (tmp_path / "t.txt").write_text("ab|T1|Finding\ncd|T2|Drug\n")
+    (tmp_path / "g.txt").write_text("G|Group|T1|Finding\nG|Group|T3|Other\n")
+    assert {tuple(r) for r in S.read_types(spark, str(tmp_path / "t.txt"), str(tmp_path / "g.txt")).collect()} == {("T1", "ab", "Finding", "G"), ("T2", "cd", "Drug", None), ("T3", None, "Other", "G")}
+    (tmp_path / "v.txt").write_text("pain 7\nache 2\n")
+    assert [tuple(r) for r in S.read_vocabulary(spark, str(tmp_path / "v.txt"), 3).collect()] == [("pain", 7)]
     df = spark.createDataFrame([("1", 'say "hi"\nnow, ok', None)], S.CRITERIA)
     S.write_quoted(df, str(tmp_path / "q"))
     back = S.read_separated(spark, str(tmp_path / "q"), S.CRITERIA, header=True).collect()
