@@ -49,8 +49,8 @@ def nearest_centres(df: DataFrame, key: str, vector: str, centres: list[tuple[in
 def revise_clusters(assigned: DataFrame, least_percent: float, least: int) -> DataFrame:
     """``(centre, size, kept)``: clusters that hold their relative and their absolute share."""
     sizes = assigned.groupBy("centre").agg(F.count("*").alias("size"))
-    k = sizes.agg(F.count("*").alias("k"), F.sum("size").alias("n"))
-    return sizes.crossJoin(F.broadcast(k)).select("centre", "size", ((F.col("k") * F.col("size") * 100 / F.col("n") >= least_percent) & (F.col("size") >= least)).alias("kept"))
+    k, n = sizes.agg(F.count("*"), F.sum("size")).first()
+    return sizes.select("centre", "size", ((k * F.col("size") * 100 / F.lit(n or 1) >= least_percent) & (F.col("size") >= least)).alias("kept"))
 
 
 def knn(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
@@ -108,7 +108,7 @@ def rank_curve(df: DataFrame, order: list[Column], hit: Column, levels: int = 40
     from .ordering import running_number
 
     numbered = running_number(df.select("*", hit.cast("int").alias("__hit")), order, "place")
-    total = df.agg(F.count("*").alias("n"), F.sum(hit.cast("int")).alias("hits"))
+    hits = df.agg(F.sum(hit.cast("int"))).first()[0] or 0
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # cumulative hits: within blocks of places, lifted by the blocks before
     n = numbered.count()
@@ -117,11 +117,11 @@ def rank_curve(df: DataFrame, order: list[Column], hit: Column, levels: int = 40
     sums = b.groupBy("__b").agg(F.sum("__hit").alias("__s"))
     before = sums.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = F.sum("__hit").over(Window.partitionBy("__b").orderBy("place"))
-    c = b.join(F.broadcast(before), "__b").withColumn("found", within + F.col("__before")).crossJoin(F.broadcast(total))
-    c = c.withColumn("level", F.expr(f"(place * 100 div n) div {granularity}")).filter(F.col("level").between(1, levels))
-    first = c.groupBy("level").agg(F.min("place").alias("place"), F.min_by("found", "place").alias("found"), F.max("hits").alias("hits"))
+    c = b.join(F.broadcast(before), "__b").withColumn("found", within + F.col("__before"))
+    c = c.withColumn("level", F.expr(f"(place * 100 div {max(1, n)}) div {granularity}")).filter(F.col("level").between(1, levels))
+    first = c.groupBy("level").agg(F.min("place").alias("place"), F.min_by("found", "place").alias("found"))
     p = F.col("found") / F.col("place")
-    r = F.when(F.col("hits") > 0, F.col("found") / F.col("hits")).otherwise(-1.0)
+    r = F.col("found") / F.lit(hits) if hits else F.lit(-1.0)
     return first.select("level", "place", p.alias("precision"), r.alias("recall"), X.f_beta(p, F.greatest(r, F.lit(0.0)), beta).alias("f"))
 
 

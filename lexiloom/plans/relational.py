@@ -157,8 +157,8 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
 @query("select quarter, count(*) as n, min(o_orderkey) as low, max(o_orderkey) as high from (select o_orderkey, cast(floor((o_orderkey - lo) * 4.0 / (hi - lo + 1)) as bigint) as quarter from orders cross join (select min(o_orderkey) as lo, max(o_orderkey) as hi from orders)) group by quarter")
 def quartile_split(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey")
-    b = o.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
-    q = o.join(F.broadcast(b)).withColumn("quarter", F.floor((F.col("o_orderkey") - F.col("lo")) * F.lit(4.0) / (F.col("hi") - F.col("lo") + 1)))
+    lo, hi = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    q = o.withColumn("quarter", F.floor((F.col("o_orderkey") - F.lit(lo or 0)) * F.lit(4.0) / ((hi or 0) - (lo or 0) + 1)))
     return q.groupBy("quarter").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
 
 
