@@ -144,6 +144,6 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", sou
     mix = mix.filter("copies > 0")
     got = mix.groupBy("source").agg(F.count("*").alias("chosen"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
     shares = plan.join(got, "source", "left").select("source", "target_share", "max_repeat", "documents", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chosen", "copies", "tokens")])
-    total = got.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"))
-    shares = shares.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).otherwise(0.0)).drop("all")
+    total = got.agg(F.sum("tokens")).first()[0] or 0
+    shares = shares.withColumn("share", F.col("tokens") / total if total else F.lit(0.0))
     return mix, shares

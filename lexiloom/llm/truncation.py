@@ -41,10 +41,11 @@ def length_limits(texts: DataFrame, source: Sequence[str], length: str) -> DataF
     h = h.withColumn("p_value", F.when(z <= 0.5, 1.0).otherwise(F.least(F.lit(1.0), F.exp(-z * z / 2) / (z * 2.5066282746310002))))
     lengths = hist.count()
     ranked = h.withColumn("rank", F.row_number().over(Window.orderBy("p_value", *source, length)))  # one row per length and source
-    accepted = ranked.filter(F.col("p_value") <= F.col("rank") * FALSE_DISCOVERY / max(1, lengths)).agg(F.max("p_value").alias("bar"))
-    return h.crossJoin(F.broadcast(accepted)).select(
+    accepted = ranked.filter(F.col("p_value") <= F.col("rank") * FALSE_DISCOVERY / max(1, lengths)).agg(F.max("p_value")).first()[0]
+    bar = -1.0 if accepted is None else accepted
+    return h.select(
         *source, length, "n", "at_risk", "hazard", "expected", "p_value",
-        ((F.col("p_value") <= F.coalesce("bar", F.lit(-1.0))) & (F.col("n") >= LIMIT_COUNT) & (F.col("n") > 2 * F.col("expected"))).alias("limit"),
+        ((F.col("p_value") <= bar) & (F.col("n") >= LIMIT_COUNT) & (F.col("n") > 2 * F.col("expected"))).alias("limit"),
     )
 
 
