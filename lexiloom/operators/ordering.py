@@ -22,3 +22,37 @@ def running_number(df: DataFrame, order: Sequence[Column], name: str) -> DataFra
     lifted = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return placed.join(F.broadcast(lifted), "__part").withColumn(name, within + F.col("__before")).drop("__part", "__before")
+
+
+def prefix_sums(df: DataFrame, group: str, order: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """``df`` with ``pre_<c>``, the running sum of each of ``sums`` up to and with the row, per group.
+
+    ``order`` must be total within a group. Rows are range-partitioned in order, summed within their
+    part, and lifted by the totals of the parts before, of which there are as many as partitions; so
+    a group of any size is spread over tasks.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(df.repartitionByRange(parts, group, *order).withColumn("__part", F.spark_partition_id()))
+    w = Window.partitionBy(group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy(group, "__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    lifted = totals.select(F.col(group).alias("__group"), F.col("__part").alias("__at"), *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    out = placed.join(lifted, placed[group].eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__at")))
+    return out.select(*df.columns, *[(F.sum(c).over(w) + F.col(f"__b_{c}")).alias(f"pre_{c}") for c in sums])
+
+
+def with_previous(df: DataFrame, group: str, order: Sequence[str], columns: Sequence[str], back: int) -> DataFrame:
+    """``df`` with ``<c>_1 .. <c>_<back>``, the values of the rows before in the group, and ``row``,
+    a running number over all groups.
+
+    ``group`` and ``order`` together must be total. Neighbours meet by joins on the running number,
+    so a group of any size is spread over tasks; before a group's first row the values are null.
+    """
+    numbered = cut(running_number(df, [F.asc_nulls_first(group), *[F.asc_nulls_first(c) for c in order]], "row"))
+    out = numbered
+    for k in range(1, back + 1):
+        p = numbered.select((F.col("row") + k).alias("row"), F.col(group).alias("__g"), F.lit(True).alias("__has"), *[F.col(c).alias(f"__{c}") for c in columns])
+        out = out.join(p, "row", "left")
+        same = F.col("__has") & F.col(group).eqNullSafe(F.col("__g"))
+        out = out.select(*[c for c in out.columns if not c.startswith("__")], *[F.when(same, F.col(f"__{c}")).alias(f"{c}_{k}") for c in columns])
+    return out

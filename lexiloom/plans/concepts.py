@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import lexicon as L
+from ..operators.ordering import prefix_sums, with_previous
 from ..runtime import table
 from .registry import query
 from .terms import _NORM, _POS, _STOP
@@ -119,22 +120,19 @@ def type_preference_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, blogid, row_number() over (partition by blogid order by id) as ordinal, string_agg(target, ' > ') over (partition by blogid order by id rows between 2 preceding and current row) as trail from (select id, blogid, target from content_tag where target is not null)")
 def tag_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    t = table(spark, d, "content_tag").filter("target is not null").select("id", "blogid", "target").withColumn("one", F.lit(1))
+    t = prefix_sums(with_previous(t, "blogid", ["id"], ["target"], 2), "blogid", ["id"], ["one"])
+    return t.select("id", "blogid", F.col("pre_one").alias("ordinal"), F.concat_ws(" > ", "target_2", "target_1", "target").alias("trail"))
 
-    w = Window.partitionBy("blogid").orderBy("id")
-    t = table(spark, d, "content_tag").filter("target is not null")
-    trail = F.array_join(F.collect_list("target").over(w.rowsBetween(-2, 0)), " > ")
-    return t.select("id", "blogid", F.row_number().over(w).cast("bigint").alias("ordinal"), trail.alias("trail"))
 
-
-@query("select id, (row_number() over (partition by blogid, tui order by id)) - (row_number() over (partition by blogid order by id)) as island, blogid, tui from content_tag".replace("select id, (row_number() over (partition by blogid, tui order by id)) - (row_number() over (partition by blogid order by id)) as island, blogid, tui from content_tag", "select blogid, tui, min(id) as first_id, count(*) as run from (select id, blogid, tui, row_number() over (partition by blogid order by id) - row_number() over (partition by blogid, tui order by id) as island from content_tag) group by blogid, tui, island"))
+@query("select blogid, tui, min(id) as first_id, count(*) as run from (select id, blogid, tui, row_number() over (partition by blogid order by id) - row_number() over (partition by blogid, tui order by id) as island from content_tag) group by blogid, tui, island")
 def same_type_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of consecutive findings of one type in a post."""
-    from pyspark.sql import Window
-
-    t = table(spark, d, "content_tag").select("id", "blogid", "tui")
-    gap = F.row_number().over(Window.partitionBy("blogid").orderBy("id")) - F.row_number().over(Window.partitionBy("blogid", "tui").orderBy("id"))
-    return t.withColumn("island", gap).groupBy("blogid", "tui", "island").agg(F.min("id").alias("first_id"), F.count("*").alias("run")).drop("island")
+    t = table(spark, d, "content_tag").select("id", "blogid", "tui").withColumn("one", F.lit(1))
+    t = with_previous(t, "blogid", ["id"], ["one", "tui"], 1)
+    starts = F.when(F.col("one_1").isNull() | ~F.col("tui").eqNullSafe(F.col("tui_1")), 1).otherwise(0)
+    t = prefix_sums(t.withColumn("start", starts), "blogid", ["id"], ["start"])
+    return t.groupBy("blogid", "tui", "pre_start").agg(F.min("id").alias("first_id"), F.count("*").alias("run")).drop("pre_start")
 
 
 @query("with s as (select blogid, sentence from content_tag where sentence is not null) select sentence, count(*) as n from s group by sentence having count(*) > 1")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import text as X
 from ..operators import ngrams as N
 from ..operators import relational as R
+from ..operators.ordering import with_previous
 from ..runtime import table
 from .registry import query
 from .terms import _GRAMS, _POS, _STOP
@@ -63,14 +64,14 @@ def ngram_sequence(spark: SparkSession, d: str) -> DataFrame:
     return o.select("doc_id", F.col("n").cast("bigint").alias("n"), "gram", F.row_number().over(w).cast("bigint").alias("ordinal"))
 
 
-@query("select postid, userid, coalesce(n1, n2, n3) as amount from (select postid, userid, num as n1, lag(num, 1) over w as n2, lag(num, 2) over w as n3 from (select distinct postid, userid, try_cast(nullif(regexp_extract(content, '([0-9]+) (days|weeks|months|years)', 1), '') as int) as num from dataset_deaf where userid is not null) window w as (partition by userid order by postid))")
+@query("select postid, userid, coalesce(n1, n2, n3) as amount from (select postid, userid, num as n1, lag(num, 1) over w as n2, lag(num, 2) over w as n3 from (select distinct postid, userid, try_cast(nullif(regexp_extract(content, '([0-9]+) (days|weeks|months|years)', 1), '') as int) as num from dataset_deaf where userid is not null) window w as (partition by userid order by postid, num nulls first))")
 def duration_repair(spark: SparkSession, d: str) -> DataFrame:
     """An amount from the own text, else the post before, else the one before that."""
     t = table(spark, d, "dataset_deaf").filter("userid is not null")
     got = F.regexp_extract("content", "([0-9]+) (days|weeks|months|years)", 1)
     t = t.select("postid", "userid", got.try_cast("int").alias("num")).distinct()
-    w = Window.partitionBy("userid").orderBy("postid")
-    return t.select("postid", "userid", F.coalesce("num", F.lag("num", 1).over(w), F.lag("num", 2).over(w)).alias("amount"))
+    t = with_previous(t, "userid", ["postid", "num"], ["num"], 2)
+    return t.select("postid", "userid", F.coalesce("num", "num_1", "num_2").alias("amount"))
 
 
 @query("select ngram, max(n) as n, round(max(ln(1 + tf)), 5) as log_tf, round(max(coalesce(nest_tf, 0) / tf), 5) as nested, round(max(coalesce(win_umls, 0) / tf), 5) as near_umls, max(case when nn = 'T' then 1 else 0 end) as is_nn from (select distinct * from k20all) where ngram is not null and tf > 0 group by ngram")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import relational as R
+from ..operators.ordering import prefix_sums, running_number
 from ..runtime import table
 from .registry import query
 
@@ -73,8 +74,6 @@ def loose_groupby_repr(spark: SparkSession, d: str) -> DataFrame:
 @query("select id, row_number() over (order by score desc nulls last, id) as rid from bio_rank" .replace("bio_rank", "(select id, length(org_str) as score from bioportal)"))
 def surrogate_key(spark: SparkSession, d: str) -> DataFrame:
     """Running number over a total order: parts are range-partitioned and lifted by the parts before."""
-    from ..operators.ordering import running_number
-
     t = table(spark, d, "bioportal").select("id", F.coalesce(F.length("org_str"), F.lit(-1)).alias("score"))
     return running_number(t, [F.col("score").desc(), F.col("id")], "rid").select("id", "rid")
 
@@ -234,11 +233,10 @@ def polarity_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("select userid, postid, rn, round(cast(run as double) / total, 6) as share from (select userid, postid, row_number() over (partition by userid order by postid) as rn, sum(cast(length(content) as bigint)) over (partition by userid order by postid) as run, sum(cast(length(content) as bigint)) over (partition by userid) as total from (select distinct userid, postid, content from dataset_deaf where content is not null and userid is not null)) where total > 0")
 def running_share(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "dataset_deaf").filter("content is not null and userid is not null").select("userid", "postid", "content").distinct()
-    w = Window.partitionBy("userid")
-    o = w.orderBy("postid")
-    n = F.length("content").cast("bigint")
-    t = t.select("userid", "postid", F.row_number().over(o).cast("bigint").alias("rn"), F.sum(n).over(o).alias("run"), F.sum(n).over(w).alias("total"))
-    return t.filter("total > 0").select("userid", "postid", "rn", F.round(F.col("run").cast("double") / F.col("total"), 6).alias("share"))
+    t = t.select("userid", "postid", F.lit(1).alias("one"), F.length("content").cast("bigint").alias("size"))
+    total = t.groupBy("userid").agg(F.sum("size").alias("total"))
+    run = prefix_sums(t, "userid", ["postid"], ["one", "size"]).join(total, "userid")
+    return run.filter("total > 0").select("userid", "postid", F.col("pre_one").alias("rn"), F.round(F.col("pre_size").cast("double") / F.col("total"), 6).alias("share"))
 
 
 @query("select cui from content_tag where cui is not null intersect select cui from content_tag_compare_only_our where cui is not null")
