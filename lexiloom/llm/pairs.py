@@ -14,7 +14,8 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .endings import ending_counts, judge_open_ends
+from ..runtime import cut
+from .endings import ending_counts, has_end, judge_open_ends
 
 # What stands for no answer.
 NO_ANSWER = ("null", "none", "nan", "n/a", "na", "no answer", "deleted", "removed", "nil", "empty", "blank")
@@ -208,7 +209,9 @@ def find_defects(pairs: DataFrame, key: str, prompt: str, response: str) -> Data
     other columns are ignored.
     """
     raw = pairs.select(F.col(key).alias("key"), F.col(prompt).cast("string").alias("q"), F.col(response).cast("string").alias("a"))
-    marked = raw.select("key", "a", F.pandas_udf(_plain_defect, T.StringType())("q", "a").alias("defect"))
+    plain = raw.select("key", "a", F.pandas_udf(_plain_defect, T.StringType())("q", "a").alias("defect"))
+    # both branches below read this; a text that has its defect is not needed any more
+    marked = cut(plain.select("key", F.when(F.col("defect").isNull() & ~has_end(F.col("a")), F.col("a")).alias("a"), "defect"))
     counts = ending_counts(raw.filter(F.length("a") > 0), "a")
-    cut = judge_open_ends(marked.filter(F.col("defect").isNull()), "key", "a", counts).filter("broken").select("key", F.lit("truncated").alias("defect"))
-    return marked.filter(F.col("defect").isNotNull()).select("key", "defect").unionByName(cut)
+    broken = judge_open_ends(marked.filter(F.col("a").isNotNull()), "key", "a", counts).filter("broken").select("key", F.lit("truncated").alias("defect"))
+    return marked.filter(F.col("defect").isNotNull()).select("key", "defect").unionByName(broken)
