@@ -12,7 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators.ordering import running_number
+from ..runtime import cut
 
 HEAVY = 16  # an item in one of so many baskets is heavy, so the mean basket bounds their number
 CHUNK = 1 << 13  # baskets of a bit matrix
@@ -120,10 +123,7 @@ def pair_lift(rows: DataFrame, basket: str, item: str, min_together: int = 1, mi
     per_item = held.groupBy("item").agg(F.count("*").alias("n_item"))
     total = held.agg(F.count_distinct("basket")).first()[0]
     least = max(min_together, -int(-min_share * total // 1), 1)
-    numbered = per_item.filter(F.col("n_item") >= least).withColumn("id", F.row_number().over(Window.orderBy(F.desc("n_item"), "item")) - 1)
-    from ..runtime import cut
-
-    numbered = cut(numbered)
+    numbered = cut(running_number(per_item.filter(F.col("n_item") >= least), [F.desc("n_item"), F.asc("item")], "id").withColumn("id", (F.col("id") - 1).cast("int")))
     items = numbered.count()
     if items < 2:
         return spark.createDataFrame([], "a string, b string, n_a bigint, n_b bigint, n_ab bigint, n bigint, lift double")

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ordering import prefix_sums
 from ..runtime import cut
 
 INDIFFERENT = 0.02  # of the percentile range
@@ -41,23 +42,6 @@ def readable(value: Column, low: float | None, high: float | None) -> Column:
     return F.when(ok & (F.abs(number) < 1e300), number + F.lit(0.0))
 
 
-def prefix_sums(df: DataFrame, group: str, order: list[str], sums: list[str]) -> DataFrame:
-    """``df`` with ``pre_<c>``, the running sum of each of ``sums`` up to and with the row, per group.
-
-    Rows are range-partitioned in order, summed within their part, and lifted by the totals of the
-    parts before, of which there are as many as partitions.
-    """
-    spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = cut(df.repartitionByRange(parts, group, *order).withColumn("__part", F.spark_partition_id()))
-    w = Window.partitionBy(group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = placed.groupBy(group, "__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    lifted = totals.select(group, "__part", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums])
-    out = placed.join(F.broadcast(lifted), [group, "__part"])  # a row per group and partition
-    return out.select(*df.columns, *[(F.sum(c).over(w) + F.col(f"__b_{c}")).alias(f"pre_{c}") for c in sums])
-
-
 def outranking_flows(items: DataFrame, key: str, scores: list[Score], indifferent: float = INDIFFERENT, preferred: float = PREFERRED) -> DataFrame:
     """``(key, flow_<score>.., net_flow)`` for each distinct non-null key.
 
