@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import cut
+
 RUN = 20  # tokens from which a repeated substring is long
 PAGES = 3  # distinct pages that must share it
 
@@ -165,12 +167,13 @@ def strip_markup(fields: DataFrame, host: str, key: list[str], text: str) -> Dat
     """
     base = fields.select(*key, F.col(host).alias("host"), F.col(text).cast("string").alias("raw")).distinct()
     base = base.withColumn("clean", clean_text(F.col("raw"))).withColumn("page", F.xxhash64(F.coalesce("host", F.lit("")), "clean"))
+    base = cut(base.withColumn("found", markup_kinds(F.col("raw"))).drop("raw"))  # rewritten once, read for suffixes and rows
     pages = base.filter("clean is not null").select("host", "page", "clean").dropDuplicates(["host", "page"])
     spans = repeated_runs(pages, "host", "page", "clean").groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     joined = base.join(spans, "page", "left")
     words = F.split("clean", r"(?<=\s)(?=\S)")
     kept = F.array_join(F.filter(words, lambda w, i: ~F.exists(F.col("starts"), lambda s: (i >= s) & (i < s + RUN))), "")
     unique = F.when(F.col("starts").isNull(), F.col("clean")).otherwise(F.regexp_replace(kept, r"^\s+|\s+$", ""))
-    cut = F.when(F.col("starts").isNull(), 0).otherwise(F.size(words) - F.size(F.split(unique, r"(?<=\s)(?=\S)")))
-    kinds = F.when((F.col("starts").isNotNull()) & (unique == ""), F.array().cast("array<string>")).otherwise(markup_kinds(F.col("raw")))
-    return joined.select(*key, kinds.alias("kinds"), unique.alias("clean"), cut.cast("bigint").alias("boilerplate"))
+    taken = F.when(F.col("starts").isNull(), 0).otherwise(F.size(words) - F.size(F.split(unique, r"(?<=\s)(?=\S)")))
+    kinds = F.when((F.col("starts").isNotNull()) & (unique == ""), F.array().cast("array<string>")).otherwise(F.col("found"))
+    return joined.select(*key, kinds.alias("kinds"), unique.alias("clean"), taken.cast("bigint").alias("boilerplate"))
