@@ -138,6 +138,20 @@ f{i} as (select a.v, case when any_value(a.n) > 1 then cast(sum(b.cnt * case whe
   from m{i} a cross join m{i} b group by a.v)"""
 
 
+_LIMITS = """
+with rows as (select 'content_tag' as tbl, coalesce(sab, '-') as sab, length(sentence) as len from content_tag union all select 'content_tag_compare_only_our', coalesce(sab, '-'), length(sentence) from content_tag_compare_only_our),
+hist as (select tbl, sab, len, count(*) as n from rows where len > 0 group by tbl, sab, len),
+risk as (select *, sum(n) over (partition by tbl, sab order by len desc rows between unbounded preceding and current row) as at_risk from hist),
+pool as (select *, sum(n) over w - n as pool_n, sum(at_risk) over w - at_risk as pool_risk from risk window w as (partition by tbl, sab order by len range between 5 preceding and 5 following)),
+ex as (select *, at_risk * case when pool_risk > 0 then pool_n / pool_risk else 0.0 end as expected from pool),
+zz as (select *, 2 * (sqrt(n) - sqrt(expected + 1)) as z from ex),
+pp as (select *, case when z <= 0.5 then 1.0 else least(1.0, exp(-z * z / 2) / (z * 2.5066282746310002)) end as p from zz),
+rk as (select *, row_number() over (order by p, tbl, sab, len) as r, count(*) over () as m from pp),
+bar as (select coalesce(max(p), -1.0) as b from rk where p <= r * 0.01 / m)
+select tbl, sab, len, n, cast(at_risk as bigint) as at_risk, cast(n as double) / at_risk as hazard from pp cross join bar where p <= b and n >= 20 and n > 2 * expected
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     flows = ",\n".join(_flow_sql(i, s) for i, s in enumerate(SCORES))
     joins = " ".join(f"left join v{i} on v{i}.ngram = k.ngram left join f{i} on f{i}.v = v{i}.v" for i in range(len(SCORES)))
@@ -145,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
     net = " + ".join(f"flow_{s.column} * 1.0" for s in SCORES)
     rounded = ", ".join(f"round(flow_{s.column}, 9) as flow_{s.column}" for s in SCORES)
     return {
+        "p5_limits": _LIMITS,
         "p6_found": _PAIRS + "select code_a, code_b from pairs join per a on a.c = code_a join per b on b.c = code_b cross join total where n_ab >= 5 and 500 * n_ab >= n and n_ab * n >= 4 * a.n_item * b.n_item",
         "p6_lift": _PAIRS + "select code_a, code_b, a.n_item as n_a, b.n_item as n_b, n_ab, round(cast(n_ab as double) * n / (cast(a.n_item as double) * b.n_item), 6) as lift from pairs join per a on a.c = code_a join per b on b.c = code_b cross join total where n_ab >= 5",
         "p7_rank": f"with {flows}, w as (select k.ngram, {cols} from (select distinct ngram from k20all where ngram is not null) k {joins}), "

@@ -167,3 +167,13 @@ def test_residue(spark):
     ]
     got = {r.doc_id: r.kind for r in find_residue(spark.createDataFrame(docs, "doc_id long, text string").withColumn("kind", F.lit("x"))).collect()}
     assert got == {1: "placeholder", 3: "filler", 4: "filler", 5: "error_page", 6: "script_notice", 11: "placeholder"}
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "id long, doc_id long, text string, host string, src string, g int, s string, t string, len int")
+    assert strip_markup(df, "host", ["id"], "text").count() == 0
+    assert find_residue(df).count() == 0
+    assert cut_sentences(df, ["src"], "id", "s", ["g"]).count() == 0
+    assert cut_terms(df, ["src"], "id", "t", "s").count() == 0
+    assert length_limits(df, ["src"], "len").count() == 0
+    assert ending_counts(df, "text").count() == 0
