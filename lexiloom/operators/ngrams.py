@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..runtime import spread
 
 
 def phrase_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc_id, seg, tokens)``: token arrays of stretches without a delimiter; null texts give none."""
-    seg = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(X.phrase_segments(F.col(text))).alias("seg", "s"))
+    texts = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    seg = texts.select("doc_id", F.posexplode(X.phrase_segments(F.col("text"))).alias("seg", "s"))
     return seg.select("doc_id", "seg", X.phrase_tokens(F.col("s")).alias("tokens")).filter(F.size("tokens") > 0)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,5 +41,13 @@ def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def data_root() -> str:
-    return os.environ.get("LEXILOOM_DATA", "/root/testdata")
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan in at least as many partitions as cores; fewer, as small files give, are hashed by ``key``.
+
+    Only plans without joins, aggregates and the like are looked at, so nothing is run to find out.
+    """
+    plan = df._jdf.queryExecution()
+    if any(x in plan.optimizedPlan().toString() for x in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Limit")):
+        return df
+    n = cores(df.sparkSession)
+    return df if plan.toRdd().getNumPartitions() >= n else df.repartition(n, key)
