@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..runtime import cut
+from ..runtime import cut, spread
 
 BLOCK = 4096  # documents of a flight
 VOCABULARY = os.environ.get("LEXILOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -102,7 +102,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", sou
     among sources that have tokens; a source without any gets share 0 and is reported. Documents
     without tokens, with a null source or one that is no target are never chosen.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count_tokens(vocabulary)(F.col(text)).alias("tokens")).filter("tokens > 0 and source is not null")
+    read = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), "doc_id")
+    sized = read.select("doc_id", "source", count_tokens(vocabulary)(F.col("text")).alias("tokens")).filter("tokens > 0 and source is not null")
     goal = targets.select(F.col("source"), F.col("target_share").cast("double"), F.col("max_repeat").cast("int")).filter("source is not null and target_share is not null")
     sized = cut(sized.join(F.broadcast(goal.select("source")), "source", "left_semi"))  # a row per source
     stock = sized.groupBy("source").agg(F.sum("tokens").alias("stock"), F.count("*").alias("documents"))

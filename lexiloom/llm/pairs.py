@@ -14,7 +14,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..runtime import cut
+from ..runtime import cut, spread
 from .endings import ending_counts, has_end, judge_open_ends
 
 # What stands for no answer.
@@ -208,7 +208,7 @@ def find_defects(pairs: DataFrame, key: str, prompt: str, response: str) -> Data
     prompt is no defect and neither copied nor of a language; repeated rows give their defect each;
     other columns are ignored.
     """
-    raw = pairs.select(F.col(key).alias("key"), F.col(prompt).cast("string").alias("q"), F.col(response).cast("string").alias("a"))
+    raw = spread(pairs.select(F.col(key).alias("key"), F.col(prompt).cast("string").alias("q"), F.col(response).cast("string").alias("a")), "key")
     plain = raw.select("key", "a", F.pandas_udf(_plain_defect, T.StringType())("q", "a").alias("defect"))
     # both branches below read this; a text that has its defect is not needed any more
     marked = cut(plain.select("key", F.when(F.col("defect").isNull() & ~has_end(F.col("a")), F.col("a")).alias("a"), "defect"))
