@@ -56,7 +56,8 @@ def places(text: str) -> Iterator[tuple[list[str], int, str, int]]:
 
 
 def contexts(clause: list[str], i: int) -> tuple[str, str, str, str]:
-    opening, before, w = " ".join(clause[:2]), clause[i - 1] if i else "", clause[i]
+    # the opening is what a text cut right here would show of it
+    opening, before, w = " ".join(clause[:2] if i else clause[:1]), clause[i - 1] if i else "", clause[i]
     return f"A {opening}|{w}", f"D {opening}|{before}", f"B {before}|{w}", f"C {w}"
 
 
