@@ -27,6 +27,11 @@ def descendants(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataF
     return seen
 
 
+def parents(edges: DataFrame) -> DataFrame:
+    """``(root)``: every concept that has a child other than itself, once."""
+    return edges.filter("child is not null and parent is not null and child <> parent").select(F.col("parent").alias("root")).distinct()
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``(node, parents, kind)``: ``root`` without parents, ``new_root`` with several, ``child`` with one."""
     e = edges.filter("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()

@@ -78,9 +78,16 @@ _EDGES = "e as (select distinct cui1 as child, cui2 as parent from content_tag_c
 
 @query(f"with recursive {_EDGES}, r as (select distinct parent as root from e where parent < 'C72'), w(root, node, depth) as (select root, root, 0 from r union select w.root, e.child, w.depth + 1 from w join e on e.parent = w.node where w.depth < 5) select root, node, min(depth) as depth from w group by root, node")
 def concept_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Closure of the roots whose id sorts below C72 only, as its recursive SQL has it; ``concept_closure_all`` takes every parent."""
     e = _edges(spark, d)
-    roots = e.filter("parent < 'C72' and child is not null and child <> parent").select(F.col("parent").alias("root")).distinct()
-    return G.descendants(e, roots)
+    return G.descendants(e, G.parents(e).filter("root < 'C72'"))
+
+
+@query()
+def concept_closure_all(spark: SparkSession, d: str) -> DataFrame:
+    """Closure of every parent; too much for recursive SQL and tested against brute force."""
+    e = _edges(spark, d)
+    return G.descendants(e, G.parents(e))
 
 
 @query(f"with {_EDGES}, nodes as (select child as node from e union select parent from e), up as (select child as node, count(*) as parents from e group by 1) select node, coalesce(parents, 0) as parents, case when coalesce(parents, 0) = 0 then 'root' when parents = 1 then 'child' else 'new_root' end as kind from nodes left join up using (node)")

@@ -11,6 +11,8 @@ from lexiloom.operators import lexicon as L
 from lexiloom.operators import ngrams as N
 from lexiloom.operators import relational as R
 from lexiloom.operators import vectors as V
+from lexiloom.plans import extras, trials  # noqa: F401  (they register their queries)
+from lexiloom.plans.registry import QUERIES
 from lexiloom.sources import files as S
 from lexiloom.streaming import windows as W
 
@@ -73,6 +75,24 @@ def test_graph_with_a_cycle(spark):
     assert below == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
 
 
+def test_closure_of_every_parent(spark, tmp_path):
+    edges = [("C90", "C80"), ("C91", "C90"), ("C80", "C10"), ("C10", "C91"), ("C95", "C99"), ("C95", "C95"), (None, "C80"), ("C90", None)] + [(f"D{i + 1}", f"D{i}") for i in range(8)]
+    spark.createDataFrame([(a, b, "PAR" if i % 2 else "RB") for i, (a, b) in enumerate(edges)] + [("C1", "C2", "SY")], "cui1 string, cui2 string, rel string").write.parquet(str(tmp_path / "content_tag_compare_only_our.parquet"))
+    below = {}
+    for a, b in edges:
+        if a and b and a != b:
+            below.setdefault(b, set()).add(a)
+    want = set()
+    for root in below:
+        depth, at = {root: 0}, {root}
+        for k in range(1, G.DEPTH + 1):
+            at = {c for n in at for c in below.get(n, ())} - set(depth)
+            depth |= dict.fromkeys(at, k)
+        want |= {(root, n, k) for n, k in depth.items()}
+    got = [(r.root, r.node, r.depth) for r in QUERIES["concept_closure_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_vectors(spark):
     e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [5.0, 5.0])], "id long, v array<double>")
     got = [(r.query, r.key, r.place) for r in V.knn(e, e.filter("id = 1"), "id", "v", 2).orderBy("place").collect()]
