@@ -57,8 +57,17 @@ def suffix_parents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_GRAMS.replace('documents where lang', 'documents where source = ' + chr(39) + 'note' + chr(39) + ' and lang')} select doc_id, n, gram, row_number() over (partition by doc_id order by sid, i, n) as ordinal from occ".replace("row_number() over () as sid", "row_number() over (order by doc_id) as sid"))
 def ngram_sequence(spark: SparkSession, d: str) -> DataFrame:
-    """Every gram of a note in the order of the text, numbered."""
-    docs = table(spark, d, "documents").filter("source = 'note' and lang = 'en'").select("doc_id", "text")
+    """Every gram of an English note in the order of the text, numbered, as its SQL has it; ``ngram_sequence_all`` takes every document."""
+    return _sequence(table(spark, d, "documents").filter("source = 'note' and lang = 'en'"))
+
+
+@query()
+def ngram_sequence_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every gram of every document in the order of the text, numbered; tested against brute force."""
+    return _sequence(table(spark, d, "documents"))
+
+
+def _sequence(docs: DataFrame) -> DataFrame:
     o = N.ngram_occurrences(docs, "doc_id", "text")
     w = Window.partitionBy("doc_id").orderBy("seg", "start", "n")
     return o.select("doc_id", F.col("n").cast("bigint").alias("n"), "gram", F.row_number().over(w).cast("bigint").alias("ordinal"))

@@ -93,6 +93,17 @@ def test_closure_of_every_parent(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
 
 
+def _english(spark, tmp_path, texts, lang="en"):
+    spark.createDataFrame([(i, "blog" if i % 2 else None, lang, t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+
+def test_sequence_of_every_document(spark, tmp_path):
+    _english(spark, tmp_path, ["red knee hurts", "cold tea", None], None)
+    got = [(r.doc_id, r.ordinal, r.gram) for r in QUERIES["ngram_sequence_all"](spark, str(tmp_path)).orderBy("doc_id", "ordinal").collect()]
+    first = ["red", "red knee", "red knee hurts", "knee", "knee hurts", "hurts"]
+    assert got == [(0, i + 1, g) for i, g in enumerate(first)] + [(1, 1, "cold"), (1, 2, "cold tea"), (1, 3, "tea")]
+
+
 def test_vectors(spark):
     e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [5.0, 5.0])], "id long, v array<double>")
     got = [(r.query, r.key, r.place) for r in V.knn(e, e.filter("id = 1"), "id", "v", 2).orderBy("place").collect()]
