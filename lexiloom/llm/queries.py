@@ -81,6 +81,12 @@ def p6_lift(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("code_a"), F.col("b").alias("code_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and lift of every pair of codes that is together at all."""
+    pairs = pair_lift(table(spark, d, "content_tag_ytex"), "instance_id", "code")
+    return pairs.select(F.col("a").alias("code_a"), F.col("b").alias("code_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
+
+
 def p7_rank(spark: SparkSession, d: str) -> DataFrame:
     flows = rank_items(outranking_flows(table(spark, d, "k20all"), "ngram", SCORES))
     return flows.select(F.col("key").alias("ngram"), *[F.round(f"flow_{s.column}", 9).alias(f"flow_{s.column}") for s in SCORES], F.round("net_flow", 9).alias("net_flow"), "place")
@@ -114,7 +120,7 @@ def p10_slots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p2_found, p3_found, p3_clean, p5_found, p5_rates, p5_limits, p6_found, p6_lift, p7_rank, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_slots]
+    names = [p2_found, p3_found, p3_clean, p5_found, p5_rates, p5_limits, p6_found, p6_lift, p6_pairs, p7_rank, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_slots]
     return {f.__name__: f for f in names}
 
 

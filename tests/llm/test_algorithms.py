@@ -7,6 +7,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from lexiloom.llm import queries
 from lexiloom.llm.cooccur import PairCounter, pair_lift
 from lexiloom.llm.mixing import flight, land, mix_sources
 from lexiloom.llm.outranking import Score, outranking_flows, rank_items
@@ -30,6 +31,13 @@ def test_pairs_like_brute_force(spark, rows):
     assert got == brute_pairs(rows)
 
 
+def test_pairs_query_gives_rare_pairs(spark, tmp_path):
+    rows = [(i, c) for i in range(6) for c in "ab"] + [(7, "a"), (7, "rare"), (8, "once"), (8, "rare")]
+    spark.createDataFrame(rows, "instance_id long, code string").write.parquet(str(tmp_path / "content_tag_ytex.parquet"))
+    got = {(r.code_a, r.code_b): (r.n_a, r.n_b, r.n_ab) for r in queries.queries()["p6_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {p: v[:3] for p, v in brute_pairs(rows).items()} and len(got) == 3
+
+
 def test_counter_parts_agree():
     rng = np.random.default_rng(3)
     baskets = [np.unique(rng.zipf(1.4, 30) % 40) for _ in range(300)]
