@@ -169,6 +169,16 @@ def test_residue(spark):
     assert got == {1: "placeholder", 3: "filler", 4: "filler", 5: "error_page", 6: "script_notice", 11: "placeholder"}
 
 
+def test_long_whole_pages(spark):
+    docs = [
+        (1, "Home | Forum | Search | Help\n" * 80 + "404 Not Found."), (2, "This is sample text. " * 100), (3, "Fatal error: boom\n" + "\n".join(f"at org.app.Main.run{i}(Main.java:{i})" for i in range(150))),
+        (4, "I got a 404 not found when I opened the page of the clinic, so I called them instead. Then I went to bed early. " * 40), (5, " | ".join(["Home", "Forum"] * 3000) + "\nPlease enable JavaScript to view this page."),
+        (6, "my knee hurts and " * 60 + "the page not found came up " + "so i went to bed " * 60), (7, "sample text " * 400),
+    ]
+    got = {r.doc_id: r.kind for r in find_residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: "error_page", 2: "filler", 3: "error_page", 5: "script_notice", 7: "filler"}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "id long, doc_id long, text string, host string, src string, g int, s string, t string, len int")
     assert strip_markup(df, "host", ["id"], "text").count() == 0
