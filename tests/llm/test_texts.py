@@ -179,6 +179,15 @@ def test_long_whole_pages(spark):
     assert got == {1: "error_page", 2: "filler", 3: "error_page", 5: "script_notice", 7: "filler"}
 
 
+def test_copies_of_a_cut_answer(spark):
+    rng = random.Random(1)
+    things = ["tea", "milk", "bread", "rice", "soup", "fish"]
+    rows = [(i, f"Why does my knee hurt on day {i}?", f"Drink {rng.choice(things)} with {rng.choice(things)} and see whether your knee calms down.") for i in range(60)]
+    rows += [(100 + i, "Why does my knee hurt?", "Drink tea with milk and see wheth") for i in range(8)] + [(200 + i, f"Did yours hurt on day {i}?", "Mine did") for i in range(8)]
+    got = {r.key: r.defect for r in find_defects(spark.createDataFrame(rows, "id int, q string, a string"), "id", "q", "a").collect()}
+    assert got == {100 + i: "truncated" for i in range(8)}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "id long, doc_id long, text string, host string, src string, g int, s string, t string, len int")
     assert strip_markup(df, "host", ["id"], "text").count() == 0
