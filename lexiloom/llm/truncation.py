@@ -19,6 +19,7 @@ NEIGHBOURS = 5  # lengths on each side whose hazards are the measure
 FALSE_DISCOVERY = 0.01
 LIMIT_COUNT = 20  # texts at a length from which it can be a limit
 LIMIT_SHARE = 0.6  # at a limit an open ending is whole only beyond this share of ends
+FOLLOWED = 3  # different terms that a frame must follow before it proves that a term is whole
 CAP = 0.9  # hazard of a limit that lets hardly any text through; there an open ending is a cut one
 
 
@@ -92,7 +93,9 @@ def cut_terms(rows: DataFrame, source: Sequence[str], key: str, term: str, sente
     The sentence tells what follows the term: a letter means that it stops inside a word, unless
     the rest is an English ending on a word in use. Otherwise the two words that follow
     are looked up among all rows: what follows whole terms recurs, and follows terms of all
-    lengths, whereas the inside of a term follows only at a limit or once in a while.
+    lengths, whereas the inside of a term follows only at a limit or once in a while. A frame proves
+    wholeness when it holds a hundredth of the distinct pairs of term and sentence and follows
+    ``FOLLOWED`` different terms; copies of a row are no further evidence.
     Terms that the sentence lacks, null and blank ones give no row.
     """
     base = rows.select(*source, F.col(key).alias("key"), F.col(term).cast("string").alias("term"), F.col(sentence).cast("string").alias("s")).filter(F.trim("term") != "")
@@ -107,9 +110,9 @@ def cut_terms(rows: DataFrame, source: Sequence[str], key: str, term: str, sente
     limits = length_limits(seen.select(*source, "len"), source, "len").filter("limit").select(*[F.col(x).alias(f"s_{x}") for x in source], F.col("len").alias("s_len"), F.lit(True).alias("at_limit"))
     seen = seen.join(F.broadcast(limits), on=[F.col(x).eqNullSafe(F.col(f"s_{x}")) for x in source] + [F.col("len") == F.col("s_len")], how="left").drop("s_len", *[f"s_{x}" for x in source])
     seen = seen.withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    whole = seen.filter(F.col("frame").isNotNull() & ~F.col("at_limit"))
+    whole = seen.filter(F.col("frame").isNotNull() & ~F.col("at_limit")).select(F.lower("term").alias("term"), F.lower("s").alias("s"), "frame").distinct()
     n = whole.count()
-    frames = whole.groupBy("frame").agg(F.count("*").alias("times"))
+    frames = whole.groupBy("frame").agg(F.count("*").alias("times"), F.count_distinct("term").alias("terms")).filter(F.col("terms") >= FOLLOWED).drop("terms")
     out = seen.join(frames, "frame", "left").withColumn("chance", F.when(F.col("frame").isNull(), 0.0).otherwise(F.coalesce("times", F.lit(0)) / F.lit(float(max(1, n)))))
     # the term is whole in another form where the sentence only adds an ending to a word in use
     used = base.select(F.explode(F.array_distinct(F.split(F.lower("s"), r"[^\p{L}\d]+"))).alias("last")).groupBy("last").count().filter("last <> ''").select("last", F.lit(True).alias("used"))

@@ -188,6 +188,13 @@ def test_copies_of_a_cut_answer(spark):
     assert got == {100 + i: "truncated" for i in range(8)}
 
 
+def test_copies_of_a_cut_term(spark):
+    terms = [(i, f"bad {'very ' * (i % 9)}knee {i * i}", f"Known bad {'very ' * (i % 9)}knee {i * i} or use of tea.") for i in range(200)]
+    terms += [(900 + i, "history of bad", "Known history of bad knee or use of tea.") for i in range(8)] + [(920 + i, "sore", f"Known sore left arm in case {i}.") for i in range(8)]
+    got = {r.key for r in cut_terms(spark.createDataFrame(terms, "id int, t string, s string").withColumn("src", F.lit("b")), ["src"], "id", "t", "s").collect()}
+    assert got == {*range(900, 908), *range(920, 928)}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "id long, doc_id long, text string, host string, src string, g int, s string, t string, len int")
     assert strip_markup(df, "host", ["id"], "text").count() == 0
