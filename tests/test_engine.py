@@ -104,6 +104,15 @@ def test_sequence_of_every_document(spark, tmp_path):
     assert got == [(0, i + 1, g) for i, g in enumerate(first)] + [(1, 1, "cold"), (1, 2, "cold tea"), (1, 3, "tea")]
 
 
+def test_vector_of_every_gram(spark, tmp_path):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    texts = [w for w in words for _ in range(12)] + ["rare worda" + chr(98)] + ["wordaa wordac"] * 2
+    _english(spark, tmp_path, texts)
+    got = {(r.gram, r.word): r.n for r in QUERIES["bow_gram_vectors"](spark, str(tmp_path)).collect()}
+    want = {("rare", "wordab"): 1, ("rare wordab", "wordab"): 1, ("wordaa", "wordac"): 2, ("wordac", "wordaa"): 2, ("wordaa wordac", "wordaa"): 2, ("wordaa wordac", "wordac"): 2}
+    assert got == want
+
+
 def test_vectors(spark):
     e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [5.0, 5.0])], "id long, v array<double>")
     got = [(r.query, r.key, r.place) for r in V.knn(e, e.filter("id = 1"), "id", "v", 2).orderBy("place").collect()]
