@@ -195,6 +195,15 @@ def test_copies_of_a_cut_term(spark):
     assert got == {*range(900, 908), *range(920, 928)}
 
 
+def test_weak_marks_need_alignment(spark):
+    docs = [
+        (1, "My list has a [NOTE] beside rice."), (2, "She wrote one [NOTE] about sleep."), (3, "There was no [NOTE] under milk."),
+        (4, "{name} wrote to us."), (5, "Anna wrote to us."), (6, "Bert wrote to us."), (7, "Yours truly, {sender}"), (8, "Yours truly, Anna"), (9, "Yours truly, Bert"),
+    ]
+    got = {r.doc_id: r.kind for r in find_residue(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {4: "placeholder", 7: "placeholder"}
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "id long, doc_id long, text string, host string, src string, g int, s string, t string, len int")
     assert strip_markup(df, "host", ["id"], "text").count() == 0
