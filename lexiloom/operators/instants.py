@@ -5,7 +5,7 @@ Rows carry few distinct spellings next to their number, so nothing is parsed per
 1. every raw string (a date with its helpers, a clock time with its AM/PM field, a whole stamp)
    goes once into a dictionary keyed by source and string;
 2. the dictionary is parsed exhaustively, each string once;
-3. it may be kept as a Parquet table and is then only extended by strings it lacks;
+3. it may be kept as Parquet batches and is then only extended by strings it lacks;
 4. distinct local times with their zone are turned into instants in a second dictionary;
 5. both are joined back to the rows.
 """
@@ -13,13 +13,17 @@ Rows carry few distinct spellings next to their number, so nothing is parsed per
 from __future__ import annotations
 
 import datetime
+import hashlib
+import inspect
 import re
+import sys
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..runtime import cut
+from ..runtime import cut, shared_folder
 
 # Zone abbreviations and their offsets from UTC in minutes.
 ABBREVIATIONS = {
@@ -181,28 +185,47 @@ def local_to_epoch(local_s: Column, zone: Column) -> Column:
     return F.when(fits_b & fits_a & (before == after), before).when(fits_b & ~fits_a, before).when(fits_a & ~fits_b, after)
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+def _batches(spark, path: str) -> list[str]:
+    """Folders below ``path`` whose writer has finished; a batch that is still being written is not seen."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found = [s.getPath().toString() for s in fs.listStatus(p)]
+    return sorted(f for f in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f + "/_SUCCESS")))
 
 
 def extend_dictionary(values: DataFrame, keys: Sequence[str], parse: dict[str, Column], path: str | None) -> DataFrame:
-    """Distinct ``keys`` of ``values`` with the columns of ``parse``.
+    """Distinct ``keys`` of ``values`` with the columns of ``parse``, each key parsed once.
 
-    With a ``path`` the dictionary is a Parquet table there: only keys it lacks are parsed and
-    appended, so a later load parses nothing twice. Null keys are kept as keys of their own.
+    The distinct keys are materialised before they are parsed, and the parsed ones after, so that no
+    filter on a parsed column brings the parser down to the rows. With a ``path`` the dictionary is
+    kept there: only keys it lacks are parsed, as a batch in a folder of its own, so writers do not
+    meet; a key that two of them brought counts once. Null keys are kept as keys of their own.
     """
+    spark = values.sparkSession
     distinct = values.select(*keys).distinct()
+    columns = [*keys, *[c.alias(k) for k, c in parse.items()]]
     if path is None:
-        return distinct.select(*keys, *[c.alias(k) for k, c in parse.items()])
-    spark = values.sparkSession
-    if _exists(values, path):
-        known = spark.read.parquet(path).select(*keys)
-        same = [distinct[k].eqNullSafe(known[k]) for k in keys]
-        distinct = distinct.join(known, on=same, how="left_anti")
-    distinct.select(*keys, *[c.alias(k) for k, c in parse.items()]).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        return cut(cut(distinct).select(*columns))
+    known = _batches(spark, path)
+    if known:
+        got = spark.read.parquet(*known).select(*[F.col(k).alias(f"__{k}") for k in keys])
+        distinct = distinct.join(got, on=[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], how="left_anti")
+    lacking = cut(distinct)
+    if not known or not lacking.isEmpty():
+        lacking.select(*columns).write.parquet(f"{path}/{uuid.uuid4().hex}")
+        known = _batches(spark, path)
+    # a key stands in one batch, unless two writers brought it at once
+    return spark.read.parquet(*known).dropDuplicates(list(keys)) if len(known) > 1 else spark.read.parquet(*known)
+
+
+def kept_dictionaries(spark) -> str:
+    """Folder of the kept dictionaries in the shared folder; its name follows the text of this module,
+    so a changed parser starts anew."""
+    text = hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:12]
+    return f"{shared_folder(spark)}/lexiloom-instants-{text}"
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -237,17 +260,15 @@ def normalise_instants(
     raw = raw.filter(F.trim("d") != "").withColumn("t", F.when(F.trim("t") != "", F.trim("t"))).withColumn("ap", F.when(F.col("t").isNotNull(), F.col("ap")))
     at = lambda name: None if dictionary is None else f"{dictionary}/{name}_{order}"
     days = extend_dictionary(raw, ["d", "m", "y"], {"dd": _dates(order)("d", "m", "y")}, at("dates")).filter("dd.day is not null or dd.epoch is not null")
-    clocks = extend_dictionary(raw.filter("t is not null"), ["t", "ap"], {"tt": _clocks()("t", "ap")}, at("clocks")).filter("tt.seconds is not null")
-    clocks = cut(clocks)
-    # a clock written behind the date joins the dictionary of clocks too
-    inner = extend_dictionary(days.filter("dd.rest is not null").select(F.col("dd.rest").alias("t"), null.alias("ap")), ["t", "ap"], {"rr": _clocks()("t", "ap")}, at("clocks_behind")).filter("rr.seconds is not null").select("t", "rr")
-    days = cut(days.join(inner, F.col("dd.rest") == inner["t"], "left").drop(inner["t"]))  # parsed once
-    dated = null_safe_join(null_safe_join(raw, days, ["d", "m", "y"], "inner"), clocks, ["t", "ap"], "left")
-    clock = F.when(F.col("dd.rest").isNull(), F.col("tt")).when(F.col("t").isNull(), F.col("rr"))
-    local = dated.select("row_id", "zone", F.col("dd.epoch").alias("epoch"), F.col("dd.day").alias("day_n"), clock.alias("c"))
-    local = local.select("row_id", "epoch", "zone", (F.col("day_n") * 86400 + F.col("c.seconds")).alias("local_s"), F.col("c.offset").alias("offset"))
-    stated = local.select("row_id", "zone", "local_s", F.coalesce("epoch", F.col("local_s") - F.col("offset")).alias("epoch_s"))
-    stated = cut(stated)
+    # clocks stand in a field of their own or behind the date; both go into one dictionary
+    behind = days.filter("dd.rest is not null").select(F.col("dd.rest").alias("t"), null.alias("ap"))
+    asked = behind if time is None else raw.filter("t is not null").select("t", "ap").unionByName(behind)
+    clocks = extend_dictionary(asked, ["t", "ap"], {"tt": _clocks()("t", "ap")}, at("clocks")).filter("tt.seconds is not null")
+    one = F.when(F.col("dd.rest").isNull(), F.col("t")).when(F.col("t").isNull(), F.col("dd.rest"))  # two clocks are none
+    dated = null_safe_join(raw, days, ["d", "m", "y"], "inner").select("row_id", "zone", F.col("dd.epoch").alias("epoch"), F.col("dd.day").alias("day"), one.alias("t"), F.when(F.col("dd.rest").isNull(), F.col("ap")).alias("ap"))
+    local = null_safe_join(dated, clocks, ["t", "ap"], "left")
+    local = local.select("row_id", "epoch", "zone", (F.col("day") * 86400 + F.col("tt.seconds")).alias("local_s"), F.col("tt.offset").alias("offset"))
+    stated = cut(local.select("row_id", "zone", "local_s", F.coalesce("epoch", F.col("local_s") - F.col("offset")).alias("epoch_s")))
     zoned = stated.filter("epoch_s is null and local_s is not null and zone is not null")
     walls = extend_dictionary(zoned, ["local_s", "zone"], {"epoch_s": local_to_epoch(F.col("local_s"), F.col("zone"))}, at("walls")).filter("epoch_s is not null")
     return stated.filter("epoch_s is not null").select("row_id", "epoch_s").unionByName(zoned.drop("epoch_s").join(walls, ["local_s", "zone"]).select("row_id", "epoch_s"))

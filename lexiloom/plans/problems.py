@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.instants import normalise_instants
+from ..operators.instants import kept_dictionaries, normalise_instants
 from ..operators.packed import explode_packed
 from ..runtime import table
 
@@ -19,8 +19,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     zones = table(spark, d, "source_zones")
     deaf = _zoned(table(spark, d, "dataset_deaf"), zones, "dataset_deaf", "type")
     yahoo = _zoned(table(spark, d, "tmp_org_yahoo"), zones, "tmp_org_yahoo", "category")
-    posts = normalise_instants(deaf, "postid", "date", "__zone", "time", "ampm", "month", "year")
-    answers = normalise_instants(yahoo, "id", "chosenanswertimestamp", "__zone", order="written")
+    kept = kept_dictionaries(spark)
+    posts = normalise_instants(deaf, "postid", "date", "__zone", "time", "ampm", "month", "year", dictionary=f"{kept}/dataset_deaf")
+    answers = normalise_instants(yahoo, "id", "chosenanswertimestamp", "__zone", order="written", dictionary=f"{kept}/tmp_org_yahoo")
     both = posts.select(F.lit("dataset_deaf").alias("tbl"), F.col("row_id").cast("bigint"), "epoch_s").unionByName(answers.select(F.lit("tmp_org_yahoo").alias("tbl"), F.col("row_id").cast("bigint"), "epoch_s"))
     return both.filter("row_id is not null").distinct()
 

@@ -4,6 +4,7 @@ import zoneinfo
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from lexiloom.operators import instants
 from lexiloom.operators.instants import local_to_epoch, normalise_instants, offset_seconds, parse_clock, parse_date
 from pyspark.sql import functions as F
 
@@ -105,6 +106,28 @@ def test_rows_and_kept_dictionary(spark, tmp_path):
     assert run(df) == want
     kept = str(tmp_path / "dictionary")
     assert run(df, dictionary=kept) == want
-    before = spark.read.parquet(kept + "/dates_either").count()
-    assert run(df, dictionary=kept) == want and spark.read.parquet(kept + "/dates_either").count() == before
-    assert run(df.limit(0)) == []
+    keys = lambda: spark.read.parquet(*instants._batches(spark, kept + "/dates_either")).count()
+    before = keys()
+    assert run(df, dictionary=kept) == want and keys() == before
+    assert run(df.limit(0), dictionary=kept) == [] and run(df.limit(0)) == []
+
+
+def test_each_string_parsed_once(spark, tmp_path):
+    """No parser stands in the plan over the rows, and the kept dictionary holds each string once."""
+    rows = [(i, f"2010-07-0{1 + i % 3}", "12:00", None, None, None, "Europe/Berlin", None, None, None) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = normalise_instants(df, "id", "date", "zone", "time", "ampm", "month", "year", dictionary=str(tmp_path / "kept"))
+    assert "ArrowEvalPython" not in plan._jdf.queryExecution().toString() and plan.count() == 50
+    dates = spark.read.parquet(*instants._batches(spark, str(tmp_path / "kept") + "/dates_either"))
+    assert sorted(r.d for r in dates.collect()) == ["2010-07-01", "2010-07-02", "2010-07-03"]
+
+
+def test_two_writers_of_one_dictionary(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    parse = {"n": F.length("k")}
+    first = instants.extend_dictionary(df, ["k"], parse, path)
+    first.write.parquet(path + "/another")  # a second writer brings the same keys
+    (tmp_path / "kept" / "unfinished").mkdir()
+    got = instants.extend_dictionary(df.unionByName(spark.createDataFrame([("ccc",)], "k string")), ["k"], parse, path)
+    assert sorted((r.k or "", r.n) for r in got.collect()) == [("", None), ("a", 1), ("b", 1), ("ccc", 3)]
