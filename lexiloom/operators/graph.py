@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut
+from ..runtime import cut, meet
+from .ordering import running_number
 
 DEPTH = 5
 
@@ -41,20 +42,64 @@ def degrees(edges: DataFrame) -> DataFrame:
     return n.withColumn("kind", F.when(F.col("parents") == 0, "root").when(F.col("parents") == 1, "child").otherwise("new_root"))
 
 
-def group_under_roots(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
+def group_under_roots(edges: DataFrame) -> DataFrame:
     """``(node, kind, head, steps)``: each child under the nearest root or new root on its only way up.
 
-    A child that reaches none within ``depth`` steps, as on a cycle, is its own head.
+    Pointer jumping: in each round a child's pointer takes over the pointer of the node it points
+    at, so a way of any length ends after as many rounds as its length has bits. A round that brings
+    nobody to a head leaves only children on or under a cycle, which are their own heads at -1 steps.
     """
     e = edges.filter("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
     kinds = cut(degrees(edges))
-    done = kinds.filter("kind <> 'child'").select("node", "kind", F.col("node").alias("head"), F.lit(0).alias("steps"))
-    walk = kinds.filter("kind = 'child'").select("node", F.col("node").alias("at"))
-    for k in range(1, depth + 1):
-        walk = walk.join(e, walk["at"] == e["child"]).select("node", F.col("parent").alias("at"))
-        walk = walk.join(kinds.select(F.col("node").alias("at"), F.col("kind").alias("at_kind")), "at")
-        arrived = walk.filter("at_kind <> 'child'").select("node", F.lit("child").alias("kind"), F.col("at").alias("head"), F.lit(k).alias("steps"))
-        done = cut(done.unionByName(arrived))
-        walk = cut(walk.filter("at_kind = 'child'").select("node", "at"))
-    lost = walk.select("node", F.lit("child").alias("kind"), F.col("node").alias("head"), F.lit(-1).alias("steps"))
-    return done.unionByName(lost)
+    heads = kinds.filter("kind <> 'child'").select("node")
+    up = kinds.filter("kind = 'child'").select("node").join(e, F.col("node") == F.col("child")).select("node", F.col("parent").alias("at"), F.lit(1).cast("bigint").alias("steps"))
+    walk = cut(meet(up, heads.select(F.col("node").alias("at"), F.lit(True).alias("done")), ["at"], "left").withColumn("done", F.coalesce("done", F.lit(False))))
+    left = walk.filter("not done").count()
+    while left:
+        # arrived pointers stay as they are and are only read
+        ahead = walk.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("done").alias("there"))
+        moved = meet(walk.filter("not done").drop("done"), ahead, ["at"]).select("node", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("done"))
+        walk = cut(walk.filter("done").select("node", "at", "steps", "done").unionByName(moved))
+        before, left = left, walk.filter("not done").count()
+        if left == before:
+            break
+    child = F.lit("child").alias("kind")
+    arrived = walk.filter("done").select("node", child, F.col("at").alias("head"), "steps")
+    lost = walk.filter("not done").select("node", child, F.col("node").alias("head"), F.lit(-1).cast("bigint").alias("steps"))
+    return kinds.filter("kind <> 'child'").select("node", "kind", F.col("node").alias("head"), F.lit(0).cast("bigint").alias("steps")).unionByName(arrived).unionByName(lost)
+
+
+def group_numbers(grouped: DataFrame) -> DataFrame:
+    """``grouped`` with ``group_id``: heads are numbered from 1 in the order of their names, their
+    members inherit the number; nodes on cycles, which have no head, get 0."""
+    heads = running_number(grouped.filter("steps = 0").select(F.col("node").alias("head")), [F.asc("head")], "group_id")
+    return meet(grouped, cut(heads), ["head"], "left").withColumn("group_id", F.when(F.col("steps") < 0, 0).otherwise(F.col("group_id")).cast("bigint"))
+
+
+def group_kinds(grouped: DataFrame) -> DataFrame:
+    """``(group_id, members, children, kind)`` of each group: ``single`` for a head alone, else its head's kind."""
+    by = grouped.filter("group_id > 0").groupBy("group_id").agg(F.count("*").alias("members"), F.count_if(F.col("kind") == "child").alias("children"), F.max(F.when(F.col("steps") == 0, F.col("kind"))).alias("head_kind"))
+    return by.select("group_id", "members", "children", F.when((F.col("members") == 1) & (F.col("head_kind") == "root"), "single").otherwise(F.col("head_kind")).alias("kind"))
+
+
+def unpack_edges(rows: DataFrame, packed: str, pair_sep: str = ";", part_sep: str = ",") -> DataFrame:
+    """``(child, parent)`` from a string of packed pairs; the parent ``null`` states a vertex without edge.
+
+    Repeated pairs count once; pairs without a child are left out.
+    """
+    p = rows.select(F.explode(F.split(packed, f"[{pair_sep}]")).alias("p")).select(F.split("p", f"[{part_sep}]").alias("x"))
+    parent = F.trim(F.get("x", F.lit(1)))
+    return p.select(F.trim(F.get("x", F.lit(0))).alias("child"), F.when(parent != "null", parent).alias("parent")).filter("child <> ''").distinct()
+
+
+def split_new_roots(edges: DataFrame, copies: bool = False) -> DataFrame:
+    """``(child, parent)`` where no node has two parents: the edges of a new root are cut.
+
+    With ``copies`` each of them gets a copy of the vertex, named after the parent, instead.
+    """
+    e = edges.filter("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
+    kinds = cut(e.groupBy("child").agg(F.count("*").alias("n")))
+    j = meet(e, kinds, ["child"])
+    if not copies:
+        return j.filter("n = 1").select("child", "parent")
+    return j.select(F.when(F.col("n") > 1, F.concat("child", F.lit("@"), "parent")).otherwise(F.col("child")).alias("child"), "parent")

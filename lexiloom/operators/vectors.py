@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..runtime import cores
 
 
 def dimension_stats(df: DataFrame, vector: str) -> DataFrame:
@@ -53,51 +54,51 @@ def revise_clusters(assigned: DataFrame, least_percent: float, least: int) -> Da
     return sizes.select("centre", "size", ((k * F.col("size") * 100 / F.lit(n or 1) >= least_percent) & (F.col("size") >= least)).alias("kept"))
 
 
+QUERY_BLOCK, ROW_BLOCK = 4096, 65_536  # vectors of a block pair, which one task holds
+
+
 def knn(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
     """``(query, key, cost, place)``: the ``k`` nearest rows of each query but itself; ties by key.
 
-    Queries form a stated set against all rows. Each task keeps its best ``k`` per query before the
-    shuffle, so what meets in one place is ``k`` rows per query and task.
+    Queries form a stated set against all rows. Both sides are hashed into blocks that meet pair by
+    pair; a pair keeps the best ``k`` of each query, so what meets at last is ``k`` rows per query and
+    row block. Costs are exact: the matrix product only picks those that can be among the best. Null
+    vectors are left out, null keys too.
     """
     import numpy as np
     import pandas as pd
 
-    asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).filter("v is not null").orderBy("q")
-    out = None
-    for block in _blocks(asked):
-        ids = np.array([r.q for r in block])
-        m = np.array([r.v for r in block], dtype=np.float64)
-
-        def best(batches, ids=ids, m=m):
-            held = None
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.array(b["v"].tolist(), dtype=np.float64)
-                cost = ((m[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) if m.size * len(x) < 5e7 else np.stack([((x - row) ** 2).sum(axis=1) for row in m])
-                one = pd.DataFrame({"query": np.repeat(ids, len(x)), "key": np.tile(b["key"].to_numpy(), len(ids)), "cost": cost.ravel()})
-                one = one[one["query"] != one["key"]]
-                held = one if held is None else pd.concat([held, one])
-                held = held.sort_values(["query", "cost", "key"]).groupby("query").head(k)
-            if held is not None:
-                yield held
-
-        one = rows.select(F.col(key).alias("key"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(best, "query bigint, key bigint, cost double")
-        out = one if out is None else out.unionByName(one)
+    asked = queries.select(F.col(key).cast("bigint").alias("query"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and query is not null")
+    held = rows.select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and key is not null")
+    blocks_q, blocks_r = max(1, -(-asked.count() // QUERY_BLOCK)), max(cores(rows.sparkSession), -(-held.count() // ROW_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = asked.withColumn("i", block("query", blocks_q)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks_r - 1))))
+    right = held.withColumn("j", block("key", blocks_r)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"query": [], "key": [], "cost": []}
+        if len(a) and len(b):
+            b = b.sort_values("key", kind="stable")
+            x, keys = np.array(b["v"].tolist(), dtype=np.float64), b["key"].to_numpy()
+            norm = (x * x).sum(axis=1)
+            for s in range(0, len(a), 256):
+                m = np.array(a["v"].iloc[s : s + 256].tolist(), dtype=np.float64)
+                near = norm[None, :] - 2 * (m @ x.T) + (m * m).sum(axis=1)[:, None]
+                slack = 1e-9 * (norm.max() + (m * m).sum(axis=1).max()) + 1e-12
+                for row, q, v in zip(near, a["query"].iloc[s : s + 256].tolist(), m, strict=True):
+                    bar = np.partition(row, min(k, len(row) - 1))[min(k, len(row) - 1)] + slack  # one more than k, as the query may be among them
+                    at = np.flatnonzero(row <= bar)
+                    at = at[keys[at] != q]
+                    cost = ((x[at] - v) ** 2).sum(axis=1)
+                    first = np.lexsort((keys[at], cost))[:k]
+                    out["query"] += [q] * len(first)
+                    out["key"] += keys[at][first].tolist()
+                    out["cost"] += cost[first].tolist()
+        return pd.DataFrame(out).astype({"query": "int64", "key": "int64", "cost": "float64"})
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "query bigint, key bigint, cost double")
     w = Window.partitionBy("query").orderBy("cost", "key")
-    return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
-
-
-def _blocks(asked: DataFrame, size: int = 2000):
-    """Blocks of at most ``size`` queries on the driver, one after another."""
-    held = []
-    for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+    return met.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
 def rank_curve(df: DataFrame, order: list[Column], hit: Column, levels: int = 40, granularity: int = 5, beta: float = 0.5) -> DataFrame:

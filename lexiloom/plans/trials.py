@@ -98,9 +98,9 @@ def isa_degrees(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"with recursive {_EDGES}, nodes as (select child as node from e union select parent from e), up as (select child as node, count(*) as parents from e group by 1), "
     "kinds as (select node, case when coalesce(parents, 0) = 0 then 'root' when parents = 1 then 'child' else 'new_root' end as kind from nodes left join up using (node)), "
-    "w(node, pos, steps) as (select node, node, 0 from kinds where kind = 'child' union all select w.node, e.parent, w.steps + 1 from w join e on e.child = w.pos join kinds k on k.node = w.pos where k.kind = 'child' and w.steps < 5), "
+    "w(node, pos, steps) as (select node, node, 0 from kinds where kind = 'child' union all select w.node, e.parent, w.steps + 1 from w join e on e.child = w.pos join kinds k on k.node = w.pos where k.kind = 'child' and w.steps <= (select count(*) from nodes)), "
     "got as (select w.node, w.pos as head, w.steps from w join kinds k on k.node = w.pos where k.kind <> 'child') "
-    "select node, kind, node as head, 0 as steps from kinds where kind <> 'child' union all select node, 'child', head, steps from got union all select node, 'child', node, -1 from kinds where kind = 'child' and node not in (select node from got)"
+    "select node, kind, node as head, cast(0 as bigint) as steps from kinds where kind <> 'child' union all select node, 'child', head, cast(steps as bigint) from got union all select node, 'child', node, cast(-1 as bigint) from kinds where kind = 'child' and node not in (select node from got)"
 )
 def isa_grouping(spark: SparkSession, d: str) -> DataFrame:
     return G.group_under_roots(_edges(spark, d))

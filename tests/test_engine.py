@@ -13,6 +13,7 @@ from lexiloom.operators import relational as R
 from lexiloom.operators import vectors as V
 from lexiloom.plans import extras, trials  # noqa: F401  (they register their queries)
 from lexiloom.plans.registry import QUERIES
+from lexiloom.runtime import meet
 from lexiloom.sources import files as S
 from lexiloom.streaming import windows as W
 
@@ -71,6 +72,17 @@ def test_graph_with_a_cycle(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "x"), ("p", "q"), ("q", "p"), (None, "a"), ("a", "a")], "child string, parent string")
     got = {r.node: (r.kind, r["head"], r.steps) for r in G.group_under_roots(e).collect()}
     assert got["a"] == ("root", "a", 0) and got["c"] == ("child", "a", 2) and got["d"] == ("new_root", "d", 0) and got["p"] == ("child", "p", -1)
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(50)] + [("m0", "m1"), ("m1", "m2"), ("m2", "m1")], "child string, parent string")
+    got = {r.node: (r["head"], r.steps) for r in G.group_under_roots(chain).collect()}
+    assert all(got[f"n{i}"] == ("n50", 50 - i) for i in range(51)) and got["m0"] == ("m0", -1) and got["m1"] == ("m1", -1)
+    numbered = G.group_numbers(G.group_under_roots(e))
+    assert {r.node: r.group_id for r in numbered.collect()} == {"a": 1, "b": 1, "c": 1, "d": 2, "x": 3, "p": 0, "q": 0}
+    assert {r.group_id: (r.members, r.children, r.kind) for r in G.group_kinds(numbered).collect()} == {1: (3, 2, "root"), 2: (1, 0, "new_root"), 3: (1, 0, "single")}
+    packed = spark.createDataFrame([("b,a;c,b;c,b; z,null",), (None,), ("",)], "p string")
+    assert {tuple(r) for r in G.unpack_edges(packed, "p").collect()} == {("b", "a"), ("c", "b"), ("z", None)}
+    assert {tuple(r) for r in G.split_new_roots(e).collect()} == {("b", "a"), ("c", "b"), ("p", "q"), ("q", "p")}
+    assert {tuple(r) for r in G.split_new_roots(e, copies=True).collect()} == {("b", "a"), ("c", "b"), ("p", "q"), ("q", "p"), ("d@c", "c"), ("d@x", "x")}
+    assert G.group_under_roots(e.limit(0)).count() == 0
     below = {(r.node, r.depth) for r in G.descendants(e, spark.createDataFrame([("a",)], "root string")).collect()}
     assert below == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
 
@@ -117,10 +129,25 @@ def test_vectors(spark):
     e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [5.0, 5.0])], "id long, v array<double>")
     got = [(r.query, r.key, r.place) for r in V.knn(e, e.filter("id = 1"), "id", "v", 2).orderBy("place").collect()]
     assert got == [(1, 2, 1), (1, 3, 2)]
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(300, 5)).round(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, v array<double>")
+    got = {(r.query, r.place): r.key for r in V.knn(df, df.filter("id % 20 = 0"), "id", "v", 4).collect()}
+    want = {(q, p + 1): k for q in range(0, 300, 20) for p, (_, k) in enumerate(sorted((((x[k] - x[q]) ** 2).sum(), k) for k in range(300) if k != q)[:4])}
+    assert got == want and V.knn(df.limit(0), df, "id", "v").count() == 0
     n = V.nearest_centres(e, "id", "v", [(0, [0.0, 0.0]), (1, [5.0, 5.0])])
     assert {r.key: r.centre for r in n.collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
 
 
+def test_meeting_of_hot_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else None) for i in range(200)] + [(900, "b"), (901, "z")], "i int, k string")
+    lookup = spark.createDataFrame([("hot", 1), ("b", 2), ("c", 3)], "k string, n int")
+    for most in (0, 100):
+        assert sorted((r.i, r.n) for r in meet(rows, lookup, ["k"], max_rows=most).collect()) == [(i, 1) for i in range(1, 200, 2)] + [(900, 2)]
+        assert meet(rows, lookup, ["k"], "left", most).count() == 202
+
+
 def test_scores_and_periods(spark):
     r = spark.range(1).select(
         X.similarity(F.lit(""), F.lit("")).alias("e"), X.similarity(F.lit("Abc"), F.lit("abd")).alias("s"), X.period_seconds(F.lit("P1Y")).alias("y"), X.period_seconds(F.lit("PX")).alias("x"),
