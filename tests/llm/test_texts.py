@@ -5,7 +5,7 @@ import random
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom.llm import queries
+from lexiloom.llm import leaks, queries
 from lexiloom.llm.endings import ending_counts, judge_open_ends
 from lexiloom.llm.leaks import BlockShifts, WINDOW, find_leaks, held, words_of
 from lexiloom.llm.markup import markup_kinds, repeated_runs, strip_markup
@@ -131,7 +131,7 @@ def test_runs_like_brute_force(spark, pages):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcdef"), min_size=WINDOW, max_size=9), min_size=1, max_size=4), st.lists(st.sampled_from("abcdef"), max_size=25))
 def test_block_shifts_like_brute_force(items, text):
-    automaton = BlockShifts(list(enumerate(items)))
+    automaton = BlockShifts([(i, w, None) for i, w in enumerate(items)])
     want = {}
     for i, w in enumerate(items):
         for at in range(len(w) - WINDOW + 1):
@@ -159,6 +159,19 @@ def test_leaks(spark):
     assert find_leaks(d, i.limit(0)).count() == 0 and find_leaks(d.limit(0), i).count() == 0
 
 
+def test_leaks_in_passes_of_any_size(spark, monkeypatch):
+    stock = "which of these findings should a doctor look for first of all"
+    items = [(k, f"the patient number w{k}a lives in w{k}b near w{k}c with w{k}d and eats w{k}e every day {stock}") for k in range(6)] + [(20, "one text that three suites took up word for word and letter by letter")] * 2
+    items += [(21, items[-1][1]), (22, items[-1][1].upper())]
+    docs = [(k, f"Intro. {items[k][1]} End.") for k in range(6)] + [(50, stock), (51, "Look: " + items[-1][1])]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k) for k in range(6)} | {(51, 20), (51, 21), (51, 22)}
+    for size in (1, 40, 500_000):
+        monkeypatch.setattr(leaks, "WORDS_PER_PASS", size)
+        got = [(r.doc_id, r.item_id) for r in find_leaks(d, i).collect()]
+        assert set(got) == want and len(got) == len(want), size
+
+
 def test_residue(spark):
     docs = [
         (1, "Hello {{first_name}}! Your next visit is due."), (2, "My file lists {low, high} and {1, 2, 3} and I like that [name withheld]."), (3, "Lorem ipsum dolor sit amet, consectetur adipiscing elit."),
