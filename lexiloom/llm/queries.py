@@ -11,7 +11,7 @@ from .markup import strip_markup
 from .mixing import mix_sources
 from .outranking import Score, outranking_flows, rank_items
 from .pairs import find_defects
-from .templates import find_residue, template_slots
+from .templates import find_residue, residue_evidence, template_slots
 from .truncation import cut_sentences, cut_terms, length_limits
 
 SCORES = [Score("tfdf"), Score("cvalue"), Score("umls_score", 0, 100), Score("chv_score", 0, 10)]
@@ -115,12 +115,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_slots(spark: SparkSession, d: str) -> DataFrame:
-    """Template variables that stand in texts, with the records that hold them."""
-    return template_slots(table(spark, d, "documents"), "doc_id", "text").groupBy("mark").agg(F.count("*").alias("documents"), F.max("fillers").alias("fillers"))
+    """What stands in slots, with the records that hold it and how many of them alignment shows to be slots."""
+    slots = template_slots(table(spark, d, "documents"), "doc_id", "text")
+    return slots.groupBy("mark").agg(F.count("*").alias("documents"), F.count_if("induced").alias("induced"), F.max("fillers").alias("fillers"))
+
+
+def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many records of each kind a slot, a notation or a page template has found."""
+    return residue_evidence(table(spark, d, "documents")).groupBy("kind", "evidence").agg(F.count("*").alias("documents"))
 
 
 def queries() -> dict:
-    names = [p2_found, p3_found, p3_clean, p5_found, p5_rates, p5_limits, p6_found, p6_lift, p6_pairs, p7_rank, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_slots]
+    names = [p2_found, p3_found, p3_clean, p5_found, p5_rates, p5_limits, p6_found, p6_lift, p6_pairs, p7_rank, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_slots, p10_evidence]
     return {f.__name__: f for f in names}
 
 

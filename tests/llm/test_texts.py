@@ -5,12 +5,12 @@ import random
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom.llm import leaks, queries
+from lexiloom.llm import leaks, queries, templates
 from lexiloom.llm.endings import ending_counts, judge_open_ends
 from lexiloom.llm.leaks import BlockShifts, WINDOW, find_leaks, held, words_of
 from lexiloom.llm.markup import markup_kinds, repeated_runs, strip_markup
 from lexiloom.llm.pairs import SuffixAutomaton, find_defects, is_copy, is_empty, is_refusal
-from lexiloom.llm.templates import find_residue
+from lexiloom.llm.templates import find_residue, residue_evidence, template_slots
 from lexiloom.llm.truncation import cut_sentences, cut_terms, length_limits
 
 from ..conftest import DATA, same
@@ -225,3 +225,29 @@ def test_empty_tables(spark):
     assert cut_terms(df, ["src"], "id", "t", "s").count() == 0
     assert length_limits(df, ["src"], "len").count() == 0
     assert ending_counts(df, "text").count() == 0
+
+
+def test_slots_left_at_defaults_and_blanks(spark):
+    names = ["Anna", "Bert", "Cleo", "Dora"]
+    docs = [(i, f"Dear friend {n}, thank you for your question.") for i, n in enumerate(names)] + [(10, "Dear friend undefined, thank you for your question."), (11, "Dear friend , thank you for your question.")]
+    docs += [(12, "My result was undefined by the lab."), (13, "We ate , then slept a lot."), (14, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.kind, r.evidence) for r in residue_evidence(df).collect()} == {(10, "placeholder", "slot"), (11, "placeholder", "slot")}
+
+
+def test_alignment_in_passes_of_any_size(spark, monkeypatch):
+    docs = [(i, f"Dear {n}, your visit on {d} is due.") for i, (n, d) in enumerate([("{name}", "Monday"), ("Anna", "{day}"), ("Bert", "Friday"), ("{who}", "{when}")])] + [(9, "Only one {lone} here.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(0, "{name}", True), (1, "{day}", True), (3, "{who}", True), (3, "{when}", True), (9, "{lone}", False)}
+    for size in (1, 2, 500_000):
+        monkeypatch.setattr(templates, "FRAMES_PER_PASS", size)
+        assert {(r.doc_id, r.mark, r.unfilled) for r in template_slots(df, "doc_id", "text").collect()} == want
+
+
+def test_message_learned_from_its_template(spark):
+    nav = ["Home", "Forum", "Search", "Help", "Login"]
+    page = lambda i, t: "\n".join([n for k, n in enumerate(nav) if i >> k & 1] + [t])
+    docs = [(i, page(i, "404 Not Found. Kindly use the site map below.")) for i in range(1, 28)]
+    docs += [(40 + i, page(i, "This leaf fell off the shelf. Kindly use the site map below.")) for i in range(1, 5)] + [(30, "I slept well. My knee is fine."), (31, "My leaf fell. Kindly use the site map below.")]
+    got = {r.doc_id: (r.kind, r.evidence) for r in residue_evidence(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {("error_page", "page template")} and set(got) == {*range(1, 28), *range(41, 45)}
