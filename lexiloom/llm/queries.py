@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..runtime import table
 from .cooccur import pair_lift
 from .leaks import find_leaks
-from .markup import strip_markup
+from .markup import strip_markup, suffix_runs
 from .mixing import mix_sources
 from .outranking import Score, outranking_flows, rank_items
 from .pairs import find_defects
 from .templates import find_residue, residue_evidence, template_slots
 from .truncation import cut_sentences, cut_terms, length_limits
 
+SHORT_RUN = 3  # tokens of a repeated run of titles, which are short
 SCORES = [Score("tfdf"), Score("cvalue"), Score("umls_score", 0, 100), Score("chv_score", 0, 10)]
 
 
@@ -22,14 +23,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("key").alias("id"), "defect")
 
 
-def _marked(spark: SparkSession, d: str) -> DataFrame:
+def _fields(spark: SparkSession, d: str) -> DataFrame:
     org, yahoo = table(spark, d, "tmp_org"), table(spark, d, "tmp_org_yahoo")
     parts = [(org, "tmp_org", "blogid", "blog_name", "text_content", "text_content"), (org, "tmp_org", "blogid", "blog_name", "text_link_title", "text_link_title"), (yahoo, "tmp_org_yahoo", "id", "category", "content", "content")]
     out = None
     for df, tbl, key, host, column, field in parts:
         one = df.select(F.lit(tbl).alias("tbl"), F.col(key).cast("bigint").alias("row_id"), F.lit(field).alias("field"), F.concat_ws("/", F.lit(tbl), F.lit(field), F.col(host)).alias("host"), F.col(column).alias("raw"))
         out = one if out is None else out.unionByName(one)
-    return strip_markup(out, "host", ["tbl", "row_id", "field"], "raw")
+    return out
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    return strip_markup(_fields(spark, d), "host", ["tbl", "row_id", "field"], "raw")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +45,14 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).filter("clean is not null").select("tbl", "row_id", "field", "clean", "boilerplate")
 
 
+def p3_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of titles that three posts of a blog share, three tokens at a time."""
+    t = table(spark, d, "tmp_org").filter("text_link_title is not null and blog_name is not null").select("blog_name", "text_link_title").distinct()
+    t = t.withColumn("page", F.xxhash64("blog_name", "text_link_title"))
+    runs = suffix_runs(t, "blog_name", "page", "text_link_title", run=SHORT_RUN)
+    return runs.groupBy(F.col("host").alias("blog_name"), F.col("prefix").alias("run")).agg(F.count_distinct("page").alias("pages"), F.count("*").alias("places"))
+
+
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
     cols = ["sab", "id", "sentence", "blogid", "sentenceindex"]
     both = [table(spark, d, t).select(F.lit(t).alias("tbl"), *cols) for t in ("content_tag", "content_tag_compare_only_our")]
@@ -126,7 +139,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p2_found, p3_found, p3_clean, p5_found, p5_rates, p5_limits, p6_found, p6_lift, p6_pairs, p7_rank, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_slots, p10_evidence]
+    names = [p2_found, p3_found, p3_clean, p3_boilerplate, p5_found, p5_rates, p5_limits, p6_found, p6_lift, p6_pairs, p7_rank, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_slots, p10_evidence]
     return {f.__name__: f for f in names}
 
 
@@ -150,6 +163,12 @@ f{i} as (select a.v, case when any_value(a.n) > 1 then cast(sum(b.cnt * case whe
   from m{i} a cross join m{i} b group by a.v)"""
 
 
+_RUNS = f"""
+with t as (select distinct blog_name, text_link_title from tmp_org where text_link_title is not null and blog_name is not null),
+w as (select blog_name, text_link_title, string_split_regex(trim(text_link_title), '\\s+') as w from t),
+s as (select blog_name, text_link_title, unnest(list_transform(range(1, len(w) - {SHORT_RUN} + 2), lambda i: array_to_string(w[i : i + {SHORT_RUN} - 1], ' '))) as run from w where len(w) >= {SHORT_RUN})
+select blog_name, run, count(distinct text_link_title) as pages, count(*) as places from s group by blog_name, run having count(distinct text_link_title) >= 3
+"""
 _LIMITS = """
 with rows as (select 'content_tag' as tbl, coalesce(sab, '-') as sab, length(sentence) as len from content_tag union all select 'content_tag_compare_only_our', coalesce(sab, '-'), length(sentence) from content_tag_compare_only_our),
 hist as (select tbl, sab, len, count(*) as n from rows where len > 0 group by tbl, sab, len),
@@ -171,6 +190,7 @@ def oracle_sql() -> dict[str, str]:
     net = " + ".join(f"flow_{s.column} * 1.0" for s in SCORES)
     rounded = ", ".join(f"round(flow_{s.column}, 9) as flow_{s.column}" for s in SCORES)
     return {
+        "p3_boilerplate": _RUNS,
         "p5_limits": _LIMITS,
         "p6_found": _PAIRS + "select code_a, code_b from pairs join per a on a.c = code_a join per b on b.c = code_b cross join total where n_ab >= 5 and 500 * n_ab >= n and n_ab * n >= 4 * a.n_item * b.n_item",
         "p6_lift": _PAIRS + "select code_a, code_b, a.n_item as n_a, b.n_item as n_b, n_ab, round(cast(n_ab as double) * n / (cast(a.n_item as double) * b.n_item), 6) as lift from pairs join per a on a.c = code_a join per b on b.c = code_b cross join total where n_ab >= 5",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.llm import leaks, queries, templates
 from lexiloom.llm.endings import ending_counts, judge_open_ends
 from lexiloom.llm.leaks import BlockShifts, WINDOW, find_leaks, held, words_of
-from lexiloom.llm.markup import markup_kinds, repeated_runs, strip_markup
+from lexiloom.llm.markup import boilerplate_spans, markup_kinds, strip_markup, suffix_runs
 from lexiloom.llm.pairs import SuffixAutomaton, find_defects, is_copy, is_empty, is_refusal
 from lexiloom.llm.templates import find_residue, residue_evidence, template_slots
 from lexiloom.llm.truncation import cut_sentences, cut_terms, length_limits
@@ -125,7 +125,9 @@ def test_runs_like_brute_force(spark, pages):
             if sum(any(cut(q, j) == cut(p, i) for j in range(len(q.split()) - k + 1)) for q in pages) >= least:
                 want.add((a, i))
     df = spark.createDataFrame([(i, "h", p) for i, p in enumerate(pages)], "page int, host string, t string")
-    assert {(r.page, r["at"]) for r in repeated_runs(df, "host", "page", "t", k, least).collect()} == want
+    assert {(r.page, r["at"]) for r in suffix_runs(df, "host", "page", "t", k, least).collect()} == want
+    covered = {(r.page, i) for r in boilerplate_spans(df, "host", "page", "t", k, least).collect() for i in range(r.start, r.start + r.tokens)}
+    assert covered == {(p, i + j) for p, i in want for j in range(k)}
 
 
 @settings(max_examples=60, deadline=None)
