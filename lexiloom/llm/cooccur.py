@@ -3,7 +3,8 @@
 Items are parted into heavy ones, in a sixteenth of all baskets or more, and light ones. A task
 takes its baskets in chunks: heavy items are rows of a bit matrix over the chunk whose pairs are
 counted by popcount, light pairs are counted by hash within a basket, and mixed pairs by probing
-the matrix with each light item's list of baskets. Counts leave the task pre-aggregated.
+the matrix with each light item's list of baskets. Counts leave the task pre-aggregated, whenever
+they fill its memory. A basket of very many items is parted into blocks that meet pair by pair.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordering import running_number
-from ..runtime import cut
+from ..runtime import cut, meet
 
 HEAVY = 16  # an item in one of so many baskets is heavy, so the mean basket bounds their number
 CHUNK = 1 << 13  # baskets of a bit matrix
 DENSE = 2048  # with so many items at most, light pairs are counted in a square array
-PAIRS_HELD = 4_000_000  # light pairs a task expands before it counts them
+PAIRS_HELD = 4_000_000  # light pairs a task expands before it counts them, and different ones it keeps
+BASKET_ITEMS = 4096  # items of a block of a large basket
 
 
 def _offsets(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -46,25 +48,44 @@ class PairCounter:
         self.counts: list[np.ndarray] = []
         self.held = 0
 
-    def _add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if not len(keys):
-            return
+    def _add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+        """Takes counts in; hands on those held where they would fill the memory."""
         if self.dense is not None:
-            self.dense += np.bincount(keys, counts, len(self.dense)).astype(np.int64)
-        else:
+            if counts is not None:  # keys that differ
+                self.dense[keys] += counts
+            elif len(keys) * 8 > len(self.dense):
+                self.dense += np.bincount(keys, minlength=len(self.dense))
+            else:
+                u, n = np.unique(keys, return_counts=True)
+                self.dense[u] += n
+        elif len(keys):
             u, inverse = np.unique(keys, return_inverse=True)
             self.keys.append(u)
             self.counts.append(np.bincount(inverse, counts).astype(np.int64))
             self.held += len(u)
             if self.held > PAIRS_HELD:
                 self._merge()
+                if self.held > PAIRS_HELD // 2:
+                    yield from self._hand_on()
 
     def _merge(self) -> None:
         k, n = np.concatenate(self.keys), np.concatenate(self.counts)
         u, inverse = np.unique(k, return_inverse=True)
-        self.keys, self.counts, self.held = [u], [np.bincount(inverse, n).astype(np.int64)], 0
+        self.keys, self.counts, self.held = [u], [np.bincount(inverse, n).astype(np.int64)], len(u)
+
+    def _hand_on(self) -> Iterator[pd.DataFrame]:
+        for k, n in zip(self.keys, self.counts, strict=True):
+            yield from _frames(k, n)
+        self.keys, self.counts, self.held = [], [], 0
+
+    def add_between(self, left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Pairs of two blocks of one basket."""
+        step = max(1, PAIRS_HELD // max(1, len(right)))
+        for s in range(0, len(left), step):
+            a, b = np.meshgrid(left[s : s + step].astype(np.int64), right.astype(np.int64), indexing="ij")
+            yield from self._add((np.minimum(a, b) * self.items + np.maximum(a, b)).ravel())
 
-    def add(self, baskets: list[np.ndarray]) -> None:
+    def add(self, baskets: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         size = np.array([len(b) for b in baskets])
         if not size.sum():
             return
@@ -82,7 +103,7 @@ class PairCounter:
         for a in range(self.heavy):
             hit = light[present[a, at]]
             u, n = np.unique(hit, return_counts=True)
-            self._add(a * self.items + u, n)
+            yield from self._add(a * self.items + u, n)
         waiting: list[np.ndarray] = []
         held = 0
         for i, j in _offsets(np.bincount(at, minlength=len(baskets))):
@@ -90,23 +111,25 @@ class PairCounter:
             waiting.append(np.minimum(a, b) * self.items + np.maximum(a, b))
             held += len(a)
             if held > PAIRS_HELD:
-                self._add(np.concatenate(waiting))
+                yield from self._add(np.concatenate(waiting))
                 waiting, held = [], 0
         if waiting:
-            self._add(np.concatenate(waiting))
+            yield from self._add(np.concatenate(waiting))
 
     def result(self) -> Iterator[pd.DataFrame]:
         a, b = np.nonzero(self.square)
-        parts = [(a * self.items + b, self.square[a, b])]
+        yield from _frames(a * self.items + b, self.square[a, b])
         if self.dense is not None:
             k = np.flatnonzero(self.dense)
-            parts.append((k, self.dense[k]))
+            yield from _frames(k, self.dense[k])
         elif self.keys:
             self._merge()
-            parts.append((self.keys[0], self.counts[0]))
-        for k, n in parts:
-            for s in range(0, len(k), 1 << 18):
-                yield pd.DataFrame({"pair": k[s : s + (1 << 18)], "n_ab": n[s : s + (1 << 18)]})
+            yield from self._hand_on()
+
+
+def _frames(k: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+    for s in range(0, len(k), 1 << 18):
+        yield pd.DataFrame({"pair": k[s : s + (1 << 18)], "n_ab": n[s : s + (1 << 18)]})
 
 
 def pair_lift(rows: DataFrame, basket: str, item: str, min_together: int = 1, min_share: float = 0.0) -> DataFrame:
@@ -119,32 +142,51 @@ def pair_lift(rows: DataFrame, basket: str, item: str, min_together: int = 1, mi
     """
     spark = rows.sparkSession
     name = F.upper(F.trim(F.regexp_replace(F.col(item).cast("string"), r"^\s+|\s+$", "")))
-    held = rows.select(F.col(basket).alias("basket"), name.alias("item")).filter("basket is not null and item <> ''").distinct()
+    held = cut(rows.select(F.col(basket).alias("basket"), name.alias("item")).filter("basket is not null and item <> ''").distinct())
     per_item = held.groupBy("item").agg(F.count("*").alias("n_item"))
-    total = held.agg(F.count_distinct("basket")).first()[0]
+    total = held.select("basket").distinct().count()
     least = max(min_together, -int(-min_share * total // 1), 1)
     numbered = cut(running_number(per_item.filter(F.col("n_item") >= least), [F.desc("n_item"), F.asc("item")], "id").withColumn("id", (F.col("id") - 1).cast("int")))
     items = numbered.count()
     if items < 2:
         return spark.createDataFrame([], "a string, b string, n_a bigint, n_b bigint, n_ab bigint, n bigint, lift double")
     heavy = numbered.filter(F.col("n_item") * HEAVY >= total).count()
-    baskets = held.join(numbered.select("item", "id"), "item").groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
+    coded = meet(held, numbered.select("item", "id"), ["item"]).select("basket", "id")
+    sizes = coded.groupBy("basket").agg(F.count("*").alias("size")).filter(F.col("size") > BASKET_ITEMS)
+    large = cut(sizes.withColumn("parts", F.ceil(F.col("size") / BASKET_ITEMS).cast("int")).drop("size"))
+    none = F.array().cast("array<int>")
+    if large.isEmpty():
+        baskets = coded.groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1).select("ids", none.alias("others"))
+    else:
+        coded = cut(meet(coded, large, ["basket"], "left"))
+        usual = coded.filter("parts is null").groupBy("basket").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1).select("ids", none.alias("others"))
+        # items of a large basket in blocks, each block with itself and with those after it
+        blocks = coded.filter("parts is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).groupBy("basket", "part", "parts").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        met = blocks.select("basket", "part", "ids", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("to"))
+        right = blocks.select("basket", F.col("part").alias("to"), F.col("ids").alias("others"))
+        cross = met.join(right, ["basket", "to"]).select("ids", F.when(F.col("part") == F.col("to"), none).otherwise(F.col("others")).alias("others"))
+        baskets = usual.unionByName(cross)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = PairCounter(items, heavy)
         chunk: list[np.ndarray] = []
         for batch in batches:
-            chunk += batch["ids"].tolist()
+            for ids, others in zip(batch["ids"].tolist(), batch["others"].tolist(), strict=True):
+                if len(others):
+                    yield from counter.add_between(ids, others)
+                else:
+                    chunk.append(ids)
             if len(chunk) >= CHUNK:
-                counter.add(chunk)
+                yield from counter.add(chunk)
                 chunk = []
-        counter.add(chunk)
+        yield from counter.add(chunk)
         yield from counter.result()
 
-    together = baskets.select("ids").mapInPandas(count, "pair bigint, n_ab bigint").groupBy("pair").agg(F.sum("n_ab").alias("n_ab")).filter(F.col("n_ab") >= least)
+    together = baskets.mapInPandas(count, "pair bigint, n_ab bigint").groupBy("pair").agg(F.sum("n_ab").alias("n_ab")).filter(F.col("n_ab") >= least)
     left = numbered.select(F.col("id").alias("ia"), F.col("item").alias("x"), F.col("n_item").alias("n_x"))
     right = numbered.select(F.col("id").alias("ib"), F.col("item").alias("y"), F.col("n_item").alias("n_y"))
-    out = together.select(F.expr(f"pair div {items}").alias("ia"), (F.col("pair") % items).alias("ib"), "n_ab").join(left, "ia").join(right, "ib")
+    out = together.select(F.expr(f"pair div {items}").alias("ia"), (F.col("pair") % items).alias("ib"), "n_ab")
+    out = meet(meet(out, left, ["ia"]), right, ["ib"])
     first = F.col("x") < F.col("y")
     pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
     return out.select(

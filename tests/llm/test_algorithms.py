@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom.llm import queries
+from lexiloom.llm import cooccur, outranking, queries
 from lexiloom.llm.cooccur import PairCounter, pair_lift
 from lexiloom.llm.mixing import flight, land, mix_sources
 from lexiloom.llm.outranking import Score, outranking_flows, rank_items
@@ -44,15 +44,32 @@ def test_counter_parts_agree():
     want = Counter(p for b in baskets for p in itertools.combinations(b.tolist(), 2))
     for items, heavy in ((40, 0), (40, 5), (40, 40), (3000, 7)):
         c = PairCounter(items, heavy)
-        for s in range(0, 300, 70):
-            c.add(baskets[s : s + 70])
+        frames = [f for s in range(0, 300, 70) for f in c.add(baskets[s : s + 70])]
         got = Counter()
-        for df in c.result():
+        for df in [*frames, *c.result()]:
             for k, n in zip(df["pair"], df["n_ab"], strict=True):
                 got[(k // items, k % items)] += n
         assert +got == want, (items, heavy)
 
 
+def test_full_memory_and_large_baskets(spark, monkeypatch):
+    monkeypatch.setattr(cooccur, "DENSE", 0)
+    monkeypatch.setattr(cooccur, "PAIRS_HELD", 50)
+    rng = np.random.default_rng(4)
+    baskets = [np.unique(rng.integers(0, 60, 25)) for _ in range(80)]
+    c = PairCounter(60, 3)
+    frames = [f for s in range(0, 80, 16) for f in c.add(baskets[s : s + 16])]
+    assert len(frames) > 5 and c.held <= 2 * 50 + 60 * 60
+    want, got = Counter(p for b in baskets for p in itertools.combinations(b.tolist(), 2)), Counter()
+    for df in [*frames, *c.result()]:
+        got.update({(k // 60, k % 60): n for k, n in zip(df["pair"].tolist(), df["n_ab"].tolist(), strict=True)})
+    assert got == want
+    monkeypatch.setattr(cooccur, "BASKET_ITEMS", 7)
+    rows = [(i, f"c{k:02}") for i, b in enumerate(baskets[:12]) for k in b.tolist()] + [(50, "c01"), (50, "c02"), (51, "c01")]
+    got = {(r.a, r.b): (r.n_a, r.n_b, r.n_ab, r.n) for r in pair_lift(spark.createDataFrame(rows, "i long, code string"), "i", "code").collect()}
+    assert got == brute_pairs(rows)
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "i long, code string")
     assert pair_lift(df, "i", "code").count() == 0
