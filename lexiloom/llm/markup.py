@@ -9,6 +9,8 @@ several distinct pages are boilerplate; longer ones are the union of overlapping
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -73,14 +75,15 @@ _NEEDLES = {
     "html": ("<", "<!--", "&"),
     "latex": ("\\", "\\", "\\", "$"),
     "wiki": ("[[", "{{", "''", "=", "[", "{|", "# ", "<", "__"),
-    "markdown": ("**", "*", "__", "_", "~~", "`", "", "](", "][", "]:", "#", ">", "", "|", ""),
+    "markdown": ("**", "*", "__", "_", "~~", "`", "``` ~~~ ~~~", "](", "][", "]:", "#", ">", "==== ---- ----", "|", "--- *** ___"),
 }
 
 
 def _any(text: Column, kind: str, patterns: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for needle, p in zip(_NEEDLES[kind], patterns, strict=True):
-        found = found | (text.contains(needle) & text.rlike(p) if needle else text.rlike(p))
+        signs = needle.split(" ") if needle.count(" ") > 1 else [needle]
+        found = found | (reduce(or_, [text.contains(x) for x in signs]) & text.rlike(p))
     return found
 
 
@@ -284,8 +287,8 @@ def strip_markup(fields: DataFrame, host: str, key: list[str], text: str) -> Dat
         rows = base.withColumn("boilerplate", F.lit(0).cast("bigint"))
     else:
         joined = meet(base, spans, ["page"], "left")
-        unique = F.when(F.col("starts").isNull(), F.col("clean")).otherwise(F.pandas_udf(_without, "string")(F.coalesce("clean", F.lit("")), F.coalesce("starts", F.array().cast("array<bigint>")), F.coalesce("sizes", F.array().cast("array<bigint>"))))
-        taken = F.coalesce(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x), F.lit(0).cast("bigint"))
-        rows = joined.withColumn("clean", unique).withColumn("boilerplate", taken)
-        rows = rows.withColumn("found", F.when((F.col("boilerplate") > 0) & (F.col("clean") == ""), F.array().cast("array<string>")).otherwise(F.col("found")))
+        taken = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x)
+        held = joined.filter("starts is not null").withColumn("clean", F.pandas_udf(_without, "string")("clean", "starts", "sizes")).withColumn("boilerplate", taken)
+        held = held.withColumn("found", F.when(F.col("clean") == "", F.array().cast("array<string>")).otherwise(F.col("found")))
+        rows = joined.filter("starts is null").withColumn("boilerplate", F.lit(0).cast("bigint")).unionByName(held)
     return rows.select(*key, F.col("found").alias("kinds"), "clean", "boilerplate").distinct()
