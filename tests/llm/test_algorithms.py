@@ -101,6 +101,16 @@ def test_flows_like_brute_force(spark, rows):
         assert r.place == 1 + sum(o.net_flow > r.net_flow for o in out)
 
 
+def test_counts_up_to_marks_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"t{i}", int(rng.integers(0, 30)), float(rng.normal()) if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, a int, b double")
+    run = lambda: sorted(map(tuple, outranking_flows(df, "name", [Score("a"), Score("b")]).collect()))
+    few = run()
+    monkeypatch.setattr(outranking, "small_enough", lambda *_: False)
+    assert run() == few
+
+
 def test_flows_of_nothing(spark):
     df = spark.createDataFrame([], "name string, a int")
     assert rank_items(outranking_flows(df, "name", [Score("a")])).count() == 0
