@@ -56,3 +56,25 @@ def with_previous(df: DataFrame, group: str, order: Sequence[str], columns: Sequ
         same = F.col("__has") & F.col(group).eqNullSafe(F.col("__g"))
         out = out.select(*[c for c in out.columns if not c.startswith("__")], *[F.when(same, F.col(f"__{c}")).alias(f"{c}_{k}") for c in columns])
     return out
+
+
+def with_next(df: DataFrame, order: Sequence[str], column: str, name: str, within: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``name``, the value of ``column`` in the next row of ``order``, null where the columns
+    ``within`` change and in the last row.
+
+    Rows are range-partitioned and sorted; the first row of each part, of which there are as many as
+    partitions, is what follows the last row of the part before. So a group of any size is spread
+    over tasks. ``order`` must be total and begin with ``within``.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    firsts = placed.groupBy("__part").agg(F.min(F.struct(*order, F.col(column).alias("__v"))).alias("__first"))
+    ahead = firsts.select((F.lead("__part").over(Window.orderBy("__part"))).alias("__next"), "__part")  # one row per partition
+    nxt = ahead.join(firsts.select(F.col("__part").alias("__next"), "__first"), "__next").select("__part", "__first")
+    w = Window.partitionBy("__part").orderBy(*order)
+    row = F.struct(*[F.col(c).alias(c) for c in order], F.col(column).alias("__v"))
+    out = placed.withColumn("__lead", F.lead(row).over(w)).join(F.broadcast(nxt), "__part", "left").withColumn("__lead", F.coalesce("__lead", "__first"))
+    same = F.lit(True)
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"__lead.{c}"))
+    return out.select(*df.columns, F.when(same, F.col("__lead.__v")).alias(name))

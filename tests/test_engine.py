@@ -9,6 +9,7 @@ from lexiloom.operators import criteria as C
 from lexiloom.operators import graph as G
 from lexiloom.operators import lexicon as L
 from lexiloom.operators import ngrams as N
+from lexiloom.operators import ordering as O
 from lexiloom.operators import relational as R
 from lexiloom.operators import vectors as V
 from lexiloom.plans import extras, trials  # noqa: F401  (they register their queries)
@@ -148,6 +149,16 @@ def test_meeting_of_hot_keys(spark):
         assert meet(rows, lookup, ["k"], "left", most).count() == 202
 
 
+def test_next_row_of_a_hot_group(spark):
+    rows = [("a" if i % 3 else None, f"{i:03}") for i in range(200)] + [("b", "x")]
+    got = {(r.g, r.t): r.n for r in O.with_next(spark.createDataFrame(rows, "g string, t string"), ["g", "t"], "t", "n", ["g"]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted(t for k, t in rows if k == g)
+        want |= {(g, t): n for t, n in zip(mine, [*mine[1:], None], strict=True)}
+    assert got == want
+
+
 def test_scores_and_periods(spark):
     r = spark.range(1).select(
         X.similarity(F.lit(""), F.lit("")).alias("e"), X.similarity(F.lit("Abc"), F.lit("abd")).alias("s"), X.period_seconds(F.lit("P1Y")).alias("y"), X.period_seconds(F.lit("PX")).alias("x"),
