@@ -12,20 +12,25 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..runtime import cut, meet
+
 SEEN = 4  # places from which a context counts as known
 ENDS = 0.08  # share of them that end a sentence, below which a text that stops there was cut
 BREAKS = 0.1  # weight of a clause break against an end
 KEYS_HELD = 200_000  # counters a task keeps before it hands them on
+WORDS_HELD = 200_000  # words whose bare form a task remembers
 
 _SENTENCE = re.compile(r"(?<=[.?!…])[\"'”’)\]]*\s+|\n+")
 _CLAUSE = re.compile(r"[,;:]\s+|\s[-–—]+\s")
 _OUTER = re.compile(r"^\W+|\W+$")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _END = re.compile(r"[.?!。]['\"”’)\]*_]*\s*$")
+_MAY_MORE = re.compile(r"[.…\])]\s*$")
 _MORE = r"(?:\s*(?:\.\.+|…|\[(?:more|read more|continued|\.\.\.|…)\]|\((?:cont\.?|cont'd|continued|more)\)))+\s*$"  # signs that text was left out
 _TAIL = re.compile(r"(?:\s+(?:[^\w\s]+[\w)(]?|#\w+))+$")  # smileys, hearts, dashes, hashtags
 
@@ -36,19 +41,34 @@ def has_end(text: Column) -> Column:
     return F.regexp_replace(text, _MORE, "").rlike(r"[.?!。]['\"”’)\]*_]*\s*$")
 
 
+@lru_cache(WORDS_HELD)
+def _bare(word: str) -> str:
+    return word if word.isalpha() else _OUTER.sub("", _NUMBER.sub("0", word))
+
+
 def words(part: str) -> list[str]:
-    return [w for w in (_OUTER.sub("", _NUMBER.sub("0", x)) for x in part.lower().split()) if w]
+    return [w for w in map(_bare, part.lower().split()) if w]
 
 
 MID, BREAK, END, OPEN = range(4)  # after a word: another word, a clause break, the sentence's end, the open end of the text
 
 
+_LEFT_OUT = re.compile(_MORE)
+
+
+def sentences(text: str) -> Iterator[tuple[list[list[str]], str, bool]]:
+    """Clauses of each sentence, the sentence, whether it is closed."""
+    if _MAY_MORE.search(text):
+        text = _LEFT_OUT.sub("", text)
+    parts = [p for p in _SENTENCE.split(text) if p and not p.isspace()]
+    for k, sentence in enumerate(parts):
+        closed = k + 1 < len(parts) or bool(_END.search(sentence))
+        yield [c for c in (words(x) for x in _CLAUSE.split(_TAIL.sub("", sentence))) if c], sentence, closed
+
+
 def places(text: str) -> Iterator[tuple[list[str], int, str, int]]:
     """Clause, place in it, whole last sentence, what comes after the place."""
-    parts = [p for p in _SENTENCE.split(re.sub(_MORE, "", text)) if p and p.strip()]
-    for k, sentence in enumerate(parts):
-        closed = bool(_END.search(sentence)) or k + 1 < len(parts)
-        clauses = [c for c in (words(x) for x in _CLAUSE.split(_TAIL.sub("", sentence))) if c]
+    for clauses, sentence, closed in sentences(text):
         for j, clause in enumerate(clauses):
             for i in range(len(clause)):
                 after = MID if i + 1 < len(clause) else BREAK if j + 1 < len(clauses) else END if closed else OPEN
@@ -81,7 +101,7 @@ def open_end(text: str) -> tuple[str | None, ...] | None:
         elif ch in ")]}" and stack and stack[-1] == {")": "(", "]": "[", "}": "{"}[ch]:
             stack.pop()
     start = tail[:1]
-    left_out = bool(re.search(_MORE, text))
+    left_out = bool(_LEFT_OUT.search(text))
     unclosed = bool(stack) or (start == '"' and tail.count('"') % 2 == 1)
     return (*contexts(clause, i), back[0][0], back[0][1], back[1][0], clause[i], "S " + " ".join(words(sentence)), tail.endswith((",", ";")) or unclosed or left_out)
 
@@ -99,10 +119,22 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for text, times in Counter(t for t in batch["text"].tolist() if t).items():
-            for clause, i, sentence, after in places(text):
-                for ctx in contexts(clause, i):
-                    held.setdefault(ctx, [0, 0, 0, 0])[after] += times
-                if after == OPEN:
+            for clauses, sentence, closed in sentences(text):
+                last = len(clauses) - 1
+                for j, clause in enumerate(clauses):
+                    end = BREAK if j < last else END if closed else OPEN
+                    first, before, opening = clause[0], "", clause[0]
+                    for i, w in enumerate(clause):
+                        after = MID if i + 1 < len(clause) else end
+                        for ctx in (f"A {opening}|{w}", f"D {opening}|{before}", f"B {before}|{w}", f"C {w}"):  # as in contexts()
+                            got = held.get(ctx)
+                            if got is None:
+                                got = held[ctx] = [0, 0, 0, 0]
+                            got[after] += times
+                        before = w
+                        if i == 0 and len(clause) > 1:
+                            opening = f"{first} {clause[1]}"
+                if clauses and not closed:
                     held.setdefault("S " + " ".join(words(sentence)), [0, 0, 0, 0])[OPEN] += times
             if len(held) > KEYS_HELD:
                 yield flush()
@@ -112,7 +144,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def ending_counts(texts: DataFrame, column: str) -> DataFrame:
     """``(ctx, mid, brk, end, open)``: how often each context went on, broke, ended, or was left open."""
     parts = texts.select(F.col(column).cast("string").alias("text")).mapInPandas(_count, "ctx string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
-    return parts.groupBy("ctx").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return cut(parts.groupBy("ctx").agg(*[F.sum(c).alias(c) for c in _COUNTS]))
 
 
 _KINDS = ("A", "D", "B", "C", "P", "Q", "R")
@@ -130,15 +162,23 @@ def judge_open_ends(texts: DataFrame, key: str, column: str, counts: DataFrame,
     ``broken`` is set where the text stops inside a word or a sentence; ``chance`` is the share of
     sentence ends among the places of the context that decided, for callers with more evidence.
     """
-    open_ = texts.filter(~has_end(F.col(column))).select(F.col(key).alias("key"), F.pandas_udf(_open, _OPEN)(F.col(column).cast("string")).alias("o")).filter("o.w is not null")
+    # materialised before the texts are looked into and after, so that each is looked into once
+    open_ = cut(texts.filter(~has_end(F.col(column))).select(F.col(key).alias("key"), F.col(column).cast("string").alias("t")))
+    open_ = cut(open_.select("key", F.pandas_udf(_open, _OPEN)("t").alias("o")).filter("o.w is not null"))
     asked = open_.select("key", "o.broken", "o.w", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"o.{k}").alias("ctx")) for k in (*_KINDS, "S")])).alias("q"))
-    got = asked.select("key", "broken", "w", "q.kind", "q.ctx").filter("ctx is not null").join(counts, "ctx", "left")
+    asked = asked.select("key", "broken", "w", "q.kind", "q.ctx").filter("ctx is not null")
+    # contexts are distinct when they meet their counts, and even when these come back to the texts
+    known = cut(asked.select("ctx").distinct().join(counts, "ctx"))
+    got = meet(asked, known, ["ctx"], "left")
     per = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
     wide = got.groupBy("key", "broken", "w").agg(*[per(k, c).alias(f"{k}_{c}") for k in (*_KINDS, "S") for c in _COUNTS])
-    # how much longer words that begin like the last word are used
-    known = counts.filter(F.col("ctx").startswith("C ")).select(F.substring("ctx", 3, 10_000).alias("v"), (F.col("mid") + F.col("brk") + F.col("end")).alias("n")).filter("n > 0 and length(v) between 2 and 40")
-    mass = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("v") - 1), lambda i: F.substring(F.col("v"), F.lit(1), i))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("mass"))
-    wide = wide.join(mass, "w", "left").withColumn("mass", F.coalesce("mass", F.lit(0)))
+    # how much longer words that begin like the last word are used: beginnings of the lengths that are asked for
+    last = cut(open_.select(F.col("o.w").alias("w")).distinct())
+    lengths = sorted(r[0] for r in last.select(F.length("w")).distinct().collect())  # as many as lengths of words
+    used = counts.filter(F.col("ctx").startswith("C ")).select(F.expr("substring(ctx, 3)").alias("v"), (F.col("mid") + F.col("brk") + F.col("end")).alias("n")).filter("n > 0")
+    begins = used.select(F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: k < F.length("v")), lambda k: F.substring(F.col("v"), F.lit(1), k))).alias("w"), "n")
+    mass = cut(meet(begins, last.withColumn("here", F.lit(True)), ["w"]).groupBy("w").agg(F.sum("n").alias("mass")))
+    wide = meet(wide, mass, ["w"], "left").withColumn("mass", F.coalesce("mass", F.lit(0)))
     # a text is seldom cut right at a clause break, so breaks weigh little against ends
     n = lambda k: F.col(f"{k}_mid") + F.col(f"{k}_brk") * BREAKS + F.col(f"{k}_end")
     share = lambda k: F.when(F.col(f"{k}_mid") + F.col(f"{k}_brk") + F.col(f"{k}_end") >= SEEN, F.col(f"{k}_end") / n(k))

@@ -14,7 +14,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..runtime import cut, spread
+from ..runtime import cut, meet, spread
 from .endings import ending_counts, has_end, judge_open_ends
 
 # What stands for no answer.
@@ -27,12 +27,14 @@ REFUSALS = (
     "can't help with", "cannot help with", "can't assist", "cannot assist", "unable to help", "unable to assist", "not able to help",
     "comfortable answering", "won't comment", "cannot comment", "can't comment", "no comment", "pass on this", "something i can discuss", "can't discuss", "cannot discuss",
     "right for me to", "not allowed to", "against our policy", "against my policy", "rather not", "does not permit", "not permitted to", "refuse to",
+    "no puedo responder", "no puedo contestar", "no puedo ayudarte", "no puedo ayudarle", "prefiero no responder", "je ne peux pas répondre", "je ne peux pas vous aider", "je préfère ne pas répondre",
+    "kann ich nicht beantworten", "kann ich leider nicht beantworten", "ich kann ihnen nicht helfen", "ich kann dir nicht helfen", "não posso responder", "não posso ajudar", "prefiro não responder",
 )
 
 # Phrases that come along with declining.
 COURTESIES = (
     "ask a professional", "consult", "your own doctor", "anything else", "asking someone else", "ask someone else", "hope you understand", "lack the training",
-    "see a doctor", "good luck", "take care", "thank you", "thanks",
+    "see a doctor", "good luck", "take care", "thank you", "thanks", "consulte", "consultez", "wenden sie sich", "lo siento", "je suis désolé", "tut mir leid", "sinto muito",
 )
 
 # Words that open a refusal and say nothing.
@@ -50,19 +52,27 @@ STOPWORDS = {
 COPIED = 0.8  # share of the response's words that come from the prompt, beyond which it only repeats
 RUN = 4  # shorter runs of words count as chance
 ADDED = 4  # so many own words a copy may add
+DECLINES = 25  # words for each of which a sentence that declines must hold one declining phrase
 
 _MARKUP = re.compile(r"<[^<>]*>|&[a-z]+;|&#\d+;")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
 def tokens(text: str | None) -> list[str]:
-    return [w.replace("’", "'") for w in _WORD.findall(_MARKUP.sub(" ", (text or "")).lower())]
+    text = text or ""
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    return _WORD.findall(text.lower().replace("’", "'"))
 
 
-def is_empty(text: str | None) -> bool:
+_NO_ANSWER = frozenset(re.sub(r"\W", "", x) for x in NO_ANSWER)
+_LONGEST = max(map(len, _NO_ANSWER))
+
+
+def is_empty(text: str | None, words: list[str] | None = None) -> bool:
     """Null, blank, or nothing but punctuation, markup or a mark that stands for no answer."""
-    bare = " ".join(tokens(text))
-    return not bare or bare in NO_ANSWER or re.sub(r"\W", "", bare) in {re.sub(r"\W", "", x) for x in NO_ANSWER}
+    words = tokens(text) if words is None else words
+    return not words or (len(words) <= _LONGEST and re.sub(r"\W", "", "".join(words)) in _NO_ANSWER)
 
 
 class SuffixAutomaton:
@@ -117,6 +127,9 @@ def is_copy(prompt: list[str], response: list[str]) -> bool:
     """Whether the response only repeats the prompt, but for few words."""
     if not prompt or len(response) < 2:
         return False
+    # what is copied consists of words of the prompt; with too few of these the automaton is not built
+    if sum(map(set(prompt).__contains__, response)) < COPIED * len(response):
+        return False
     got = SuffixAutomaton(prompt).covered(response, min(RUN, len(prompt), len(response)))
     extra = len(response) - got
     return got >= COPIED * len(response) and extra <= max(ADDED, len(response) // 10) and got * 2 >= len(prompt)
@@ -135,15 +148,21 @@ def _refusal_automaton():
     return a
 
 
-def is_refusal(text: str) -> bool:
+def _phrases(words: list[str]) -> list[str]:
+    return [kind for _, (kind, _) in _refusal_automaton().iter(" " + " ".join(words) + " ")]
+
+
+def is_refusal(text: str, words: list[str] | None = None) -> bool:
     """Whether every sentence of the text declines or goes along with declining, and one declines."""
+    if "no" not in _phrases(tokens(text) if words is None else words):
+        return False
     declined = False
     for sentence in re.split(r"(?<=[.?!])\s+|\n+", text.strip()):
         w = tokens(sentence)
         if not w:
             continue
-        kinds = {k for _, (k, _) in _refusal_automaton().iter(" " + " ".join(w) + " ")}
-        if "no" in kinds and len(w) <= 25:
+        kinds = _phrases(w)
+        if kinds.count("no") * DECLINES >= len(w):
             declined = True
         elif "by" not in kinds and not all(x in OPENERS for x in w):
             return False
@@ -168,9 +187,11 @@ def _votes() -> dict[str, dict[str, float]]:
 def votes(words: list[str]) -> dict[str, float]:
     """Stopword votes per language; a word that languages share is parted among them."""
     score: dict[str, float] = {}
+    known = _votes()
     for w in words:
-        for lang, v in _votes().get(w, {}).items():
-            score[lang] = score.get(lang, 0) + v
+        if w in known:
+            for lang, v in known[w].items():
+                score[lang] = score.get(lang, 0) + v
     return score
 
 
@@ -186,13 +207,14 @@ def _other_language(prompt: list[str], response: list[str]) -> bool:
 def _plain_defect(prompt: pd.Series, response: pd.Series) -> pd.Series:
     out: list[str | None] = []
     for q, a in zip(prompt.tolist(), response.tolist(), strict=True):
-        if is_empty(a):
+        aw = tokens(a)
+        if is_empty(a, aw):
             out.append("empty")
             continue
-        qw, aw = tokens(q), tokens(a)
+        qw = tokens(q)
         if qw and is_copy(qw, aw):
             out.append("copy")
-        elif is_refusal(a):
+        elif is_refusal(a, aw):
             out.append("refusal")
         elif qw and _other_language(qw, aw):
             out.append("other_language")
@@ -216,5 +238,5 @@ def find_defects(pairs: DataFrame, key: str, prompt: str, response: str) -> Data
     counts = ending_counts(raw.filter(F.length("a") > 0).select("q", "a").distinct(), "a")
     open_ = marked.filter(F.col("a").isNotNull())
     judged = judge_open_ends(open_.select("a", F.col("a").alias("t")).distinct(), "a", "t", counts).filter("broken").select(F.col("key").alias("a"))
-    broken = open_.join(judged, "a").select("key", F.lit("truncated").alias("defect"))
+    broken = meet(open_, cut(judged), ["a"]).select("key", F.lit("truncated").alias("defect"))
     return marked.filter(F.col("defect").isNotNull()).select("key", "defect").unionByName(broken)
