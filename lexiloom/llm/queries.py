@@ -179,7 +179,7 @@ zz as (select *, 2 * (sqrt(n) - sqrt(expected + 1)) as z from ex),
 pp as (select *, case when z <= 0.5 then 1.0 else least(1.0, exp(-z * z / 2) / (z * 2.5066282746310002)) end as p from zz),
 rk as (select *, row_number() over (order by p, tbl, sab, len) as r, count(*) over () as m from pp),
 bar as (select coalesce(max(p), -1.0) as b from rk where p <= r * 0.01 / m)
-select tbl, sab, len, n, cast(at_risk as bigint) as at_risk, cast(n as double) / at_risk as hazard from pp cross join bar where p <= b and n >= 20 and n > 2 * expected
+select tbl, sab, len, n, cast(at_risk as bigint) as at_risk, cast(n as double) / at_risk as hazard from pp cross join bar where p <= b and n > 2 * expected
 """
 
 

@@ -13,11 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.ordering import running_number, with_next
+from ..runtime import cut, meet
 from .endings import ENDS, ending_counts, has_end, judge_open_ends
 
 NEIGHBOURS = 5  # lengths on each side whose hazards are the measure
 FALSE_DISCOVERY = 0.01
-LIMIT_COUNT = 20  # texts at a length from which it can be a limit
 LIMIT_SHARE = 0.6  # at a limit an open ending is whole only beyond this share of ends
 FOLLOWED = 3  # different terms that a frame must follow before it proves that a term is whole
 CAP = 0.9  # hazard of a limit that lets hardly any text through; there an open ending is a cut one
@@ -28,9 +29,9 @@ def length_limits(texts: DataFrame, source: Sequence[str], length: str) -> DataF
 
     The test is one-sided: a Poisson count with the neighbours' pooled hazard as its rate, by the
     normal approximation of its square root; ``limit`` marks lengths that the step-up procedure
-    accepts at ``FALSE_DISCOVERY``, that hold ``LIMIT_COUNT`` texts and twice what was expected.
+    accepts at ``FALSE_DISCOVERY`` and that hold twice what was expected.
     """
-    hist = texts.groupBy(*source, length).agg(F.count("*").alias("n"))
+    hist = cut(texts.groupBy(*source, length).agg(F.count("*").alias("n")))
     by = Window.partitionBy(*source).orderBy(F.col(length).desc())
     near = Window.partitionBy(*source).orderBy(length).rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     h = hist.withColumn("at_risk", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
@@ -40,13 +41,14 @@ def length_limits(texts: DataFrame, source: Sequence[str], length: str) -> DataF
     z = 2 * (F.sqrt(F.col("n")) - F.sqrt(F.col("expected") + 1))
     # upper tail of the normal law by a bound that is close in the tail
     h = h.withColumn("p_value", F.when(z <= 0.5, 1.0).otherwise(F.least(F.lit(1.0), F.exp(-z * z / 2) / (z * 2.5066282746310002))))
-    lengths = hist.count()
-    ranked = h.withColumn("rank", F.row_number().over(Window.orderBy("p_value", *source, length)))  # one row per length and source
+    h = cut(h)
+    lengths = h.count()
+    ranked = running_number(h.select("p_value", *source, length), [F.asc("p_value"), *[F.asc_nulls_first(s) for s in source], F.asc(length)], "rank")
     accepted = ranked.filter(F.col("p_value") <= F.col("rank") * FALSE_DISCOVERY / max(1, lengths)).agg(F.max("p_value")).first()[0]
     bar = -1.0 if accepted is None else accepted
     return h.select(
         *source, length, "n", "at_risk", "hazard", "expected", "p_value",
-        ((F.col("p_value") <= bar) & (F.col("n") >= LIMIT_COUNT) & (F.col("n") > 2 * F.col("expected"))).alias("limit"),
+        ((F.col("p_value") <= bar) & (F.col("n") > 2 * F.col("expected"))).alias("limit"),
     )
 
 
@@ -58,33 +60,43 @@ def cut_sentences(rows: DataFrame, source: Sequence[str], key: str, text: str, g
     texts are not cut; a null source is a source of its own; other columns are ignored.
     """
     base = rows.select(*source, F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *[F.col(g).alias(f"g_{g}") for g in group]).filter(F.trim("text") != "")
-    base = base.withColumn("len", F.length("text"))
-    texts = base.select("text").distinct()
+    # a text is named by two hashes, so that rows meet their judgement without carrying it
+    base = base.withColumn("len", F.length("text")).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
+    texts = cut(base.select("text", "h1", "h2").distinct())
     counts = ending_counts(texts, "text")
-    judged = judge_open_ends(texts.withColumn("t", F.col("text")), "text", "t", counts).select(F.col("key").alias("text"), "chance")
-    limits = length_limits(base.select(*source, "len"), source, "len").filter("limit").select(*[F.col(s).alias(f"s_{s}") for s in source], F.col("len").alias("s_len"), F.lit(True).alias("at_limit"), (F.col("hazard") >= CAP).alias("cap"))
-    found = base.join(judged, "text", "left")
-    found = found.join(F.broadcast(limits), on=[F.col(s).eqNullSafe(F.col(f"s_{s}")) for s in source] + [F.col("len") == F.col("s_len")], how="left").drop("s_len", *[f"s_{s}" for s in source])
-    found = found.withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    bar = F.when(F.col("at_limit"), LIMIT_SHARE).otherwise(ENDS)
+    named = F.struct("h1", "h2")
+    judged = judge_open_ends(texts.select(named.alias("h"), "text"), "h", "text", counts).select("key.h1", "key.h2", "chance")
     # a cap cuts numbers after their point too, which then looks like an end mark
-    capped = F.coalesce("cap", F.lit(False)) & (~has_end(F.col("text")) | F.col("text").rlike(r"(?:^|[^\d.])\d+\.$"))
-    broken = F.coalesce(F.col("chance") < bar, F.lit(False)) | capped
+    open_ = texts.filter(~has_end(F.col("text")) | F.col("text").rlike(r"(?:^|[^\d.])\d+\.$")).select("h1", "h2")
+    told = open_.join(judged, ["h1", "h2"], "left").withColumn("continued", F.lit(False))
     if group:
-        found = found.join(_continued(base, [f"g_{g}" for g in group]), "text", "left").withColumn("continued", F.coalesce("continued", F.lit(False)))
-        broken = broken | F.col("continued")
+        told = told.drop("continued").join(_continued(base, [f"g_{g}" for g in group]), ["h1", "h2"], "left").withColumn("continued", F.coalesce("continued", F.lit(False)))
+    told = cut(told.withColumn("open", F.lit(True)))
+    limits = cut(length_limits(base.select(*source, "len"), source, "len").filter("limit").select(*[F.col(s).alias(f"s_{s}") for s in source], F.col("len").alias("s_len"), F.lit(True).alias("at_limit"), (F.col("hazard") >= CAP).alias("cap")))
+    found = meet(base.select(*source, "key", "len", "h1", "h2"), told, ["h1", "h2"])
+    found = _at_limits(found, limits, source)
+    bar = F.when(F.col("at_limit"), LIMIT_SHARE).otherwise(ENDS)
+    broken = F.coalesce(F.col("chance") < bar, F.lit(False)) | F.coalesce("cap", F.lit(False)) | F.col("continued")
     return found.filter(broken).select(*source, "key", "at_limit", "chance")
 
 
+def _at_limits(rows: DataFrame, limits: DataFrame, source: Sequence[str]) -> DataFrame:
+    """``rows`` with ``at_limit`` and the other columns of the limit of their source and ``len``."""
+    name = lambda df, cols: df.withColumn("__at", F.to_json(F.struct(*[F.col(c).alias(str(i)) for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}))
+    keyed = name(limits, [*[f"s_{s}" for s in source], "s_len"]).drop("s_len", *[f"s_{s}" for s in source])
+    met = meet(name(rows, [*source, "len"]), keyed, ["__at"], "left").drop("__at")
+    return met.withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+
+
 def _continued(base: DataFrame, group: list[str]) -> DataFrame:
     """Distinct texts that another text of their group goes on from.
 
     Sorted within a group, a text stands right before those it begins; closing marks at its own
     end are no part of the beginning.
     """
-    w = Window.partitionBy(*group).orderBy("text")
-    pairs = base.select(*group, "text").distinct().withColumn("after", F.lead("text").over(w))
-    return pairs.filter(F.col("after").startswith(F.col("text")) & (F.length("after") > F.length("text") + 1) & ~has_end(F.col("text"))).select("text").distinct().withColumn("continued", F.lit(True))
+    pairs = with_next(base.select(*group, "text").distinct(), [*group, "text"], "text", "after", group)
+    held = pairs.filter(F.col("after").startswith(F.col("text")) & (F.length("after") > F.length("text") + 1) & ~has_end(F.col("text")))
+    return held.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).distinct().withColumn("continued", F.lit(True))
 
 
 def cut_terms(rows: DataFrame, source: Sequence[str], key: str, term: str, sentence: str) -> DataFrame:
@@ -107,16 +119,18 @@ def cut_terms(rows: DataFrame, source: Sequence[str], key: str, term: str, sente
     seen = seen.withColumn("inner", F.when(F.col("term").rlike(r"[\p{L}\d]$"), inner).otherwise(""))
     frame = F.regexp_extract(F.regexp_replace(F.lower(F.ltrim("rest")), r"\d+", "0"), r"^([^\p{L}\d]*[\p{L}\d]*[^\p{L}\d]+[\p{L}\d]*)", 1)
     seen = seen.withColumn("frame", F.when(F.col("inner") == "", F.trim(frame)))
-    limits = length_limits(seen.select(*source, "len"), source, "len").filter("limit").select(*[F.col(x).alias(f"s_{x}") for x in source], F.col("len").alias("s_len"), F.lit(True).alias("at_limit"))
-    seen = seen.join(F.broadcast(limits), on=[F.col(x).eqNullSafe(F.col(f"s_{x}")) for x in source] + [F.col("len") == F.col("s_len")], how="left").drop("s_len", *[f"s_{x}" for x in source])
-    seen = seen.withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    whole = seen.filter(F.col("frame").isNotNull() & ~F.col("at_limit")).select(F.lower("term").alias("term"), F.lower("s").alias("s"), "frame").distinct()
+    limits = cut(length_limits(seen.select(*source, "len"), source, "len").filter("limit").select(*[F.col(x).alias(f"s_{x}") for x in source], F.col("len").alias("s_len"), F.lit(True).alias("at_limit")))
+    seen = cut(_at_limits(seen, limits, source).select(*source, "key", "term", "s", "rest", "inner", "frame", "at_limit"))
+    whole = cut(seen.filter(F.col("frame").isNotNull() & ~F.col("at_limit")).select(F.lower("term").alias("term"), F.lower("s").alias("s"), "frame").distinct())
     n = whole.count()
     frames = whole.groupBy("frame").agg(F.count("*").alias("times"), F.count_distinct("term").alias("terms")).filter(F.col("terms") >= FOLLOWED).drop("terms")
-    out = seen.join(frames, "frame", "left").withColumn("chance", F.when(F.col("frame").isNull(), 0.0).otherwise(F.coalesce("times", F.lit(0)) / F.lit(float(max(1, n)))))
+    out = meet(seen, cut(frames), ["frame"], "left").withColumn("chance", F.when(F.col("frame").isNull(), 0.0).otherwise(F.coalesce("times", F.lit(0)) / F.lit(float(max(1, n)))))
     # the term is whole in another form where the sentence only adds an ending to a word in use
-    used = base.select(F.explode(F.array_distinct(F.split(F.lower("s"), r"[^\p{L}\d]+"))).alias("last")).groupBy("last").count().filter("last <> ''").select("last", F.lit(True).alias("used"))
-    out = out.withColumn("last", F.lower(F.regexp_extract("term", r"([\p{L}\d]+)$", 1))).join(used, "last", "left")
+    last = F.lower(F.regexp_extract("term", r"([\p{L}\d]+)$", 1))
+    asked = cut(seen.filter(_inflection(F.col("inner"))).select(last.alias("last")).distinct().withColumn("here", F.lit(True)))
+    used = base.select(F.explode(F.array_distinct(F.split(F.lower("s"), r"[^\p{L}\d]+"))).alias("last")).filter("last <> ''")
+    used = cut(meet(used, asked, ["last"]).select("last").distinct().withColumn("used", F.lit(True)))
+    out = meet(out.withColumn("last", last), used, ["last"], "left")
     other_form = _inflection(F.col("inner")) & F.coalesce("used", F.lit(False)) & ~F.col("at_limit")
     inside = (F.col("inner") != "") & ~other_form
     between = F.col("frame").isNotNull() & (F.col("chance") < 0.01) & (F.trim("rest") != "")
