@@ -17,7 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..runtime import cut, meet
+from ..runtime import cut, meet, spread
 
 SEEN = 4  # places from which a context counts as known
 ENDS = 0.08  # share of them that end a sentence, below which a text that stops there was cut
@@ -164,7 +164,7 @@ def judge_open_ends(texts: DataFrame, key: str, column: str, counts: DataFrame,
     """
     # materialised before the texts are looked into and after, so that each is looked into once
     open_ = cut(texts.filter(~has_end(F.col(column))).select(F.col(key).alias("key"), F.col(column).cast("string").alias("t")))
-    open_ = cut(open_.select("key", F.pandas_udf(_open, _OPEN)("t").alias("o")).filter("o.w is not null"))
+    open_ = cut(spread(open_, "t").select("key", F.pandas_udf(_open, _OPEN)("t").alias("o")).filter("o.w is not null"))
     asked = open_.select("key", "o.broken", "o.w", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"o.{k}").alias("ctx")) for k in (*_KINDS, "S")])).alias("q"))
     asked = asked.select("key", "broken", "w", "q.kind", "q.ctx").filter("ctx is not null")
     # contexts are distinct when they meet their counts, and even when these come back to the texts

@@ -235,7 +235,7 @@ def find_defects(pairs: DataFrame, key: str, prompt: str, response: str) -> Data
     # both branches below read this; a text that has its defect is not needed any more
     marked = cut(plain.select("key", F.when(F.col("defect").isNull() & ~has_end(F.col("a")), F.col("a")).alias("a"), "defect"))
     # copies of a pair are no further evidence, whereas an answer that different prompts get is a stock one
-    counts = ending_counts(raw.filter(F.length("a") > 0).select("q", "a").distinct(), "a")
+    counts = ending_counts(spread(cut(raw.filter(F.length("a") > 0).select("q", "a").distinct().select("a")), "a"), "a")
     open_ = marked.filter(F.col("a").isNotNull())
     judged = judge_open_ends(open_.select("a", F.col("a").alias("t")).distinct(), "a", "t", counts).filter("broken").select(F.col("key").alias("a"))
     broken = meet(open_, cut(judged), ["a"]).select("key", F.lit("truncated").alias("defect"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.ordering import running_number, with_next
-from ..runtime import cut, meet
+from ..runtime import cut, meet, small_enough, spread
 from .endings import ENDS, ending_counts, has_end, judge_open_ends
 
 NEIGHBOURS = 5  # lengths on each side whose hazards are the measure
@@ -43,7 +43,10 @@ def length_limits(texts: DataFrame, source: Sequence[str], length: str) -> DataF
     h = h.withColumn("p_value", F.when(z <= 0.5, 1.0).otherwise(F.least(F.lit(1.0), F.exp(-z * z / 2) / (z * 2.5066282746310002))))
     h = cut(h)
     lengths = h.count()
-    ranked = running_number(h.select("p_value", *source, length), [F.asc("p_value"), *[F.asc_nulls_first(s) for s in source], F.asc(length)], "rank")
+    # only these can be accepted, and their ranks are the same among themselves
+    low = h.filter(F.col("p_value") <= FALSE_DISCOVERY).select("p_value", *source, length)
+    order = [F.asc("p_value"), *[F.asc_nulls_first(s) for s in source], F.asc(length)]
+    ranked = low.withColumn("rank", F.row_number().over(Window.orderBy(*order))) if small_enough(low) else running_number(low, order, "rank")
     accepted = ranked.filter(F.col("p_value") <= F.col("rank") * FALSE_DISCOVERY / max(1, lengths)).agg(F.max("p_value")).first()[0]
     bar = -1.0 if accepted is None else accepted
     return h.select(
@@ -62,7 +65,7 @@ def cut_sentences(rows: DataFrame, source: Sequence[str], key: str, text: str, g
     base = rows.select(*source, F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *[F.col(g).alias(f"g_{g}") for g in group]).filter(F.trim("text") != "")
     # a text is named by two hashes, so that rows meet their judgement without carrying it
     base = base.withColumn("len", F.length("text")).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
-    texts = cut(base.select("text", "h1", "h2").distinct())
+    texts = spread(cut(base.select("text", "h1", "h2").distinct()), "h1")
     counts = ending_counts(texts, "text")
     named = F.struct("h1", "h2")
     judged = judge_open_ends(texts.select(named.alias("h"), "text"), "h", "text", counts).select("key.h1", "key.h2", "chance")
