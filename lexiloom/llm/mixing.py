@@ -14,9 +14,10 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..runtime import cut, spread
+from ..runtime import cut, meet, spread
 
 BLOCK = 4096  # documents of a flight
 VOCABULARY = os.environ.get("LEXILOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -33,11 +34,16 @@ def _encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(path: str):
-    """Pandas UDF: tokens of a text by the vocabulary file at ``path``; null counts 0."""
+def count_tokens(spark: SparkSession, path: str):
+    """Pandas UDF: tokens of a text by the vocabulary file at ``path``; null counts 0.
+
+    The file is shipped with the job, so only the driver must reach ``path``.
+    """
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def counts(text: pd.Series) -> pd.Series:
-        enc = _encoding(path)
+        enc = _encoding(SparkFiles.get(name))
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in text], dtype="int64")
 
     return F.pandas_udf(counts, T.LongType())
@@ -103,15 +109,16 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", sou
     without tokens, with a null source or one that is no target are never chosen.
     """
     read = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), "doc_id")
-    sized = read.select("doc_id", "source", count_tokens(vocabulary)(F.col("text")).alias("tokens")).filter("tokens > 0 and source is not null")
+    sized = read.select("doc_id", "source", count_tokens(docs.sparkSession, vocabulary)(F.col("text")).alias("tokens")).filter("tokens > 0 and source is not null")
     goal = targets.select(F.col("source"), F.col("target_share").cast("double"), F.col("max_repeat").cast("int")).filter("source is not null and target_share is not null")
-    sized = cut(sized.join(F.broadcast(goal.select("source")), "source", "left_semi"))  # a row per source
+    goal = cut(goal)
+    sized = cut(meet(sized, goal.select("source").distinct(), ["source"]))
     stock = sized.groupBy("source").agg(F.sum("tokens").alias("stock"), F.count("*").alias("documents"))
     plan = goal.join(stock, "source", "left").withColumn("stock", F.coalesce("stock", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0)))
     reach = plan.filter("stock > 0 and target_share > 0").agg(F.min(F.col("max_repeat") * F.col("stock") / F.col("target_share"))).first()[0] or 0.0
     ratio = F.when(F.col("stock") > 0, F.least(F.lit(reach) * F.col("target_share") / F.col("stock"), F.col("max_repeat").cast("double"))).otherwise(0.0)
     plan = cut(plan.withColumn("ratio", F.when(F.abs(ratio - F.round(ratio)) < 1e-9, F.round(ratio)).otherwise(ratio)))
-    rated = sized.join(F.broadcast(plan.select("source", "ratio")), "source").withColumn("base", F.floor("ratio")).withColumn("prob", F.col("ratio") - F.floor("ratio"))
+    rated = meet(sized, plan.select("source", "ratio"), ["source"]).withColumn("base", F.floor("ratio")).withColumn("prob", F.col("ratio") - F.floor("ratio"))
     whole = rated.filter("prob = 0").select("doc_id", "source", "tokens", F.col("base").cast("bigint").alias("copies"))
     undecided = rated.filter("prob > 0").select("doc_id", "source", "tokens", "base", "prob")
     schema = "doc_id bigint, source string, tokens bigint, base bigint, prob double"

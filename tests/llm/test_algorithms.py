@@ -12,6 +12,8 @@ from lexiloom.llm.cooccur import PairCounter, pair_lift
 from lexiloom.llm.mixing import flight, land, mix_sources
 from lexiloom.llm.outranking import Score, outranking_flows, rank_items
 
+from ..conftest import DATA
+
 
 def brute_pairs(rows):
     held = {}
@@ -140,3 +142,11 @@ def test_mix(spark):
     assert sorted((r.doc_id, r["copies"]) for r in mix_sources(d, t)[0].collect()) == sorted((r.doc_id, r["copies"]) for r in rows)
     empty, shares = mix_sources(d.limit(0), t)
     assert empty.count() == 0 and all(r.share == 0 for r in shares.collect())
+
+
+def test_shares_reach_their_targets(spark):
+    t = {r.source: r.target_share for r in spark.read.parquet(f"{DATA}/mix_targets.parquet").collect()}
+    rows = queries.queries()["p9_shares"](spark, DATA).collect()
+    reach = sum(t[r.source] for r in rows if r.documents)
+    for r in rows:
+        assert abs(r.share - (t[r.source] / reach if r.documents else 0)) < 0.02 and (not r.chosen or r["copies"] <= r.max_repeat * r.documents)
