@@ -1,4 +1,4 @@
-"""Scalar and array text functions as Column expressions; all stay inside generated code."""
+"""Scalar and array text functions as Column expressions; all stay on the JVM, array functions with lambdas outside generated code."""
 
 from __future__ import annotations
 
@@ -80,7 +80,7 @@ def phrase_segments(text: Column) -> Column:
 
 
 def phrase_tokens(segment: Column) -> Column:
-    return F.regexp_extract_all(segment, F.lit(r"([a-z0-9][a-z0-9'-]*)"), F.lit(1))
+    return F.regexp_extract_all(segment, F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'-]*)"), F.lit(1))
 
 
 def edge_stop_word(tokens: Column) -> Column:
@@ -112,16 +112,16 @@ def pos_tag(word: Column) -> Column:
 
 
 def collapse_pos(tag: Column) -> Column:
-    """Penn tag to one character; what is not listed is O."""
+    """Penn tag to one character: punctuation is Z, what is not listed is O."""
     # The table of tags.
     table = {
-        "N": ("NN", "NNS", "NNP", "NNPS"), "A": ("JJ", "JJR", "JJS"), "R": ("RB", "RBR", "RBS"), "V": ("VB", "VBD", "VBN", "VBP", "VBZ"), "G": ("VBG",), "P": ("IN",), "T": ("TO",),
-        "D": ("DT",), "E": ("EX",), "F": ("FW",), "M": ("MD",), "U": ("RPR", "RPR$"), "C": ("CC",), "W": ("WDT", "WP", "WP$", "WRB"), "X": ("PDT",), "Z": ("POS",), "B": ("CD",),
+        "N": ("NN", "NNS", "NNP", "NNPS"), "A": ("JJ", "JJR", "JJS"), "P": ("IN",), "R": ("RB", "RBR", "RBS", "WRB"), "V": ("VB", "VBD", "VBP", "VBZ"), "G": ("VBG",), "B": ("VBN",), "T": ("TO",),
+        "D": ("DT", "PDT", "WDT"), "E": ("EX",), "F": ("FW",), "M": ("CD",), "U": ("RPR", "RPR$", "WP", "WP$"), "C": ("CC",), "W": ("UH",), "X": ("X",),
     }
     out = None
     for one, tags in table.items():
         out = F.when(tag.isin(*tags), one) if out is None else out.when(tag.isin(*tags), one)
-    return out.otherwise("O")
+    return out.when(tag.rlike("^" + PUNCTUATION + "+$"), "Z").otherwise("O")
 
 
 def pos_signature(tags: Column) -> Column:

@@ -9,7 +9,7 @@ from ..operators import lexicon as L
 from ..operators.ordering import prefix_sums, with_previous
 from ..runtime import table
 from .registry import query
-from .terms import _NORM, _POS, _STOP
+from .terms import _NORM, _POS, _STOP, _WORD
 
 _W = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
 _LEMMA = (
@@ -59,10 +59,13 @@ def fuzzy_lookup_score(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d).filter("score >= 70").select("phrase", "cui", "aui", "sab", "descr", F.round("score", 4).alias("score"))
 
 
-@query(f"with {_LEX}, {_LOOK} select phrase, round(coalesce(max(score), 0), 4) as umls_score, round(coalesce(max(case when contains(sab, 'LAY') then score end), 0), 4) as chv_score from m where not coalesce(regexp_matches(sab, '^(CLINTERM|LABNAMES)'), false) group by phrase")
+@query(
+    f"with {_LEX}, {_LOOK}, best as (select phrase, max((boosted, score)) as a, max((boosted, score)) filter (where contains(sab, 'LAY')) as b from m group by phrase) "
+    "select phrase, round(coalesce(a[2], 0), 4) as umls_score, round(coalesce(b[2], 0), 4) as chv_score from best"
+)
 def best_concept_pair(spark: SparkSession, d: str) -> DataFrame:
-    m = _matches(spark, d).filter(~F.coalesce(F.col("sab").rlike(L.PREFERRED_SOURCES), F.lit(False)))
-    return L.best_pair(m).select("phrase", F.round("umls_score", 4).alias("umls_score"), F.round("chv_score", 4).alias("chv_score"))
+    """The match that is best when preferred sources are boosted gives its score without the boost."""
+    return L.best_pair(_matches(spark, d)).select("phrase", F.round("umls_score", 4).alias("umls_score"), F.round("chv_score", 4).alias("chv_score"))
 
 
 @query(f"with {_LEX}, {_LOOK}, b as (select *, row_number() over (partition by phrase, cui order by boosted desc, sab nulls last, aui nulls last, descr) as rn from m) select phrase, cui, sab, aui, descr, round(boosted, 4) as boosted from b where rn = 1")
@@ -71,7 +74,7 @@ def best_per_concept(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"with {_LEX}, seg as (select id as doc_id, unnest(string_split_regex(lower(sentence), '[.?!]\\s+|\\n+|[,;/:()\\[\\]{{}}\"]+')) as s from bioportal), tok as (select doc_id, regexp_extract_all(s, '[a-z0-9][a-z0-9''-]*') as w from seg), "
+    f"with {_LEX}, seg as (select id as doc_id, unnest(string_split_regex(lower(sentence), '[.?!]\\s+|\\n+|[,;/:()\\[\\]{{}}\"]+')) as s from bioportal), tok as (select doc_id, regexp_extract_all(s, '{_WORD}') as w from seg), "
     "pos as (select doc_id, w, unnest(generate_series(1, len(w))) as i from tok where len(w) > 0), span as (select doc_id, w, i, unnest([1, 2, 3, 4, 5]) as n from pos), "
     f"occ as (select doc_id, n, array_to_string(w[i : i + n - 1], ' ') as gram from span where i + n - 1 <= len(w) and w[i] not in ({_STOP}) and w[i + n - 1] not in ({_STOP})) "
     "select doc_id, gram, cast(n as bigint) as n, cui from occ join (select distinct norm, cui from lex) l on l.norm = occ.gram"

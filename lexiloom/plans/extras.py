@@ -8,73 +8,69 @@ from ..functions import text as X
 from ..operators import ngrams as N
 from ..operators import relational as R
 from ..operators.ordering import with_previous
-from ..runtime import table
+from ..runtime import cut, meet, table
 from .registry import query
-from .terms import _GRAMS, _POS, _STOP
+from .terms import _GRAMS, _POS, _STOP, _WORD
 
-_SYN = "regexp_replace(regexp_replace(lower(subject), '\\b(synonyms?|also called|aka)\\b', '', 'g'), '[/;,]| and | or ', '|', 'g')"
+_SYN = "regexp_replace(regexp_replace(regexp_replace(lower(subject), '\\(family\\)', '', 'g'), '\\b(synonyms?|also called|aka)\\b', '', 'g'), '[/;,()]| and | or ', '|', 'g')"
 
 
 @query(f"select id, pos, part from (select id, cast(generate_subscripts(l, 1) as bigint) as pos, unnest(l) as part from (select id, list_filter(list_transform(string_split({_SYN}, '|'), lambda x: trim(x)), lambda x: x <> '') as l from (select distinct id, subject from tmp_org_yahoo where subject is not null)))")
 def synonym_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    """Alternatives of a title, one per row with its position."""
+    """Alternatives of a title, one per row with its position; the family marker goes, alternates in parentheses are rows."""
     t = table(spark, d, "tmp_org_yahoo").filter("subject is not null").select("id", "subject").distinct()
-    s = F.regexp_replace(F.regexp_replace(F.lower("subject"), r"\b(synonyms?|also called|aka)\b", ""), "[/;,]| and | or ", "|")
+    s = F.regexp_replace(F.regexp_replace(F.lower("subject"), r"\(family\)", ""), r"\b(synonyms?|also called|aka)\b", "")
+    s = F.regexp_replace(s, "[/;,()]| and | or ", "|")
     parts = F.filter(F.transform(F.split(s, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return t.select("id", F.posexplode(parts).alias("p", "part")).select("id", (F.col("p") + 1).cast("bigint").alias("pos"), "part")
 
 
-@query("select id, 0 as place, org_str as term from bioportal where org_str is not null union all select id, cast(generate_subscripts(l, 1) as int), unnest(l) from (select id, string_split(cui, 'C') as l from bioportal where org_str is not null and cui is not null)")
+@query(
+    "select id, 0 as place, org_str as term from bioportal where org_str is not null union all select id, cast(generate_subscripts(l, 1) as int), unnest(l) from "
+    "(select id, list_filter(list_transform(string_split(sentence, ','), lambda x: trim(x)), lambda x: x <> '') as l from bioportal where org_str is not null and sentence is not null)"
+)
 def align_explode(spark: SparkSession, d: str) -> DataFrame:
-    """The base term of a record, then its further parts in order."""
+    """The base term of a record, then the other terms of its comma list, a row each in order."""
     t = table(spark, d, "bioportal").filter("org_str is not null")
-    parts = F.concat(F.array("org_str"), F.when(F.col("cui").isNotNull(), F.split("cui", "C")).otherwise(F.array().cast("array<string>")))
-    return t.select("id", F.posexplode(parts).alias("place", "term"))
+    others = F.filter(F.transform(F.split("sentence", ","), lambda x: F.trim(x)), lambda x: x != "")
+    return t.select("id", F.posexplode(F.concat(F.array("org_str"), F.coalesce(others, F.array().cast("array<string>")))).alias("place", "term"))
 
 
 @query(
-    f"with {_GRAMS}, voc as (select gram from freq where n = 1 order by tf desc, gram limit 50), o as (select distinct doc_id, sid, gram from occ where n = 1) "
-    "select a.gram as gram, b.gram as word, count(*) as n from o a join o b on a.doc_id = b.doc_id and a.sid = b.sid and a.gram <> b.gram join voc v on v.gram = b.gram join voc u on u.gram = a.gram group by 1, 2 having count(*) >= 2"
+    f"with {_GRAMS}, tot as (select gram, sum(tf) as tf from freq group by gram), voc as (select gram from tot where tf >= 10 order by tf desc, gram limit 10000), o as (select distinct doc_id, sid, gram from occ), "
+    "v as (select o.* from o join voc using (gram)), n as (select a.gram as gram, v.gram as word, count(*) as n from o a join v on a.doc_id = v.doc_id and a.sid = v.sid and a.gram <> v.gram group by 1, 2) "
+    "select n.gram, word, n, round(cast(n as double) / tf, 6) as per_place from n join tot on tot.gram = n.gram"
 )
 def bow_cooccur_vector(spark: SparkSession, d: str) -> DataFrame:
-    """How often a word shares a stretch with another, twice at least, among the 50 most frequent, as its SQL has it; ``bow_gram_vectors`` gives every gram its whole vector."""
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
-    occ = N.ngram_occurrences(docs, "doc_id", "text", 1).select("doc_id", "seg", "gram").distinct()
-    voc = N.vocabulary(N.ngram_frequencies(docs, "doc_id", "text", 1), 1, 50).select("gram")
-    o = occ.join(F.broadcast(voc), "gram")  # 50 words
-    pairs = o.join(o.withColumnRenamed("gram", "word"), ["doc_id", "seg"]).filter("gram <> word")
-    return pairs.groupBy("gram", "word").agg(F.count("*").alias("n")).filter("n >= 2")
-
-
-@query()
-def bow_gram_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Every place that is not zero of every gram's bag-of-words vector, over the reference's vocabulary: the 10,000 most frequent
-    grams that occur ten times or more. Tested against brute force."""
-    occ = N.ngram_occurrences(table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text"), "doc_id", "text").select("doc_id", "seg", "gram")
-    freq = occ.groupBy("gram").agg(F.count("*").alias("tf"))
-    held = occ.distinct()
-    voc = held.join(F.broadcast(N.vocabulary(freq, 10, 10_000).select("gram")), "gram").withColumnRenamed("gram", "word")  # 10,000 grams
-    return held.join(voc, ["doc_id", "seg"]).filter("gram <> word").groupBy("gram", "word").agg(F.count("*").alias("n"))
+    """Every place that is not zero of every gram's bag-of-words vector, as a count and over the gram's frequency; the vocabulary
+    is the reference's: the 10,000 most frequent grams that occur ten times or more."""
+    occ = N.ngram_occurrences(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "seg", "gram")
+    places = cut(occ.groupBy("doc_id", "seg", "gram").agg(F.count("*").alias("times")))
+    freq = cut(places.groupBy("gram").agg(F.sum("times").alias("tf")))
+    voc = meet(places, cut(N.vocabulary(freq, 10, 10_000).select("gram")), ["gram"]).select("doc_id", "seg", F.col("gram").alias("word"))
+    n = places.select("doc_id", "seg", "gram").join(voc, ["doc_id", "seg"]).filter("gram <> word").groupBy("gram", "word").agg(F.count("*").alias("n"))
+    return meet(n, freq, ["gram"]).select("gram", "word", "n", F.round(F.col("n").cast("double") / F.col("tf"), 6).alias("per_place"))
 
 
-@query("select distinct c.id, p.target as parent from content_tag c join content_tag p on c.blogid = p.blogid and c.sab = p.sab and c.target <> p.target and ends_with(lower(c.target), lower(p.target)) and p.target <> ''")
+@query(
+    "with p as (select distinct blogid, sab, lower(target) as k, target as parent from content_tag where target <> '') "
+    "select distinct c.id, p.parent from content_tag c left join p on c.blogid = p.blogid and c.sab = p.sab and c.target <> p.parent and ends_with(lower(c.target), p.k) where c.target <> ''"
+)
 def suffix_parents(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of the same post and source whose string ends with another's: its more general term."""
-    t = table(spark, d, "content_tag").filter("target <> ''")
-    p = t.select("blogid", "sab", F.col("target").alias("parent")).distinct()
-    j = t.select("id", "blogid", "sab", "target").join(p, ["blogid", "sab"])
-    return j.filter((F.col("target") != F.col("parent")) & F.endswith(F.lower("target"), F.lower("parent"))).select("id", "parent").distinct()
-
+    """Findings with the strings of their post and source that theirs ends with, null where there is none.
 
-@query(f"with {_GRAMS.replace('documents where lang', 'documents where source = ' + chr(39) + 'note' + chr(39) + ' and lang')} select doc_id, n, gram, row_number() over (partition by doc_id order by sid, i, n) as ordinal from occ".replace("row_number() over () as sid", "row_number() over (order by doc_id) as sid"))
-def ngram_sequence(spark: SparkSession, d: str) -> DataFrame:
-    """Every gram of an English note in the order of the text, numbered, as its SQL has it; ``ngram_sequence_all`` takes every document."""
-    return _sequence(table(spark, d, "documents").filter("source = 'note' and lang = 'en'"))
+    A string meets its own suffixes by equality, so no pair of findings is formed.
+    """
+    t = table(spark, d, "content_tag").filter("target <> ''").select("id", "blogid", "sab", "target")
+    p = t.select("blogid", "sab", F.lower("target").alias("suffix"), F.col("target").alias("parent")).distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.length("target")), lambda i: F.substring(F.lower("target"), i, F.length("target")))
+    held = t.select("id", "blogid", "sab", "target", F.explode(ends).alias("suffix")).join(p, ["blogid", "sab", "suffix"]).filter("target <> parent").select("id", "parent").distinct()
+    return t.select("id").distinct().join(held, "id", "left")
 
 
-@query()
-def ngram_sequence_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every gram of every document in the order of the text, numbered; tested against brute force."""
+@query(f"with {_GRAMS} select doc_id, n, gram, row_number() over (partition by doc_id order by sid, i, n) as ordinal from occ")
+def ngram_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Every gram of every document in the order of the text, numbered."""
     return _sequence(table(spark, d, "documents"))
 
 
@@ -113,7 +109,7 @@ def synonym_expansion(spark: SparkSession, d: str) -> DataFrame:
     return c.join(o, "cui").filter("cui <> related")
 
 
-@query(f"select id, array_to_string(list_transform(list_filter(regexp_extract_all(lower(sentence), '[a-z0-9][a-z0-9''-]*'), lambda w: w not in ({_STOP})), lambda w: w || '_' || ({_POS})), ' ') as s from bioportal where sentence is not null")
+@query(f"select id, array_to_string(list_transform(list_filter(regexp_extract_all(lower(sentence), '{_WORD}'), lambda w: w not in ({_STOP})), lambda w: w || '_' || ({_POS})), ' ') as s from bioportal where sentence is not null")
 def normalized_sentence(spark: SparkSession, d: str) -> DataFrame:
     """Sentences as words with their tags, without stop words."""
     t = table(spark, d, "bioportal").filter("sentence is not null")

@@ -66,9 +66,11 @@ def preferred_row_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return R.keep_preferred(t, ["blogid", "k"], [F.col("score").desc_nulls_last(), F.col("id")]).select("blogid", "target", "id")
 
 
-@query("select tui, min(styname) as styname, min(cui) as cui, count(*) as n from content_tag group by tui")
+@query("select tui, arg_min(styname, id) as styname, arg_min(coalesce(cui, '-'), id) as cui, count(*) as n from content_tag group by tui")
 def loose_groupby_repr(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "content_tag").groupBy("tui").agg(F.min("styname").alias("styname"), F.min("cui").alias("cui"), F.count("*").alias("n"))
+    """What a loose GROUP BY shows of a group comes from one of its rows, the one of least id."""
+    t = table(spark, d, "content_tag").groupBy("tui").agg(F.min_by(F.struct("styname", "cui"), "id").alias("row"), F.count("*").alias("n"))
+    return t.select("tui", "row.styname", F.coalesce("row.cui", F.lit("-")).alias("cui"), "n")
 
 
 @query("select id, row_number() over (order by score desc nulls last, id) as rid from bio_rank" .replace("bio_rank", "(select id, length(org_str) as score from bioportal)"))

@@ -13,9 +13,10 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _PUNCT = "[!-/:-@\\[-`{-~]"
 _NORM = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '{_PUNCT}', ' ', 'g'), '\\s+', ' ', 'g'))"
 _WORDS = lambda c: f"list_filter(string_split({_NORM(c)}, ' '), lambda w: w <> '')"
+_WORD = "[\\p{L}\\p{N}][\\p{L}\\p{N}''-]*"
 _GRAMS = f"""
-seg as (select doc_id, unnest(string_split_regex(lower(text), '[.?!]\\s+|\\n+|[,;/:()\\[\\]{{}}"]+')) as s from documents where lang = 'en'),
-tok as (select doc_id, regexp_extract_all(s, '[a-z0-9][a-z0-9''-]*') as w, row_number() over () as sid from seg),
+seg as (select doc_id, unnest(l) as s, generate_subscripts(l, 1) as sid from (select doc_id, string_split_regex(lower(text), '[.?!]\\s+|\\n+|[,;/:()\\[\\]{{}}"]+') as l from documents where text is not null)),
+tok as (select doc_id, regexp_extract_all(s, '{_WORD}') as w, sid from seg),
 pos as (select doc_id, sid, w, unnest(generate_series(1, len(w))) as i from tok where len(w) > 0),
 span as (select doc_id, sid, w, i, unnest([1, 2, 3]) as n from pos),
 occ as (select doc_id, sid, i, n, array_to_string(w[i : i + n - 1], ' ') as gram from span where i + n - 1 <= len(w) and w[i] not in ({_STOP}) and w[i + n - 1] not in ({_STOP})),
@@ -33,8 +34,8 @@ cval as (select gram, n, tf, df, cast(nested_tf as bigint) as nested_tf, contain
 """
 
 
-def _english(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
 
 
 @query(f"select doc_id, {_NORM('text')} as norm, length(regexp_replace(text, '[^\\x20-\\x7e\\t\\r\\n]', '', 'g')) as printable, length(regexp_replace(text, '[^\\x00-\\x7f]+', ' ', 'g')) as plain from documents where text is not null")
@@ -56,26 +57,26 @@ def sentence_explode(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_GRAMS} select gram, cast(n as bigint) as n, tf, df from freq where tf >= 5")
 def ngram_tf_df(spark: SparkSession, d: str) -> DataFrame:
-    return N.ngram_frequencies(_english(spark, d), "doc_id", "text").filter("tf >= 5").select("gram", F.col("n").cast("bigint").alias("n"), "tf", "df")
+    return N.ngram_frequencies(_texts(spark, d), "doc_id", "text").filter("tf >= 5").select("gram", F.col("n").cast("bigint").alias("n"), "tf", "df")
 
 
-@query(f"with {_GRAMS} select gram, round(log2(1 + df * log2(1 + tf / sqrt((select count(*) from documents where lang = 'en')))), 6) as tfdf from freq where tf >= 5")
+@query(f"with {_GRAMS} select gram, round(log2(1 + df * log2(1 + tf / sqrt((select count(*) from documents where text is not null)))), 6) as tfdf from freq where tf >= 5")
 def ngram_tfdf(spark: SparkSession, d: str) -> DataFrame:
-    docs = _english(spark, d)
+    docs = _texts(spark, d)
     f = N.ngram_frequencies(docs, "doc_id", "text").filter("tf >= 5")
     return N.tf_df(f, docs.count()).select("gram", F.round("tfdf", 6).alias("tfdf"))
 
 
 @query(f"with {_GRAMS}, {_NEST} select gram, tf, df, nested_tf, containers, round(cvalue, 6) as cvalue from cval order by cvalue desc, gram limit 200")
 def ngram_cvalue_topk(spark: SparkSession, d: str) -> DataFrame:
-    f = N.ngram_frequencies(_english(spark, d), "doc_id", "text").filter("tf >= 2")
+    f = N.ngram_frequencies(_texts(spark, d), "doc_id", "text").filter("tf >= 2")
     c = N.c_value(N.nesting(f)).orderBy(F.desc("cvalue"), "gram").limit(200)
     return c.select("gram", "tf", "df", "nested_tf", "containers", F.round("cvalue", 6).alias("cvalue"))
 
 
-@query(f"with {_GRAMS} select gram, tf, row_number() over (order by tf desc, gram) - 1 as idx from freq where tf >= 10 order by tf desc, gram limit 1000")
+@query(f"with {_GRAMS} select gram, tf, row_number() over (order by tf desc, gram) - 1 as idx from freq where tf >= 10 order by tf desc, gram limit 10000")
 def bow_vocab_index(spark: SparkSession, d: str) -> DataFrame:
-    return N.vocabulary(N.ngram_frequencies(_english(spark, d), "doc_id", "text"), 10, 1000)
+    return N.vocabulary(N.ngram_frequencies(_texts(spark, d), "doc_id", "text"), 10, 10_000)
 
 
 @query(
@@ -85,7 +86,7 @@ def bow_vocab_index(spark: SparkSession, d: str) -> DataFrame:
     "select gram, count(*) as places, cast(sum(inside) as bigint) as neighbours, cast(sum(nearest) as bigint) as distance from place group by gram having count(*) >= 3"
 )
 def context_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    occ = N.ngram_occurrences(_english(spark, d), "doc_id", "text")
+    occ = N.ngram_occurrences(_texts(spark, d), "doc_id", "text")
     known = occ.filter("n = 1").groupBy("gram").agg(F.count_distinct("doc_id").alias("df")).filter("df >= 30")
     return N.context_counts(occ, known).filter("places >= 3")
 
@@ -135,9 +136,9 @@ _POS = (
 )
 
 
-@query(f"select pos, count(*) as n from (select {_POS} as pos from (select unnest({_WORDS('text')}) as w from documents where lang = 'en')) group by pos")
+@query(f"select pos, count(*) as n from (select {_POS} as pos from (select unnest({_WORDS('text')}) as w from documents where text is not null)) group by pos")
 def pos_collapse_counts(spark: SparkSession, d: str) -> DataFrame:
-    w = _english(spark, d).select(F.explode(X.word_array(X.normalize(F.col("text")))).alias("w"))
+    w = _texts(spark, d).select(F.explode(X.word_array(X.normalize(F.col("text")))).alias("w"))
     return w.select(X.pos_tag(F.col("w")).alias("pos")).groupBy("pos").agg(F.count("*").alias("n"))
 
 
@@ -151,17 +152,17 @@ def duration_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "select rel, count(*) as n from (select w[i] || '>' || w[i + 1] as rel from (select w, unnest(generate_series(1, len(w) - 1)) as i from (select regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]*') as w from documents where lang = 'en') where len(w) > 1) "
-    "union all select w[i + 1] || '<' || w[i] from (select w, unnest(generate_series(1, len(w) - 1)) as i from (select regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]*') as w from documents where lang = 'en') where len(w) > 1)) group by rel having count(*) >= 20"
+    "select rel, count(*) as n from (select w[i] || '>' || w[i + 1] as rel from (select w, unnest(generate_series(1, len(w) - 1)) as i from (select regexp_extract_all(lower(text), '" + _WORD + "') as w from documents where text is not null) where len(w) > 1) "
+    "union all select w[i + 1] || '<' || w[i] from (select w, unnest(generate_series(1, len(w) - 1)) as i from (select regexp_extract_all(lower(text), '" + _WORD + "') as w from documents where text is not null) where len(w) > 1)) group by rel having count(*) >= 20"
 )
 def pair_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Word contexts in both directions for embeddings, from neighbouring words in place of parses."""
-    t = _english(spark, d).select(X.phrase_tokens(F.lower("text")).alias("w")).filter(F.size("w") > 1)
+    t = _texts(spark, d).select(X.phrase_tokens(F.lower("text")).alias("w")).filter(F.size("w") > 1)
     pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.array(F.concat(F.get("w", i), F.lit(">"), F.get("w", i + 1)), F.concat(F.get("w", i + 1), F.lit("<"), F.get("w", i))))
     return t.select(F.explode(F.flatten(pairs)).alias("rel")).groupBy("rel").agg(F.count("*").alias("n")).filter("n >= 20")
 
 
-@query("select tok, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''-]*')) as tok from documents where text is not null) group by tok having count(*) >= 10")
+@query("select tok, count(*) as n from (select unnest(regexp_extract_all(lower(text), '" + _WORD + "')) as tok from documents where text is not null) group by tok having count(*) >= 10")
 def token_norm_counts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").filter("text is not null").select(F.explode(X.phrase_tokens(F.lower("text"))).alias("tok"))
     return t.groupBy("tok").agg(F.count("*").alias("n")).filter("n >= 10")

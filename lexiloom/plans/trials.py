@@ -76,16 +76,9 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 _EDGES = "e as (select distinct cui1 as child, cui2 as parent from content_tag_compare_only_our where rel in ('PAR', 'RB') and cui1 is not null and cui2 is not null and cui1 <> cui2)"
 
 
-@query(f"with recursive {_EDGES}, r as (select distinct parent as root from e where parent < 'C72'), w(root, node, depth) as (select root, root, 0 from r union select w.root, e.child, w.depth + 1 from w join e on e.parent = w.node where w.depth < 5) select root, node, min(depth) as depth from w group by root, node")
+@query(f"with recursive {_EDGES}, r as (select distinct parent as root from e ), w(root, node, depth) as (select root, root, 0 from r union select w.root, e.child, w.depth + 1 from w join e on e.parent = w.node where w.depth < 5) select root, node, min(depth) as depth from w group by root, node")
 def concept_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Closure of the roots whose id sorts below C72 only, as its recursive SQL has it; ``concept_closure_all`` takes every parent."""
-    e = _edges(spark, d)
-    return G.descendants(e, G.parents(e).filter("root < 'C72'"))
-
-
-@query()
-def concept_closure_all(spark: SparkSession, d: str) -> DataFrame:
-    """Closure of every parent; too much for recursive SQL and tested against brute force."""
+    """Closure of every parent, five steps deep."""
     e = _edges(spark, d)
     return G.descendants(e, G.parents(e))
 
@@ -115,11 +108,22 @@ def wiki_doc_parse(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("doc_id"), "title", F.length(F.trim(F.regexp_replace("body", r"\s+", " "))).cast("bigint").alias("n"))
 
 
-@query("select id, coalesce(nullif(regexp_extract(tid, 'NCT[0-9]{8}', 0), ''), case when tid is null then 'None' else 'other' end) as trial from bioportal")
+_PAGE = "'<html><head><title>NCT00000000</title></head><style>a {b: c}</style><p>' || coalesce(text, '') || ' <b>' || coalesce(ids, '') || '</b></p><script>var x = 1;</script></html>'"
+
+
+@query(
+    f"with p as (select doc_id, {_PAGE} as html from (select doc_id, text, case doc_id % 3 when 0 then 'NCT' || lpad(cast(doc_id as varchar), 8, '0') when 1 then 'see clinicaltrials.gov' end as ids from documents)), "
+    "v as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style|head|title)\\b(.|\\n)*?</(script|style|head|title)>', ' ', 'gi'), '<[^<>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as t from p) "
+    "select doc_id, length(t) as n, case when regexp_matches(t, 'NCT[0-9]{8}') then regexp_extract(t, 'NCT[0-9]{8}', 0) when contains(lower(t), 'clinicaltrials.gov') then 'site' else 'None' end as trial from v"
+)
 def visible_text_trial_id(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "bioportal")
-    got = F.regexp_extract("tid", "NCT[0-9]{8}", 0)
-    return t.select("id", F.coalesce(F.when(got != "", got), F.when(F.col("tid").isNull(), "None").otherwise("other")).alias("trial"))
+    """Visible text of pages laid around the documents, and the trial they name: the first number, else a mention of the site."""
+    ids = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("NCT"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))).when(F.col("doc_id") % 3 == 1, "see clinicaltrials.gov")
+    head, tail = "<html><head><title>NCT00000000</title></head><style>a {b: c}</style><p>", "</b></p><script>var x = 1;</script></html>"
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit(head), F.coalesce("text", F.lit("")), F.lit(" <b>"), F.coalesce(ids, F.lit("")), F.lit(tail)).alias("html"))
+    v = t.select("doc_id", S.visible_text(F.col("html")).alias("t"))
+    got = F.regexp_extract("t", "NCT[0-9]{8}", 0)
+    return v.select("doc_id", F.length("t").cast("bigint").alias("n"), F.when(got != "", got).when(F.lower("t").contains("clinicaltrials.gov"), "site").otherwise("None").alias("trial"))
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

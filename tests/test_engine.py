@@ -102,7 +102,7 @@ def test_closure_of_every_parent(spark, tmp_path):
             at = {c for n in at for c in below.get(n, ())} - set(depth)
             depth |= dict.fromkeys(at, k)
         want |= {(root, n, k) for n, k in depth.items()}
-    got = [(r.root, r.node, r.depth) for r in QUERIES["concept_closure_all"](spark, str(tmp_path)).collect()]
+    got = [(r.root, r.node, r.depth) for r in QUERIES["concept_closure"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -112,7 +112,7 @@ def _english(spark, tmp_path, texts, lang="en"):
 
 def test_sequence_of_every_document(spark, tmp_path):
     _english(spark, tmp_path, ["red knee hurts", "cold tea", None], None)
-    got = [(r.doc_id, r.ordinal, r.gram) for r in QUERIES["ngram_sequence_all"](spark, str(tmp_path)).orderBy("doc_id", "ordinal").collect()]
+    got = [(r.doc_id, r.ordinal, r.gram) for r in QUERIES["ngram_sequence"](spark, str(tmp_path)).orderBy("doc_id", "ordinal").collect()]
     first = ["red", "red knee", "red knee hurts", "knee", "knee hurts", "hurts"]
     assert got == [(0, i + 1, g) for i, g in enumerate(first)] + [(1, 1, "cold"), (1, 2, "cold tea"), (1, 3, "tea")]
 
@@ -121,7 +121,7 @@ def test_vector_of_every_gram(spark, tmp_path):
     words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
     texts = [w for w in words for _ in range(12)] + ["rare worda" + chr(98)] + ["wordaa wordac"] * 2
     _english(spark, tmp_path, texts)
-    got = {(r.gram, r.word): r.n for r in QUERIES["bow_gram_vectors"](spark, str(tmp_path)).collect()}
+    got = {(r.gram, r.word): r.n for r in QUERIES["bow_cooccur_vector"](spark, str(tmp_path)).collect()}
     want = {("rare", "wordab"): 1, ("rare wordab", "wordab"): 1, ("wordaa", "wordac"): 2, ("wordac", "wordaa"): 2, ("wordaa wordac", "wordaa"): 2, ("wordaa wordac", "wordac"): 2}
     assert got == want
 
