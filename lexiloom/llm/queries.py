@@ -89,12 +89,6 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_lift(spark: SparkSession, d: str) -> DataFrame:
-    """Counts and lift of every pair of codes that is together in five instances or more."""
-    pairs = pair_lift(table(spark, d, "content_tag_ytex"), "instance_id", "code", min_together=5)
-    return pairs.select(F.col("a").alias("code_a"), F.col("b").alias("code_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
-
-
-def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Counts and lift of every pair of codes that is together at all."""
     pairs = pair_lift(table(spark, d, "content_tag_ytex"), "instance_id", "code")
     return pairs.select(F.col("a").alias("code_a"), F.col("b").alias("code_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
@@ -139,7 +133,7 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = [p2_found, p3_found, p3_clean, p3_boilerplate, p5_found, p5_rates, p5_limits, p6_found, p6_lift, p6_pairs, p7_rank, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_slots, p10_evidence]
+    names = [p2_found, p3_found, p3_clean, p3_boilerplate, p5_found, p5_rates, p5_limits, p6_found, p6_lift, p7_rank, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_slots, p10_evidence]
     return {f.__name__: f for f in names}
 
 
@@ -193,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_boilerplate": _RUNS,
         "p5_limits": _LIMITS,
         "p6_found": _PAIRS + "select code_a, code_b from pairs join per a on a.c = code_a join per b on b.c = code_b cross join total where n_ab >= 5 and 500 * n_ab >= n and n_ab * n >= 4 * a.n_item * b.n_item",
-        "p6_lift": _PAIRS + "select code_a, code_b, a.n_item as n_a, b.n_item as n_b, n_ab, round(cast(n_ab as double) * n / (cast(a.n_item as double) * b.n_item), 6) as lift from pairs join per a on a.c = code_a join per b on b.c = code_b cross join total where n_ab >= 5",
+        "p6_lift": _PAIRS + "select code_a, code_b, a.n_item as n_a, b.n_item as n_b, n_ab, round(cast(n_ab as double) * n / (cast(a.n_item as double) * b.n_item), 6) as lift from pairs join per a on a.c = code_a join per b on b.c = code_b cross join total",
         "p7_rank": f"with {flows}, w as (select k.ngram, {cols} from (select distinct ngram from k20all where ngram is not null) k {joins}), "
         f"x as (select *, (0.0 + {net}) / 4.0 as nf from w) select ngram, {rounded}, round(nf, 9) as net_flow, rank() over (order by nf desc) as place from x",
     }

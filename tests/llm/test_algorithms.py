@@ -36,7 +36,7 @@ def test_pairs_like_brute_force(spark, rows):
 def test_pairs_query_gives_rare_pairs(spark, tmp_path):
     rows = [(i, c) for i in range(6) for c in "ab"] + [(7, "a"), (7, "rare"), (8, "once"), (8, "rare")]
     spark.createDataFrame(rows, "instance_id long, code string").write.parquet(str(tmp_path / "content_tag_ytex.parquet"))
-    got = {(r.code_a, r.code_b): (r.n_a, r.n_b, r.n_ab) for r in queries.queries()["p6_pairs"](spark, str(tmp_path)).collect()}
+    got = {(r.code_a, r.code_b): (r.n_a, r.n_b, r.n_ab) for r in queries.queries()["p6_lift"](spark, str(tmp_path)).collect()}
     assert got == {p: v[:3] for p, v in brute_pairs(rows).items()} and len(got) == 3
 
 
