@@ -4,62 +4,85 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as X
 from ..operators import criteria as C
 from ..operators import graph as G
 from ..runtime import table
 from ..sources import files as S
 from ..streaming import windows as W
 from .registry import query
+from .terms import _NORM, _WORDS
 
+_P = "^[!-/:-@\\[-`{-~\\s]*"
+_HEAD = lambda k: "regexp_matches(upper(s), '" + "|".join(f"^{h}|\\b{h}\\b:|\\b{h}\\b.*:$" for h in C.HEADS[k]) + "')"
 _SENT = (
-    "sent as (select doc_id, cast(generate_subscripts(l, 1) - 1 as bigint) as sent, unnest(l) as s from (select doc_id, string_split_regex(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(10), 'g'), '\\n+') as l from documents where source = 'trial')), "
-    "rows as (select doc_id, sent, s, coalesce(last_value(case when regexp_matches(s, '(?i)^\\W*inclusion criteria\\b') then 'inclusion' when regexp_matches(s, '(?i)^\\W*exclusion criteria\\b') then 'exclusion' end ignore nulls) "
-    "over (partition by doc_id order by sent rows between unbounded preceding and current row), 'none') as section from sent where trim(s) <> '')"
+    "cutup as (select doc_id, unnest(l) as raw, generate_subscripts(l, 1) as i from (select doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(10), 'g'), '[\\n#]+'), lambda x: trim(x)), lambda x: length(x) > 2) as l from documents where source = 'trial' and text is not null)), "
+    f"sent as (select doc_id, cast(i - 1 as bigint) as sent, raw, regexp_replace(raw, '{_P}', '') as s from cutup), "
+    + "heads as (select *, " + ", ".join(f"{_HEAD(k)} as h_{k}" for k in C.HEADS) + ", regexp_matches(raw, '" + C.BULLET + "') as item from sent), "
+    + "walk(doc_id, sent, state, opened) as (select doc_id, cast(-1 as bigint), 'head', false from (select distinct doc_id from sent) union all "
+    + "select doc_id, sent, coalesce(opens, state), opens is not null from (select h.doc_id, h.sent, w.state, case when state <> 'inclusion' and h_inclusion then 'inclusion' when state <> 'exclusion' and h_exclusion then 'exclusion' when state in ('inclusion', 'exclusion') then null "
+    + "when state <> 'disease' and h_disease then 'disease' when state <> 'patient' and h_patient then 'patient' when state <> 'prior' and h_prior then 'prior' when state = 'head' and h_both then 'both' end as opens from walk w join heads h on h.doc_id = w.doc_id and h.sent = w.sent + 1)), "
+    + "rows as (select h.doc_id, h.sent, h.s, case " + " ".join(f"when opened and state = '{k}' then '{v}'" for k, v in C.HEAD_LABELS.items()) + " " + " ".join(f"when state = '{k}' then '{v}'" for k, v in C.LABELS.items()) + " end as label, "
+    + "case when item then coalesce(max(case when not item then h.sent end) over (partition by h.doc_id order by h.sent rows between unbounded preceding and 1 preceding), -1) else -1 end as sub from heads h join walk w on w.doc_id = h.doc_id and w.sent = h.sent)"
+)
+
+
+def _case(of: str, pairs: list[tuple[str, str]], otherwise: str) -> str:
+    return "case " + " ".join(f"when regexp_matches({of}, '{p}') then '{v}'" for v, p in pairs) + f" else {otherwise} end"
+
+
+_Q = [C.compile_quantity(*q) for q in C.QUANTITIES]
+_FLAT = "regexp_replace(regexp_replace(regexp_replace(lower(s), '[^\\p{L}\\p{N}<>=/ -]', ' ', 'g'), '([<>=/])', ' \\1 ', 'g'), ' +', ' ', 'g')"
+_SECONDS = (
+    "case unit when 'hour' then {n} * 3600 when 'day' then {n} * 86400 when 'week' then {n} * 604800 when 'month' then date_diff('day', date '2000-01-01', cast(date '2000-01-01' + to_months(cast({n} as int)) as date)) * 86400 "
+    "when 'year' then date_diff('day', date '2000-01-01', cast(date '2000-01-01' + to_months(cast({n} * 12 as int)) as date)) * 86400 end"
 )
-
-
-def _case(pairs: list[tuple[str, str]], otherwise: str) -> str:
-    return "case " + " ".join(f"when regexp_matches(s, '{p}') then {v}" for p, v in pairs) + f" else {otherwise} end"
-
-
-_Q = [(p.replace("(?:", "("), f"'{n}'") for n, p in C.QUANTITIES.items()]
-_AMOUNT = _case([(p.replace("(?:", "("), f"try_cast(regexp_extract(s, '{p}', 1) as int)") for _, p in C.PATTERNS], "null")
-_UNIT = _case([(p.replace("(?:", "("), f"regexp_replace(lower(regexp_extract(s, '{p}', 2)), 's$', '')") for _, p in C.PATTERNS], "null")
-_NAME = _case([(p.replace("(?:", "("), f"'{n}'") for n, p in C.PATTERNS], "null")
-_KEYWORDS = ["gallstones", "sleep apnea", "hearing loss", "liver", "consent"]
+_MONTHS = "case when {c} < 0 then -1 else cast(floor({c} / (30.58333 * 86400) + 0.5) as bigint) end"
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     return C.criteria_rows(table(spark, d, "documents").filter("source = 'trial'"), "doc_id", "text")
 
 
-@query(f"with {_SENT} select section, count(*) as n, count(distinct doc_id) as docs from rows group by section")
+@query(f"with recursive {_SENT} select doc_id, sent, label, sub from rows")
 def criteria_sections(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, d).groupBy("section").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    """Sentences of the trials with one of ten labels, and the sub-title of list items."""
+    return _rows(spark, d).select("doc_id", "sent", "label", "sub")
 
 
-@query(f"with {_SENT} select doc_id, sent, {_case(_Q, chr(39) + 'none' + chr(39))} as quantity from rows")
+@query(f"with recursive {_SENT} select doc_id, sent, {_case('lower(s)', _Q, chr(39) + 'None' + chr(39))} as quantity from rows")
 def quantity_detect(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, d).select("doc_id", F.col("sent").cast("bigint").alias("sent"), C.first_quantity(F.col("s")).alias("quantity"))
+    return _rows(spark, d).select("doc_id", "sent", C.first_quantity(F.col("s")).alias("quantity"))
 
 
-@query(f"with {_SENT} select q, count(*) as n from (select concat_ws('|', " + ", ".join(f"case when regexp_matches(s, '{p}') then {v} end" for p, v in _Q) + ") as q from rows) group by q")
+@query(f"with recursive {_SENT} select q, count(*) as n from (select concat_ws('|', " + ", ".join(f"case when regexp_matches(lower(s), '{p}') then '{v}' end" for v, p in _Q) + ") as q from rows) group by q")
 def quantity_labels(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select(C.all_quantities(F.col("s")).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_SENT}, k as (select unnest([{', '.join(repr(k) for k in _KEYWORDS)}]) as keyword) select doc_id, sent, keyword from rows cross join k where regexp_matches(lower(s), '\\b' || keyword || '\\b')")
+@query(
+    f"with recursive {_SENT}, k0 as (select min(semname) as root, cui, {_NORM('target')} as keyword from content_tag where cui is not null group by all union select 'term', cui, {_NORM('org_str')} from bioportal where cui is not null), k as (select distinct root, cui, keyword from k0 where keyword <> ''), "
+    f"w as (select doc_id, sent, {_WORDS('s')} as w from rows), p as (select doc_id, sent, w, unnest(generate_series(1, len(w))) as i from w where len(w) > 0), g as (select doc_id, sent, w, i, unnest([1, 2, 3, 4, 5]) as n from p), "
+    "h as (select distinct doc_id, sent, root, cui, keyword from (select doc_id, sent, array_to_string(w[i : i + n - 1], ' ') as gram from g where i + n - 1 <= len(w)) join k on k.keyword = gram) select r.doc_id, r.sent, root, cui, keyword from rows r left join h on h.doc_id = r.doc_id and h.sent = r.sent"
+)
 def keyword_detect(spark: SparkSession, d: str) -> DataFrame:
-    return C.keyword_hits(_rows(spark, d), _KEYWORDS).select("doc_id", F.col("sent").cast("bigint").alias("sent"), "keyword")
+    """Keywords of the concept tables in the trials, a row per hit, one without keyword where there is none."""
+    t = table(spark, d, "content_tag").filter("cui is not null").groupBy("cui", F.col("target").alias("keyword")).agg(F.min("semname").alias("root"))
+    t = t.groupBy("cui", X.normalize(F.col("keyword")).alias("keyword")).agg(F.min("root").alias("root")).select("root", "cui", "keyword")
+    b = table(spark, d, "bioportal").filter("cui is not null").select(F.lit("term").alias("root"), "cui", F.col("org_str").alias("keyword"))
+    return C.keyword_hits(_rows(spark, d), t.unionByName(b))
 
 
 @query(
-    f"with {_SENT}, p as (select doc_id, sent, section, {_NAME} as pattern, {_AMOUNT} as amount, {_UNIT} as unit, regexp_matches(s, '{C.NEGATIONS}') as negated from rows), "
-    "x as (select *, cast(amount * case unit when 'hour' then 3600 when 'day' then 86400 when 'week' then 604800 when 'month' then 2678400 when 'year' then 31622400 end as bigint) as sec from p where pattern is not null) "
-    "select doc_id, sent, section, pattern, amount, unit, negated, case when regexp_matches(pattern, '_(MT|AF)$') then sec else -1 end as low_s, case when regexp_matches(pattern, '_(MT|AF)$') then -1 else sec end as high_s from x"
+    f"with recursive {_SENT}, f as (select doc_id, sent, label, s, {_FLAT} as flat from rows), e as (select *, trim(regexp_replace(regexp_replace(flat, '{C.DURATION}', ' dur# ', 'g'), ' +', ' ', 'g')) || ' ' as e from f), "
+    f"m as (select *, {_case('e', C.compile_rules(), 'null')} as pattern, try_cast(regexp_extract(flat, '{C.DURATION}', 1) as bigint) as n1, try_cast(nullif(regexp_extract(flat, '{C.DURATION}', 2), '') as bigint) as n2, regexp_extract(flat, '{C.DURATION}', 3) as unit from e where contains(e, 'dur#')), "
+    f"x as (select *, {_SECONDS.format(n='n1')} as a, case when n2 is not null then {_SECONDS.format(n='n2')} end as b, regexp_matches(pattern, '_(MT|AF)') as lower_ from m where pattern is not null), "
+    "y as (select *, cast(case when b is not null or lower_ then a else -1 end as bigint) as low_s, cast(case when b is not null then b when lower_ then -1 else a end as bigint) as high_s from x) "
+    f"select doc_id, sent, label, pattern, low_s, high_s, {_MONTHS.format(c='low_s')} as low_m, {_MONTHS.format(c='high_s')} as high_m, len(regexp_extract_all(e, '{C.NEGATIONS}')) as neg, len(regexp_extract_all(split_part(e, 'dur#', 1), '{C.NEGATIONS}')) as neg_ahead from y"
 )
 def pattern_match(spark: SparkSession, d: str) -> DataFrame:
-    return C.match_patterns(_rows(spark, d)).withColumn("sent", F.col("sent").cast("bigint"))
+    """The first rule of the duration grammar that each sentence of the trials meets, with its bounds."""
+    return C.match_patterns(_rows(spark, d))
 
 
 @query()

@@ -62,11 +62,30 @@ def read_keywords(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    root = F.when(F.col("line").startswith("#"), F.trim(F.substring("line", 2, 10_000)))
+    root = F.when(F.col("line").startswith("#"), F.trim(F.expr("substring(line, 2)")))
     w = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return t.withColumn("root", F.last(root, ignorenulls=True).over(w)).filter("trim(line) <> '' and not startswith(line, '#')").select("root", F.trim("line").alias("keyword"))
 
 
+def read_keyword_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(root, depth, cui, keyword)`` of a keyword file whose rows are depth, concept and keyword."""
+    parts = F.split("keyword", ",", 3)
+    return read_keywords(spark, path).select("root", F.trim(parts[0]).try_cast("int").alias("depth"), F.trim(F.get(parts, F.lit(1))).alias("cui"), F.trim(F.get(parts, F.lit(2))).alias("keyword")).filter("keyword <> ''")
+
+
+def read_quantities(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """``(name, pattern)`` rows of a quantity file in their order; rows without a pattern are left out. A file of bounded size."""
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    t = t.select("at", F.from_csv("line", "name string, pattern string").alias("r")).select("at", "r.*").filter("trim(pattern) <> ''")
+    return [(r.name, r.pattern) for r in t.orderBy("at").collect()]
+
+
+def read_preferences(spark: SparkSession, path: str) -> DataFrame:
+    """``(a, b, preferred)`` of a tab-separated rule file with a header: two types, their names, a count, and the type that is preferred."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "name_a", "b", "name_b", "cnt", "preferred")])
+    return read_separated(spark, path, schema, "\t", header=True).filter("a is not null and b is not null and preferred in (a, b)").select("a", "b", "preferred").distinct()
+
+
 def read_words(spark: SparkSession, path: str) -> list[str]:
     """A word list without ``#`` comments and blanks, longest first; a file of bounded size."""
     t = spark.read.text(path).filter("trim(value) <> '' and not startswith(value, '#')")

@@ -28,10 +28,56 @@ def test_criterion_splitting():
     assert C.split_criterion(None) == [] and C.split_criterion("") == []
 
 
-def test_sections_carry_on(spark):
-    t = spark.createDataFrame([(1, "Intro.\nInclusion Criteria: age over 5.\nGood.\nExclusion Criteria: no."), (2, None), (3, "")], "doc_id int, text string")
-    got = [(r.doc_id, r.sent, r.section) for r in C.criteria_rows(t, "doc_id", "text").orderBy("doc_id", "sent").collect()]
-    assert [g[2] for g in got] == ["none", "inclusion", "inclusion", "exclusion"]
+def test_sections_and_their_guards(spark):
+    texts = [
+        "Intro here.\nInclusion Criteria: age over 5.\nGood one.\nExclusion Criteria: no.\nInclusion Criteria:", "Inclusion and exclusion criteria:\nAdults only.\nDisease characteristics: x\nnever both", None, "", "ok",
+        "Non-inclusion criteria:\nBad one", "Inclusion criteria\nDISEASE CHARACTERISTICS: none\nInclusion criteria again", "Disease characteristics:\n- sore knee\n* weak hip\nPatient characteristics:\n1 adult\nPrior concurrent therapy:",
+        "Both lists: the inclusion and exclusion criteria are long",
+    ]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in C.criteria_rows(t, "doc_id", "text").orderBy("doc_id", "sent").collect():
+        got.setdefault(r.doc_id, []).append((r.label, r["sub"]))
+    assert [x[0] for x in got[0]] == ["Head", "Inclusion head", "Inclusion", "Exclusion head", "Inclusion head"]
+    # with a colon the exclusion test comes first, and the later heads are not heard
+    assert [x[0] for x in got[1]] == ["Exclusion head", "Exclusion", "Exclusion", "Exclusion"]
+    assert [x[0] for x in got[5]] == ["Inclusion head", "Inclusion"]  # caught by the inclusion test
+    assert [x[0] for x in got[6]] == ["Inclusion head", "Inclusion", "Inclusion"]
+    assert got[7] == [("DISEASE CHARACTERISTICS", -1), ("DISEASE CHARACTERISTICS", 0), ("DISEASE CHARACTERISTICS", 0), ("PATIENT CHARACTERISTICS", -1), ("PATIENT CHARACTERISTICS", 3), ("PRIOR CONCURRENT THERAPY", -1)]
+    assert got[8] == [("Head", -1)] and set(got) == {0, 1, 5, 6, 7, 8}
+
+
+GRAMMAR = {
+    "Stroke within 6 months": ("WITHIN", -1, 182 * 86400), "Any cancer for more than 2 weeks": ("WITHIN", -1, 14 * 86400), "Surgery greater than 3 days ago": ("MORETHAN_MT", 3 * 86400, -1), "History of stroke within 6 months": ("HISTORY_WITHIN", -1, 182 * 86400),
+    "History of gout greater than 1 year": ("HISTORY_MT", 366 * 86400, -1), "History of gout within 2 weeks except for toe": ("HISTORY_WITHIN_EF", -1, 14 * 86400), "History of gout within 3-4 weeks prior to entry": ("HISTORY_WITHIN_PT", 21 * 86400, 28 * 86400),
+    "Histologically confirmed tumor within 5 days": ("CONFIRMED_WITHIN", -1, 5 * 86400), "At least 4 weeks since prior radiotherapy": ("ATLEAST_PT", -1, 28 * 86400), "Positive test within 5 hours": ("POSITIVE_WITHIN", -1, 5 * 3600),
+    "Prior statin for more than 5 days": ("PRIOR_MT", 5 * 86400, -1), "Concurrent statin for 5 days": ("CONCURRENT_EF", -1, 5 * 86400), "Negative test > = 2 days": ("MORETHAN_MT", 2 * 86400, -1), "Gout 2 weeks before entry": ("PRIOR_TO", -1, 14 * 86400),
+    "Rest required for period 2 weeks prior to entry": ("REQUIRED_FOR_PERIOD", -1, 14 * 86400), "Prior statin for 5 days except for aspirin": ("PRIOR_FEF", -1, 5 * 86400), "Prior statin for 5 days including aspirin": ("PRIOR_FI", -1, 5 * 86400), "Two years old": None, "": None,
+}
+
+
+def test_grammar(spark):
+    names = [n for n, _ in C.compile_rules()]
+    assert len(names) == 34 and len(set(names)) == 29
+    rows = spark.createDataFrame([(1, i, t, "x") for i, t in enumerate(GRAMMAR)] + [(1, 900, "x " * 5000 + "within 3 days", "x"), (1, 901, "No sign and never a stroke within 3 days without help", "x")], "doc_id int, sent long, s string, label string")
+    got = {r.sent: r for r in C.match_patterns(rows).collect()}
+    for i, (t, want) in enumerate(GRAMMAR.items()):
+        assert (None if i not in got else (got[i].pattern, got[i].low_s, got[i].high_s)) == want, t
+    assert got[900].pattern == "WITHIN" and (got[901].neg, got[901].neg_ahead) == (3, 2)
+
+
+def test_quantity_and_keyword_files(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("age,years old\n(op) cmp,<=? ?xxx\ndose,xxx mg\nshort\n")
+    q = S.read_quantities(spark, str(tmp_path / "q.csv"))
+    assert q == [("age", "years old"), ("(op) cmp", "<=? ?xxx"), ("dose", "xxx mg")]
+    rows = spark.createDataFrame([("a 5mg dose",), ("<= 7 and 20.5 MG",), ("plain",), (None,)], "s string")
+    got = [tuple(r) for r in rows.select(C.first_quantity(F.col("s"), q), C.all_quantities(F.col("s"), q)).collect()]
+    assert got == [("None", ""), ("(op) cmp", "(op) cmp|dose"), ("None", ""), ("None", "")]
+    (tmp_path / "k.csv").write_text("# heart\n1,C1,Heart Failure\n2,C2,attack\n# skin\n1,C3,rash\n")
+    k = S.read_keyword_rows(spark, str(tmp_path / "k.csv"))
+    assert [tuple(r) for r in k.orderBy("cui").collect()] == [("heart", 1, "C1", "Heart Failure"), ("heart", 2, "C2", "attack"), ("skin", 1, "C3", "rash")]
+    s = spark.createDataFrame([(1, 0, "Known heart failure, or a rash."), (1, 1, "Nothing")], "doc_id int, sent int, s string")
+    assert sorted((r.sent, r.cui or "-") for r in C.keyword_hits(s, k).collect()) == [(0, "C1"), (0, "C3"), (1, "-")]
 
 
 def test_nesting_and_c_value(spark):
