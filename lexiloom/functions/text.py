@@ -194,3 +194,28 @@ def f_beta(precision: Column, recall: Column, beta: float = 0.5) -> Column:
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+
+
+def newlines(text: Column, policy: str) -> Column:
+    """Line ends as ``space``, as ``period``, or as they are (``none``)."""
+    return {"space": F.replace(text, F.lit("\n"), F.lit(" ")), "period": F.replace(text, F.lit("\n"), F.lit(". ")), "none": text}[policy]
+
+
+def spans_overlap(b: str, e: str, other_b: str, other_e: str) -> Column:
+    """Whether two spans, ends included, share a place."""
+    return (F.col(b) <= F.col(other_e)) & (F.col(other_b) <= F.col(e))
+
+
+def span_holds(b: str, e: str, other_b: str, other_e: str) -> Column:
+    """Whether the first span holds the second."""
+    return (F.col(b) <= F.col(other_b)) & (F.col(other_e) <= F.col(e))
+
+
+def merge_spans(b: str, e: str, other_b: str, other_e: str) -> tuple[Column, Column]:
+    """The least span that holds both."""
+    return F.least(b, other_b), F.greatest(e, other_e)
+
+
+def skip_count(b: Column, e: Column, words: Column) -> Column:
+    """Places of a span beyond the words that it is made of."""
+    return e - b + 1 - words

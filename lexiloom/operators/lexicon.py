@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from ..runtime import cut, meet
 from .ngrams import ngram_occurrences
 
 CONSUMER = "LAY"  # part of the names of sources in consumer language
@@ -71,3 +72,16 @@ def annotate(docs: DataFrame, doc_id: str, text: str, lexicon: DataFrame, longes
     """``(doc_id, start, n, gram, cui)`` of every gram of a text that a dictionary string normalises to."""
     grams = ngram_occurrences(docs, doc_id, text, longest)
     return grams.join(lexicon.select(F.col("norm").alias("gram"), "cui").distinct(), "gram").select("doc_id", "seg", "start", "n", "gram", "cui")
+
+
+def annotate_scored(docs: DataFrame, doc_id: str, text: str, lexicon: DataFrame, least: float, longest: int = 5) -> DataFrame:
+    """``(doc_id, hit, gram, score, codes)`` of every gram of a text whose best match by any of the four
+    keys scores more than ``least``; ``codes`` are the concepts beyond it, ``hit`` numbers the hits of a text.
+
+    Each distinct gram is looked up once.
+    """
+    grams = cut(ngram_occurrences(docs, doc_id, text, longest))
+    found = lookup(grams.select("gram").distinct(), lexicon, "gram").filter(F.col("score") > least)
+    good = cut(found.groupBy(F.col("phrase").alias("gram")).agg(F.max(F.round("score", 4)).alias("score"), F.array_join(F.array_sort(F.collect_set("cui")), ":").alias("codes")))
+    w = Window.partitionBy("doc_id").orderBy("seg", "start", "n")  # hits of one text
+    return meet(grams, good, ["gram"]).select("doc_id", F.row_number().over(w).cast("bigint").alias("hit"), "gram", "score", "codes")

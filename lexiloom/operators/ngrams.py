@@ -36,6 +36,14 @@ def ngram_frequencies(docs: DataFrame, doc_id: str, text: str, longest: int = 3)
     return per_doc.groupBy("gram", "n").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
 
 
+def first_seen(occurrences: DataFrame) -> DataFrame:
+    """``(gram, tf, df, doc_id, seg, start, tags)``: counts of a gram, its first place by document, stretch and start, its tags."""
+    per = occurrences.groupBy("gram", "doc_id").agg(F.count("*").alias("c"), F.min(F.struct("seg", "start")).alias("at"))
+    f = per.groupBy("gram").agg(F.sum("c").alias("tf"), F.count("*").alias("df"), F.min(F.struct("doc_id", "at")).alias("f"))
+    tags = F.array_join(F.transform(F.split("gram", " "), X.pos_tag), "")
+    return f.select("gram", "tf", "df", "f.doc_id", "f.at.seg", "f.at.start", tags.alias("tags"))
+
+
 def tf_df(freq: DataFrame, documents: int, less_log: bool = False) -> DataFrame:
     """``freq`` with ``tfdf``, which rewards grams of many documents."""
     r = F.col("tf") / F.sqrt(F.lit(float(max(1, documents))))

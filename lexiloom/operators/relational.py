@@ -58,6 +58,15 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def where_given(df: DataFrame, given: dict[str, str | None]) -> DataFrame:
+    """``LIKE`` on the columns a pattern is given for; None leaves the column alone. As in SQL, a null
+    value is like nothing, not even ``%%``."""
+    for column, pattern in given.items():
+        if pattern is not None:
+            df = df.filter(F.col(column).like(pattern))
+    return df
+
+
 def ordered_concat(value: Column, separator: str = ",", missing: str = "null") -> Column:
     """``GROUP_CONCAT(DISTINCT ..)`` in ascending order, nulls written as ``missing``."""
     return F.array_join(F.array_sort(F.collect_set(F.coalesce(value.cast("string"), F.lit(missing)))), separator)

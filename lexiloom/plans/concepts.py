@@ -112,15 +112,6 @@ def external_filter(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("cui", "target", F.round("score", 4).alias("score")).distinct()
 
 
-@query("select id, blogid, tui, (case when exists (select 1 from content_tag b where b.blogid = a.blogid and b.target = a.target and b.tui < a.tui) then 1 else 0 end) as masked from content_tag a where tui is not null")
-def type_preference_mask(spark: SparkSession, d: str) -> DataFrame:
-    """A finding is masked where the same string of the same post also has a preferred (lesser) type."""
-    t = table(spark, d, "content_tag").filter("tui is not null")
-    least = t.groupBy("blogid", "target").agg(F.min("tui").alias("least"))
-    j = t.select("id", "blogid", "target", "tui").join(least.withColumnRenamed("blogid", "b").withColumnRenamed("target", "g"), (F.col("blogid") == F.col("b")) & (F.col("target") == F.col("g")), "left")
-    return j.select("id", "blogid", "tui", F.when(F.col("least") < F.col("tui"), 1).otherwise(0).alias("masked"))
-
-
 @query("select id, blogid, row_number() over (partition by blogid order by id) as ordinal, string_agg(target, ' > ') over (partition by blogid order by id rows between 2 preceding and current row) as trail from (select id, blogid, target from content_tag where target is not null)")
 def tag_ordinals(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "content_tag").filter("target is not null").select("id", "blogid", "target").withColumn("one", F.lit(1))
