@@ -219,7 +219,7 @@ def string_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("select o.o_orderpriority, year(l.l_shipdate) as y, cast(sum(case when l.l_returnflag = 'R' then 1 else 0 end) as bigint) as r, cast(sum(case when l.l_returnflag = 'A' then 1 else 0 end) as bigint) as a, cast(sum(case when l.l_returnflag = 'N' then 1 else 0 end) as bigint) as n from lineitem l join orders o on o.o_orderkey = l.l_orderkey group by 1, 2")
-def duration_pivot(spark: SparkSession, d: str) -> DataFrame:
+def flag_pivot(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.year("l_shipdate").cast("bigint").alias("y"))  # noqa: E741
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     p = l.join(o, "l_orderkey").groupBy("o_orderpriority", "y").pivot("l_returnflag", ["R", "A", "N"]).agg(F.count(F.lit(1)))

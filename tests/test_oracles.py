@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexiloom.plans import concepts, extras, learning, mining, problems, relational, terms, trials  # noqa: F401
+from lexiloom.plans import concepts, extras, learning, mining, problems, relational, terms, trials, views  # noqa: F401
 from lexiloom.plans.registry import QUERIES, SQL
 
 from .conftest import DATA, same
