@@ -83,6 +83,11 @@ def page_after(df: DataFrame, key: str, after: object, size: int) -> DataFrame:
     return df.filter(F.col(key) > after).orderBy(key).limit(size)
 
 
+def md5_share(key: Column, seed: str = "") -> Column:
+    """A number from 0 to 99 that only the key and the seed decide, the same in any engine."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 8), 16, 10).cast("bigint"), F.lit(100))
+
+
 def hash_split(key: Column, percent: int) -> Column:
     """Reproducible test share: about ``percent`` of keys, the same at every run and size."""
     return F.pmod(F.xxhash64(key), F.lit(100)) < percent

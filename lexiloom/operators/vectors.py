@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
-from ..runtime import cores
+from ..runtime import cores, cut, small_enough
 
 
 def dimension_stats(df: DataFrame, vector: str) -> DataFrame:
@@ -54,9 +54,54 @@ def revise_clusters(assigned: DataFrame, least_percent: float, least: int) -> Da
     return sizes.select("centre", "size", ((k * F.col("size") * 100 / F.lit(n or 1) >= least_percent) & (F.col("size") >= least)).alias("kept"))
 
 
+CLUSTERS = 2000  # a model has no more clusters, whose means go into the plan
 QUERY_BLOCK, ROW_BLOCK = 4096, 65_536  # vectors of a block pair, which one task holds
 
 
+def sample_cost(assigned: DataFrame, sampled: Column) -> DataFrame:
+    """``(cost)``: the mean squared distance to the own centre over the rows that ``sampled`` picks."""
+    return assigned.filter(sampled).agg(F.avg("cost").alias("cost"))
+
+
+def rejoin_centres(df: DataFrame, key: str, vector: str, centres: list[tuple[int, list[float]]], kept: set[int], factor: float) -> list[int]:
+    """Centres of the revised model: the kept ones, and dropped ones that lie further from the nearest
+    kept one than ``factor`` times the average cost under the kept ones. All or none kept changes nothing."""
+    stay = [c for c in centres if c[0] in kept]
+    if not stay or len(stay) == len(centres):
+        return sorted(c for c, _ in centres)
+    mean = nearest_centres(df, key, vector, stay).agg(F.avg("cost")).first()[0] or 0.0
+    far = lambda v: min(sum((a - b) ** 2 for a, b in zip(v, w, strict=True)) for _, w in stay)
+    return sorted([c for c, _ in stay] + [c for c, v in centres if c not in kept and far(v) > mean * factor])
+
+
+def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """``(key, label, a, b, s)``: exact silhouette with squared distances.
+
+    The mean squared distance to a cluster follows from its size, its sum and the sum of its squared
+    norms, so no pair of rows is formed; the own row is left out of the own cluster. A row alone in
+    its cluster has 0, rows with a null vector or label are left out.
+    """
+    d = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and label is not null")
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    sums = d.select("label", F.posexplode("v").alias("dim", "x")).groupBy("label", "dim").agg(F.sum("x").alias("m"))
+    sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda z: z["m"]).alias("m"))  # dimensions of one cluster
+    sizes = d.groupBy("label").agg(F.count("*").alias("n"), F.sum(norm).alias("q"))
+    stats = cut(sums.join(sizes, "label"))
+    clusters = [(r.label, list(r.m), r.n, r.q) for r in stats.collect()] if small_enough(stats, CLUSTERS) else None
+    if clusters is None:
+        raise ValueError(f"more than {CLUSTERS} clusters")
+    dot = lambda m: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in m]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    total = lambda m, n, q: F.lit(float(n)) * F.col("norm") - 2 * dot(m) + F.lit(float(q))
+    d = d.withColumn("norm", norm)
+    costs = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(n).alias("n"), total(m, n, q).alias("t")) for c, m, n, q in clusters]) if clusters else F.array()
+    d = d.select("key", "label", costs.alias("c"))
+    own = F.filter("c", lambda x: x["label"] == F.col("label"))[0]
+    other = F.array_min(F.transform(F.filter("c", lambda x: x["label"] != F.col("label")), lambda x: x["t"] / x["n"]))
+    d = d.select("key", "label", F.when(own["n"] > 1, own["t"] / (own["n"] - 1)).alias("a"), other.alias("b"))
+    top = F.greatest("a", "b")
+    return d.withColumn("s", F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top))
+
+
 def knn(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
     """``(query, key, cost, place)``: the ``k`` nearest rows of each query but itself; ties by key.
 

@@ -90,15 +90,26 @@ def duration_repair(spark: SparkSession, d: str) -> DataFrame:
     return t.select("postid", "userid", F.coalesce("num", "num_1", "num_2").alias("amount"))
 
 
-@query("select ngram, max(n) as n, round(max(ln(1 + tf)), 5) as log_tf, round(max(coalesce(nest_tf, 0) / tf), 5) as nested, round(max(coalesce(win_umls, 0) / tf), 5) as near_umls, max(case when nn = 'T' then 1 else 0 end) as is_nn from (select distinct * from k20all) where ngram is not null and tf > 0 group by ngram")
+# The features of a term with their weights; counters are per occurrence.
+FEATURES = {
+    "n": ("n", 1.0), "log_tf": ("ln(1 + tf)", 1.0), "log_df": ("ln(1 + df)", 1.0), "tfdf": ("cast(tfdf as double)", 0.5), "nest": ("coalesce(nest, 0)", 1.0), "nested": ("coalesce(nest_tf, 0) / cast(tf as double)", 1.0),
+    "umls": ("coalesce(umls_score, 0) / 100.0", 1.0), "chv": ("coalesce(chv_score, 0) / 10.0", 1.0), "contain_umls": ("case when contain_umls = 'true' then 1 else 0 end", 1.0), "contain_chv": ("case when contain_chv = 'true' then 1 else 0 end", 1.0),
+    "win_umls": ("coalesce(win_umls, 0) / cast(tf as double)", 2.0), "win_chv": ("coalesce(win_chv, 0) / cast(tf as double)", 2.0), "sent_umls": ("coalesce(sent_umls, 0) / cast(tf as double)", 1.0), "sent_chv": ("coalesce(sent_chv, 0) / cast(tf as double)", 1.0),
+    "umls_dist": ("coalesce(umls_dist, 0) / cast(tf as double)", 1.0), "chv_dist": ("coalesce(chv_dist, 0) / cast(tf as double)", 1.0), "nn": ("case when nn = 'true' then 1 else 0 end", 1.0), "an": ("case when an = 'true' then 1 else 0 end", 1.0),
+    "pn": ("case when pn = 'true' then 1 else 0 end", 1.0), "anpn": ("case when anpn = 'true' then 1 else 0 end", 1.0), "tag_n": ("length(sytax) - length(replace(sytax, 'N', ''))", 0.5), "tag_a": ("length(sytax) - length(replace(sytax, 'A', ''))", 0.5),
+    "tag_p": ("length(sytax) - length(replace(sytax, 'P', ''))", 0.5), "prefix": ("case when starts(lower(ngram), 'h') or starts(lower(ngram), 'an') then 1 else 0 end", 1.0), "suffix": ("case when ends(lower(ngram), 's') or ends(lower(ngram), 'ia') then 1 else 0 end", 1.0),
+}
+
+
+def _features(starts: str, ends: str) -> list[str]:
+    return [f"round(max(({e.replace('starts(', starts + '(').replace('ends(', ends + '(')}) * {w}), 5) as {k}" for k, (e, w) in FEATURES.items()]
+
+
+@query(f"select ngram, {', '.join(_features('starts_with', 'ends_with'))} from (select distinct * from k20all) where ngram is not null and tf > 0 and sytax is not null group by ngram")
 def feature_vector(spark: SparkSession, d: str) -> DataFrame:
-    """Numeric features of a term; context counters are per occurrence."""
-    t = table(spark, d, "k20all").filter("ngram is not null and tf > 0")
-    per = lambda c: F.round(F.max(F.coalesce(c, F.lit(0)).cast("double") / F.col("tf")), 5)
-    return t.groupBy("ngram").agg(
-        F.max("n").alias("n"), F.round(F.max(F.log1p(F.col("tf"))), 5).alias("log_tf"), per("nest_tf").alias("nested"), per(F.col("win_umls").try_cast("double")).alias("near_umls"),
-        F.max(F.when(F.col("nn") == "T", 1).otherwise(0)).alias("is_nn"),
-    )
+    """The 25 weighted features of a term."""
+    t = table(spark, d, "k20all").filter("ngram is not null and tf > 0 and sytax is not null")
+    return t.groupBy("ngram").agg(*map(F.expr, _features("startswith", "endswith")))
 
 
 @query("select distinct c.cui, o.cui2 as related, o.rel from content_tag c join content_tag_compare_only_our o on o.cui1 = c.cui where o.rel in ('SY', 'SIB') and o.cui2 is not null and o.cui2 <> c.cui")
@@ -141,11 +152,11 @@ def answers_by_zone(spark: SparkSession, d: str) -> DataFrame:
     return y.join(z, "category").groupBy("zone").agg(F.count("*").alias("n"), F.count_distinct("userid").alias("askers"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
-@query()
+@query("select ngram from (select distinct ngram from k20all where ngram is not null) order by md5('7' || ngram), ngram limit 400")
 def sampled_terms(spark: SparkSession, d: str) -> DataFrame:
-    """A reproducible tenth of the terms, in order of their text."""
+    """A seeded sample of 400 terms, the same at every run."""
     t = table(spark, d, "k20all").filter("ngram is not null").select("ngram").distinct()
-    return t.filter(R.hash_split(F.col("ngram"), 10)).orderBy("ngram")
+    return t.orderBy(F.md5(F.concat(F.lit("7"), "ngram")), "ngram").limit(400)
 
 
 @query("select ngram, tf, case when n > 1 and tf >= 2 * 0.5 or tf >= 2 then true else false end as kept from (select ngram, max(n) as n, max(tf) as tf from k20all where ngram is not null and tf is not null group by ngram)")

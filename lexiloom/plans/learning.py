@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import relational as R
 from ..operators import vectors as V
-from ..runtime import table
+from ..runtime import cut, small_enough, table
 from .registry import query
 
 _DIM = "d as (select vec_id, unnest(embedding) as x0, generate_subscripts(embedding, 1) - 1 as dim from embeddings), dd as (select vec_id, dim, cast(x0 as double) as x from d)"
@@ -37,9 +37,11 @@ _COST = "list_sum(list_transform(list_zip(e.embedding, v), lambda p: (cast(p[1]
 
 
 def _centres(spark: SparkSession, d: str) -> list[tuple[int, list[float]]]:
-    """The first vector of each label: as many rows as labels."""
+    """The first vector of each label: as many rows as labels, of which there may be ``V.CLUSTERS``."""
     e = _emb(spark, d)
     first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    if not small_enough(first, V.CLUSTERS):
+        raise ValueError(f"more than {V.CLUSTERS} labels")
     return [(r.label, list(r.embedding)) for r in e.join(first.select("vec_id"), "vec_id").select("label", "embedding").collect()]
 
 
@@ -88,11 +90,86 @@ def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "k20all").filter("tf is not null").groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("tf"), 6).alias("mean"), F.round(F.stddev_pop("tf"), 6).alias("sd"), F.max("df").alias("top_df"))
 
 
-@query()
+_SHARE = "cast('0x' || substr(md5({k}), 1, 8) as bigint) % 100"
+
+
+@query(f"select ngram, case when {_SHARE.format(k='ngram')} < 30 then 'test' else 'train' end as part from (select distinct ngram from k20all where ngram is not null)")
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
     """Reproducible split of the terms by a hash of their text."""
     t = table(spark, d, "k20all").filter("ngram is not null").select("ngram").distinct()
-    return t.select("ngram", F.when(R.hash_split(F.col("ngram"), 30), "test").otherwise("train").alias("part"))
+    return t.select("ngram", F.when(R.md5_share(F.col("ngram")) < 30, "test").otherwise("train").alias("part"))
+
+
+@query(" union all ".join(f"select {r} as run, count(*) as n, count(*) filter (where {_SHARE.format(k=chr(39) + str(r) + chr(39) + ' || ngram')} < 30) as test, round(avg(tf) filter (where {_SHARE.format(k=chr(39) + str(r) + chr(39) + ' || ngram')} < 30), 5) as mean_tf from (select ngram, max(tf) as tf from k20all where ngram is not null group by ngram)" for r in range(5)))
+def repeated_splits(spark: SparkSession, d: str) -> DataFrame:
+    """An experiment repeated over seeds: size and mean frequency of each test part, from one pass."""
+    t = table(spark, d, "k20all").filter("ngram is not null").groupBy("ngram").agg(F.max("tf").alias("tf"))
+    runs = t.select("ngram", "tf", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), (R.md5_share(F.col("ngram"), str(r)) < 30).alias("test")) for r in range(5)])).alias("x")).select("tf", "x.*")
+    return runs.groupBy("run").agg(F.count("*").alias("n"), F.count_if("test").alias("test"), F.round(F.avg(F.when(F.col("test"), F.col("tf"))), 5).alias("mean_tf"))
+
+
+@query(
+    f"with p as (select a.vec_id, a.label, b.label as other, count(*) as n, sum({_COST.replace('e.embedding', 'a.embedding').replace('list_zip(a.embedding, v)', 'list_zip(a.embedding, b.embedding)')}) as t from embeddings a join embeddings b on a.vec_id <> b.vec_id group by 1, 2, 3), "
+    "s as (select vec_id, label, max(t / n) filter (where other = label) as a, min(t / n) filter (where other <> label) as b from p group by 1, 2) select vec_id, label, round(a, 4) as a, round(b, 4) as b, round(case when a is null or b is null then 0 else (b - a) / greatest(a, b) end, 4) as s from s"
+)
+def silhouette_exact(spark: SparkSession, d: str) -> DataFrame:
+    s = V.silhouette(_emb(spark, d), "vec_id", "embedding", "label")
+    return s.select(F.col("key").alias("vec_id"), "label", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), F.round("s", 4).alias("s"))
+
+
+_ASSIGNED = f"{_CENTRES}, a as (select vec_id, centre, {_COST} as cost from embeddings e cross join cv), r as (select *, row_number() over (partition by vec_id order by cost, centre) as rn from a), near as (select vec_id, centre, cost from r where rn = 1)"
+
+
+@query(f"with {_ASSIGNED} select count(*) as n, round(avg(cost), 4) as cost from near where {_SHARE.format(k='cast(vec_id as varchar)')} < 20")
+def sample_cost(spark: SparkSession, d: str) -> DataFrame:
+    """The average cost of a model over a reproducible fifth of the rows."""
+    n = V.nearest_centres(_emb(spark, d), "vec_id", "embedding", _centres(spark, d))
+    picked = R.md5_share(F.col("key").cast("string")) < 20
+    return n.filter(picked).agg(F.count("*").alias("n")).crossJoin(V.sample_cost(n, picked).select(F.round("cost", 4).alias("cost")))  # one row each
+
+
+@query(
+    f"with {_ASSIGNED}, size as (select centre, count(*) as size from near group by centre), kept as (select centre from size where (select count(*) from size) * size * 100.0 / (select sum(size) from size) >= 100 and size >= 3), "
+    f"under as (select vec_id, min(cost) as cost from a where centre in (select centre from kept) group by vec_id), gap as (select x.centre, min({_COST.replace('e.embedding', 'x.v').replace(', v)', ', y.v)')}) as far from cv x cross join cv y where x.centre not in (select centre from kept) and y.centre in (select centre from kept) group by x.centre) "
+    "select centre, true as kept from kept union all select centre, false from gap where far > (select avg(cost) from under) * 1.1"
+)
+def cluster_rejoin(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of the revised model: large clusters, and dropped centres that lie far from all of these."""
+    centres = _centres(spark, d)
+    sizes = V.revise_clusters(V.nearest_centres(_emb(spark, d), "vec_id", "embedding", centres), 100, 3)
+    kept = {r.centre for r in sizes.filter("kept").collect()}  # as many as clusters
+    final = V.rejoin_centres(_emb(spark, d), "vec_id", "embedding", centres, kept, 1.1)
+    return spark.createDataFrame([(c, c in kept) for c in final], "centre int, kept boolean")
+
+
+def _curve_sql(order: str) -> str:
+    return (
+        "with t as (select ngram, max(tf) as tf, max(case when regexp_matches(trim(cvalue), '^[+-]?[0-9]+([.][0-9]+)?$') then try_cast(cvalue as double) end) as cv, max(case when type = 'train' then 1 else 0 end) as hit from k20all where ngram is not null and tf is not null group by ngram), "
+        f"r as (select *, row_number() over (order by {order}, ngram) as place, sum(hit) over (order by {order}, ngram) as found, count(*) over () as n, sum(hit) over () as hits from t), l as (select *, (place * 100 // n) // 5 as level from r), "
+        "f as (select level, min(place) as place, arg_min(found, place) as found, max(hits) as hits, max(n) as n from l where level between 1 and 40 group by level) select cast(level as bigint) as level, place, round(found / place, 6) as precision, round(cast(hits as double) / n, 6) as random, round((found / place) / (cast(hits as double) / n), 6) as over_random from f"
+    )
+
+
+def _curve(spark: SparkSession, d: str, order: list) -> DataFrame:
+    t = table(spark, d, "k20all").filter("ngram is not null and tf is not null")
+    value = F.when(F.trim("cvalue").rlike(r"^[+-]?[0-9]+([.][0-9]+)?$"), F.col("cvalue").try_cast("double"))
+    u = t.groupBy("ngram").agg(F.max("tf").alias("tf"), F.max(value).alias("cv"), F.max(F.when(F.col("type") == "train", 1).otherwise(0)).alias("hit"))
+    share = u.agg(F.avg("hit")).first()[0] or 0.0
+    c = V.rank_curve(u, [*order, F.asc("ngram")], F.col("hit") == 1)
+    over = F.col("precision") / share if share else F.lit(None).cast("double")
+    return c.select(F.col("level").cast("bigint").alias("level"), "place", F.round("precision", 6).alias("precision"), F.lit(round(share, 6)).alias("random"), F.round(over, 6).alias("over_random"))
+
+
+@query(_curve_sql("1.0 / tf"))
+def rank_curve_by_tf(spark: SparkSession, d: str) -> DataFrame:
+    """Precision by rank of the inverse frequency, against a random ranking."""
+    return _curve(spark, d, [F.asc(F.lit(1.0) / F.col("tf"))])
+
+
+@query(_curve_sql("1.0 / (1 + abs(coalesce(cv, 0)))"))
+def rank_curve_by_cvalue(spark: SparkSession, d: str) -> DataFrame:
+    """Precision by rank of the inverse C-value, against a random ranking."""
+    return _curve(spark, d, [F.asc(F.lit(1.0) / (1 + F.abs(F.coalesce("cv", F.lit(0.0)))))])
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -103,33 +180,39 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Training cost and size of k-means models over a range of k, with fixed seeds."""
+    """Least training cost of several runs, and size of the smallest cluster, over a range of k; seeds are fixed."""
     from pyspark.ml.clustering import KMeans
 
-    v = _vectors(spark, d).cache()
+    v = cut(_vectors(spark, d))
     rows = []
-    for k in (5, 10):
-        m = KMeans(k=k, seed=7, maxIter=20).fit(v)
-        rows.append((k, float(m.summary.trainingCost), int(min(m.summary.clusterSizes))))
-    return spark.createDataFrame(rows, "k int, cost double, smallest int")
+    for k in range(4, 13, 4):
+        runs = [KMeans(k=k, seed=seed, maxIter=20).fit(v).summary for seed in (7, 11, 13)]
+        best = min(runs, key=lambda x: x.trainingCost)
+        rows.append((k, len(runs), float(best.trainingCost), int(min(best.clusterSizes))))
+    return spark.createDataFrame(rows, "k int, runs int, cost double, smallest int")
 
 
 @query()
-def pca_project(spark: SparkSession, d: str) -> DataFrame:
+def pca_project(spark: SparkSession, d: str, share: float = 0.5) -> DataFrame:
+    """Vectors on as many principal components as hold ``share`` of the variance."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
-    v = _vectors(spark, d)
-    return PCA(k=4, inputCol="features", outputCol="p").fit(v).transform(v).select("vec_id", vector_to_array("p").alias("p"))
+    v = cut(_vectors(spark, d))
+    held = PCA(k=len(v.first().features), inputCol="features", outputCol="p").fit(v).explainedVariance.toArray().cumsum()
+    k = int((held < share).sum()) + 1
+    return PCA(k=k, inputCol="features", outputCol="p").fit(v).transform(v).select("vec_id", vector_to_array("p").alias("p"))
 
 
 @query()
 def tree_classify(spark: SparkSession, d: str) -> DataFrame:
-    """A classification tree on the vectors, judged on held-out rows."""
+    """A classification tree on the vectors, its depth chosen by cross-validation, judged on held-out rows."""
     from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    v = _vectors(spark, d).withColumn("test", R.hash_split(F.col("vec_id"), 30))
-    m = DecisionTreeClassifier(maxDepth=8, seed=7).fit(v.filter("not test"))
+    v = cut(_vectors(spark, d).withColumn("test", R.hash_split(F.col("vec_id"), 30)))
+    tree = DecisionTreeClassifier(seed=7)
+    grid = ParamGridBuilder().addGrid(tree.maxDepth, [3, 8]).build()
+    m = CrossValidator(estimator=tree, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(), numFolds=3, seed=7).fit(v.filter("not test"))
     return m.transform(v.filter("test")).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("right"))
-
-
