@@ -103,3 +103,33 @@ def split_new_roots(edges: DataFrame, copies: bool = False) -> DataFrame:
     if not copies:
         return j.filter("n = 1").select("child", "parent")
     return j.select(F.when(F.col("n") > 1, F.concat("child", F.lit("@"), "parent")).otherwise(F.col("child")).alias("child"), "parent")
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """``(node, layer)``: 0 for nodes without parents, else one more than the highest parent; -1 on and
+    below cycles.
+
+    Layer by layer, a node comes once all its parents have: a round joins the newest layer only. A
+    graph has as many rounds as layers.
+    """
+    e = cut(edges.filter("child is not null and parent is not null and child <> parent").select("child", "parent").distinct())
+    nodes = cut(degrees(e).select("node", "parents"))
+    newest = nodes.filter("parents = 0").select("node")
+    done = cut(newest.withColumn("layer", F.lit(0)))
+    waiting = cut(nodes.filter("parents > 0"))
+    k = 0
+    while not newest.isEmpty():
+        k += 1
+        come = newest.join(e, F.col("node") == F.col("parent")).groupBy(F.col("child").alias("node")).agg(F.count("*").alias("come"))
+        left = cut(meet(waiting, cut(come), ["node"], "left").select("node", (F.col("parents") - F.coalesce("come", F.lit(0))).alias("parents")))
+        newest = left.filter("parents = 0").select("node")
+        done = cut(done.unionByName(newest.withColumn("layer", F.lit(k))))
+        waiting = left.filter("parents > 0")
+    return done.unionByName(waiting.select("node", F.lit(-1).alias("layer")))
+
+
+def relays(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(child, parent, relays)``: how many vertices an edge needs in the layers that it passes."""
+    low, high = placed.select(F.col("node").alias("child"), F.col("layer").alias("lc")), placed.select(F.col("node").alias("parent"), F.col("layer").alias("lp"))
+    j = edges.select("child", "parent").distinct().join(low, "child").join(high, "parent").filter("lc > 0 and lp >= 0")
+    return j.select("child", "parent", (F.col("lc") - F.col("lp") - 1).alias("relays"))

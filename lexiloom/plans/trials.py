@@ -122,6 +122,12 @@ def isa_grouping(spark: SparkSession, d: str) -> DataFrame:
     return G.group_under_roots(_edges(spark, d))
 
 
+@query()
+def isa_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Layers of the is-a graph; longest ways are not for recursive SQL, and are tested against brute force."""
+    return G.layers(_edges(spark, d))
+
+
 @query("select doc_id, 'page ' || doc_id as title, cast(length(trim(regexp_replace(regexp_replace(text, '<[^<>]{0,30}>', '', 'g'), '\\s+', ' ', 'g'))) as bigint) as n from documents where source = 'wiki' and text is not null")
 def wiki_doc_parse(spark: SparkSession, d: str) -> DataFrame:
     """Documents laid out as a dump and read back: header, body, end mark; tags stripped."""
