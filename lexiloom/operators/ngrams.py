@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
-from ..runtime import spread
+from ..runtime import cut, meet, spread
 
 
 def phrase_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -75,14 +75,17 @@ def context_counts(occurrences: DataFrame, known: DataFrame, window: int = 10) -
 
     A neighbour is a known term that neither lies inside the gram nor holds its start; ``neighbours``
     counts those within ``window`` tokens on either side, ``distance`` sums the nearest distance per
-    place, ``window`` where there is none.
+    place, ``window`` where there is none. ``occurrences`` are read twice and should be materialised.
     """
-    terms = occurrences.join(known.select("gram").distinct(), "gram", "left_semi").select("doc_id", "seg", F.col("start").alias("t_start"))
-    c = occurrences.select("doc_id", "seg", "start", "n", "gram")
-    near = c.join(terms, ["doc_id", "seg"], "left").withColumn(
+    terms = meet(occurrences.select("doc_id", "seg", "start", "gram"), cut(known.select("gram").distinct()), ["gram"]).select("doc_id", "seg", F.col("start").alias("t_start"))
+    # what is further off than the window changes nothing, so places meet terms of their own and the next stretches of its width only
+    band = lambda c: F.floor(F.col(c) / (window + 1)).cast("int")
+    near = terms.withColumn("band", F.explode(F.array(band("t_start") - 1, band("t_start"), band("t_start") + 1)))
+    c = occurrences.select("doc_id", "seg", "start", "n", "gram").withColumn("band", band("start"))
+    met = c.join(near, ["doc_id", "seg", "band"], "left").withColumn(
         "far", F.when((F.col("t_start") < F.col("start")) | (F.col("t_start") >= F.col("start") + F.col("n")), F.abs(F.col("t_start") - F.col("start")))
     )
-    place = near.groupBy("doc_id", "seg", "start", "n", "gram").agg(F.count_if(F.col("far") <= window).alias("inside"), F.least(F.coalesce(F.min("far"), F.lit(window)), F.lit(window)).alias("nearest"))
+    place = met.groupBy("doc_id", "seg", "start", "n", "gram").agg(F.count_if(F.col("far") <= window).alias("inside"), F.least(F.coalesce(F.min("far"), F.lit(window)), F.lit(window)).alias("nearest"))
     return place.groupBy("gram").agg(F.count("*").alias("places"), F.sum("inside").alias("neighbours"), F.sum("nearest").alias("distance"))
 
 

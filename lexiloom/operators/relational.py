@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..runtime import cut, meet
+
 
 def keep_preferred(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row per ``keys`` in ``order``, which must be total; null keys form groups of their own."""
@@ -58,6 +60,27 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(~F.coalesce(condition, F.lit(False)))
 
 
+GROUP_ROWS = 2000  # rows of a group that meet all rows of it in one task
+
+
+def meet_within(df: DataFrame, group: Sequence[str], columns: dict[str, str], per_task: int = GROUP_ROWS) -> DataFrame:
+    """Rows of ``df`` beside all rows of their group, whose ``columns`` get new names.
+
+    A group of more than ``per_task`` rows is parted by a hash of the row: every row goes to each part
+    of the other side, so a large group is spread over tasks. Null groups meet nothing.
+    """
+    group = list(group)
+    sizes = df.groupBy(*group).agg(F.count("*").alias("__size")).filter(F.col("__size") > per_task)
+    large = cut(sizes.withColumn("__parts", F.ceil(F.col("__size") / per_task).cast("int")).drop("__size"))
+    if large.isEmpty():
+        return df.join(df.select(*group, *[F.col(c).alias(n) for c, n in columns.items()]), group)
+    parted = meet(df, large, group, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    left = parted.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    own = F.pmod(F.xxhash64(*df.columns), F.col("__parts")).cast("int").alias("__part")
+    right = parted.select(*group, own, *[F.col(c).alias(n) for c, n in columns.items()])
+    return left.join(right, [*group, "__part"]).drop("__part")
+
+
 def where_given(df: DataFrame, given: dict[str, str | None]) -> DataFrame:
     """``LIKE`` on the columns a pattern is given for; None leaves the column alone. As in SQL, a null
     value is like nothing, not even ``%%``."""

@@ -169,9 +169,9 @@ def long_term_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_type, user_id, ts, json_extract_string(props, '$.device') as device, lag(value) over (partition by user_id order by ts, event_id) as before, round(value, 4) as value from events")
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     """A field of the packed properties, and the value of the user's event before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events")
-    return e.select("event_type", "user_id", "ts", F.get_json_object("props", "$.device").alias("device"), F.lag("value").over(w).alias("before"), F.round("value", 4).alias("value"))
+    e = table(spark, d, "events").select("event_type", "user_id", "ts", "event_id", F.get_json_object("props", "$.device").alias("device"), "value")
+    e = with_previous(e, "user_id", ["ts", "event_id"], ["value"], 1)
+    return e.select("event_type", "user_id", "ts", "device", F.col("value_1").alias("before"), F.round("value", 4).alias("value"))
 
 
 @query("select c_mktsegment, n_name, count(*) as n, round(sum(c_acctbal), 2) as balance, grouping(c_mktsegment) as g_segment, grouping(n_name) as g_nation from customer join nation on n_nationkey = c_nationkey group by rollup (c_mktsegment, n_name)")

@@ -86,9 +86,10 @@ def semi_in(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "content_tag").join(o, "blogid", "left_semi").groupBy("blogid").agg(F.count("*").alias("n"))
 
 
-@query("select distinct o.blogid from tmp_org o left join content_tag c on c.blogid = cast(o.blogid as varchar) where c.blogid is null")
+@query("select distinct o.blogid from tmp_org o left join (select * from content_tag where sab = 'LAYVOC') c on c.blogid = cast(o.blogid as varchar) where c.blogid is null")
 def anti_left_null(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "content_tag").select(F.col("blogid").alias("tagged")).distinct()
+    """Posts without a finding of one source."""
+    c = table(spark, d, "content_tag").filter("sab = 'LAYVOC'").select(F.col("blogid").alias("tagged")).distinct()
     return table(spark, d, "tmp_org").select("blogid").distinct().join(c, F.col("blogid").cast("string") == F.col("tagged"), "left_anti")
 
 
@@ -125,11 +126,11 @@ def update_flag_or(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", (F.coalesce("hit", F.lit(False)) | (F.col("c_mktsegment") == "BUILDING")).alias("flag"))
 
 
-@query("select count(*) as n from (select a.cui1, a.cui2, b.cui1 as x from (select distinct cui1, cui2 from content_tag_compare_only_our where cui1 is not null and cui2 is not null) a join (select distinct cui1, cui2 from content_tag_compare_only_our where cui1 is not null and cui2 is not null) b on (a.cui1 = b.cui2 and a.cui2 = b.cui1) or (a.cui1 = b.cui1 and a.cui2 = b.cui2))")
+@query("select cui1, cui2, x1, x2 from (select a.cui1, a.cui2, b.cui1 as x1, b.cui2 as x2 from (select distinct cui1, cui2 from content_tag_compare_only_our where cui1 is not null and cui2 is not null) a join (select distinct cui1, cui2 from content_tag_compare_only_our where cui1 is not null and cui2 is not null) b on (a.cui1 = b.cui2 and a.cui2 = b.cui1) or (a.cui1 = b.cui1 and a.cui2 = b.cui2))")
 def undirected_edge_match(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "content_tag_compare_only_our").filter("cui1 is not null and cui2 is not null").select("cui1", "cui2").distinct()
     f = e.select(F.col("cui1").alias("x1"), F.col("cui2").alias("x2"))
-    return R.undirected_join(e, f, ("cui1", "cui2"), ("x1", "x2")).agg(F.count("*").alias("n"))
+    return R.undirected_join(e, f, ("cui1", "cui2"), ("x1", "x2")).select("cui1", "cui2", "x1", "x2")
 
 
 @query("select count(*) as n from bioportal where not coalesce(cui is null and length(org_str) < 30, false)")
@@ -152,7 +153,7 @@ def direct_or_related(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select id, numanswers from tmp_org_yahoo where id > 100 order by id, numanswers limit 50")
 def keyset_page(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tmp_org_yahoo").filter("id > 100").select("id", "numanswers").orderBy("id", "numanswers").limit(50)
+    return table(spark, d, "tmp_org_yahoo").filter("id > 100").select("id", "numanswers").orderBy("id", "numanswers").limit(50)  # the page is the feature
 
 
 @query("select quarter, count(*) as n, min(o_orderkey) as low, max(o_orderkey) as high from (select o_orderkey, cast(floor((o_orderkey - lo) * 4.0 / (hi - lo + 1)) as bigint) as quarter from orders cross join (select min(o_orderkey) as lo, max(o_orderkey) as hi from orders)) group by quarter")
@@ -177,19 +178,19 @@ def theta_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return c.join(o, on).filter(F.col("cui") != F.col("other")).select("id", "cui", "other")
 
 
-@query("with h as (select distinct blogid, cui from content_tag where cui is not null) select a.cui as cui_a, b.cui as cui_b, count(*) as n from h a join h b on a.blogid = b.blogid and a.cui < b.cui group by 1, 2 having count(*) >= 2")
+@query("with h as (select distinct blogid, cui from content_tag where cui is not null) select a.cui as cui_a, b.cui as cui_b, count(*) as n from h a join h b on a.blogid = b.blogid and a.cui < b.cui group by 1, 2")
 def concept_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    """Concepts of one post, pair by pair; pairs of a post are bounded by its distinct concepts."""
+    """Concepts of one post, pair by pair; a post of very many concepts is spread over tasks."""
     h = table(spark, d, "content_tag").filter("cui is not null").select("blogid", "cui").distinct()
-    a, b = h.select("blogid", F.col("cui").alias("cui_a")), h.select("blogid", F.col("cui").alias("cui_b"))
-    return a.join(b, "blogid").filter("cui_a < cui_b").groupBy("cui_a", "cui_b").agg(F.count("*").alias("n")).filter("n >= 2")
+    met = R.meet_within(h.withColumnRenamed("cui", "cui_a"), ["blogid"], {"cui_a": "cui_b"})
+    return met.filter("cui_a < cui_b").groupBy("cui_a", "cui_b").agg(F.count("*").alias("n"))
 
 
 @query("select distinct a.blogid, a.sentenceindex, a.tui as tui_a, b.tui as tui_b from content_tag a join content_tag b on a.blogid = b.blogid and a.sentenceindex = b.sentenceindex and a.tui > b.tui")
 def type_conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
     on = ["blogid", "sentenceindex"]
     t = table(spark, d, "content_tag").select(*on, "tui").distinct()
-    return t.withColumnRenamed("tui", "tui_a").join(t.withColumnRenamed("tui", "tui_b"), on).filter("tui_a > tui_b").select("blogid", "sentenceindex", "tui_a", "tui_b").distinct()
+    return R.meet_within(t.withColumnRenamed("tui", "tui_a"), on, {"tui_a": "tui_b"}).filter("tui_a > tui_b").select("blogid", "sentenceindex", "tui_a", "tui_b").distinct()
 
 
 @query("select * from (select target, min(cui) as cui, count(distinct cui) as n from content_tag where cui is not null and tui in (select tui from content_tag group by tui having count(*) > 10) group by target) order by target")

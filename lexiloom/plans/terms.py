@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import ngrams as N
-from ..runtime import table
+from ..runtime import cut, table
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -69,7 +69,7 @@ def ngram_tfdf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_GRAMS}, {_NEST} select gram, tf, df, nested_tf, containers, round(cvalue, 6) as cvalue from cval order by cvalue desc, gram limit 200")
 def ngram_cvalue_topk(spark: SparkSession, d: str) -> DataFrame:
-    f = N.ngram_frequencies(_texts(spark, d), "doc_id", "text").filter("tf >= 2")
+    f = cut(N.ngram_frequencies(_texts(spark, d), "doc_id", "text").filter("tf >= 2"))
     c = N.c_value(N.nesting(f)).orderBy(F.desc("cvalue"), "gram").limit(200)
     return c.select("gram", "tf", "df", "nested_tf", "containers", F.round("cvalue", 6).alias("cvalue"))
 
@@ -86,7 +86,7 @@ def bow_vocab_index(spark: SparkSession, d: str) -> DataFrame:
     "select gram, count(*) as places, cast(sum(inside) as bigint) as neighbours, cast(sum(nearest) as bigint) as distance from place group by gram having count(*) >= 3"
 )
 def context_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    occ = N.ngram_occurrences(_texts(spark, d), "doc_id", "text")
+    occ = cut(N.ngram_occurrences(_texts(spark, d), "doc_id", "text"))
     known = occ.filter("n = 1").groupBy("gram").agg(F.count_distinct("doc_id").alias("df")).filter("df >= 30")
     return N.context_counts(occ, known).filter("places >= 3")
 

@@ -195,6 +195,14 @@ def test_meeting_of_hot_keys(spark):
         assert meet(rows, lookup, ["k"], "left", most).count() == 202
 
 
+def test_large_groups_meet_in_parts(spark):
+    rows = [("a", i) for i in range(60)] + [("b", 1), ("b", 2), (None, 5)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    want = sorted((g, i, j) for g, i in rows for h, j in rows if g is not None and g == h)
+    for per in (7, 1000):
+        assert sorted(map(tuple, R.meet_within(df, ["g"], {"i": "j"}, per).select("g", "i", "j").collect())) == want
+
+
 def test_next_row_of_a_hot_group(spark):
     rows = [("a" if i % 3 else None, f"{i:03}") for i in range(200)] + [("b", "x")]
     got = {(r.g, r.t): r.n for r in O.with_next(spark.createDataFrame(rows, "g string, t string"), ["g", "t"], "t", "n", ["g"]).collect()}
