@@ -253,3 +253,14 @@ def test_message_learned_from_its_template(spark):
     docs += [(40 + i, page(i, "This leaf fell off the shelf. Kindly use the site map below.")) for i in range(1, 5)] + [(30, "I slept well. My knee is fine."), (31, "My leaf fell. Kindly use the site map below.")]
     got = {r.doc_id: (r.kind, r.evidence) for r in residue_evidence(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert set(got.values()) == {("error_page", "page template")} and set(got) == {*range(1, 28), *range(41, 45)}
+
+
+def test_messages_hold_a_trigger():
+    said = [
+        "comments are loaded by a script.", "turn on script", "scripts are off", "please run script", "scripting on", "noscript", "supported browsers", "outdated browser", "enable cookies", "javascript", "script is blocked", "requires script.",
+        "404 page", "error code 418", "511 service.", "418 internal", "page you asked for", "page does not exist", "page can't be found", "couldn't load", "unable to reach", "access was denied", "no permission", "not authorized", "internal server error",
+        "bad gateway", "gateway time-out", "request timed out", "too many requests", "service is temporarily unavailable", "session has expired", "something went wrong", "parse error", "fatal:", "warning: x", "undefined index", "on line 8",
+        "has been moved", "moved or removed", "not writable", "under maintenance", "down for upkeep", "seite wurde nicht gefunden", "page introuvable", "no se encuentra la página", "página não encontrada", "página no encontrada",
+        "acceso denegado", "zugriff verweigert", "accès refusé", "acesso negado", "erreur", "fehler 7", "oops", "sample text", "body copy", "text to follow", "content coming", "layout only", "will appear in this", "asdfgh", "replace before launch", "text goes here",
+    ]
+    assert [x for x in said if templates._said(x) is None] == []
