@@ -87,17 +87,20 @@ def _any(text: Column, kind: str, patterns: tuple[str, ...]) -> Column:
     return found
 
 
-def markup_kinds(text: Column) -> Column:
-    """Sorted array of ``html``, ``latex``, ``markdown``, ``wiki`` found in ``text``; empty for null.
+def markup_kinds(fields: DataFrame, text: str, into: str) -> DataFrame:
+    """``fields`` with ``into``: a sorted array of ``html``, ``latex``, ``markdown``, ``wiki`` found in ``text``; empty for null.
 
     List signs belong to the kind of the text around them: to wiki where its other signs stand,
-    to Markdown where no other kind does.
+    to Markdown where no other kind does. Each step is a column of its own, so that it is computed once.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    html, latex, wiki = _any(t, "html", _HTML), _any(t, "latex", _LATEX), _any(t, "wiki", _WIKI)
-    markdown = _any(t, "markdown", _MARKDOWN) | (t.rlike(_LIST) & ~(html | latex | wiki))
-    kinds = F.array(*[F.when(c, F.lit(k)) for k, c in (("html", html), ("latex", latex), ("markdown", markdown), ("wiki", wiki))])
-    return F.array_compact(kinds)
+    out = fields.withColumn("__t", F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
+    t = F.col("__t")
+    for kind, patterns in (("html", _HTML), ("latex", _LATEX), ("wiki", _WIKI)):
+        out = out.withColumn(f"__{kind}", _any(t, kind, patterns))
+    other = F.col("__html") | F.col("__latex") | F.col("__wiki")
+    out = out.withColumn("__markdown", _any(t, "markdown", _MARKDOWN) | (~other & t.rlike(_LIST)))
+    kinds = F.array(*[F.when(F.col(f"__{k}"), F.lit(k)) for k in ("html", "latex", "markdown", "wiki")])
+    return out.withColumn(into, F.array_compact(kinds)).drop("__t", "__html", "__latex", "__wiki", "__markdown")
 
 
 _HTML_STEPS = (
@@ -278,8 +281,7 @@ def strip_markup(fields: DataFrame, host: str, key: list[str], text: str) -> Dat
     texts keep null with no kinds; a null host is a host of its own; repeated rows count once.
     """
     base = fields.select(*key, F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("raw")).withColumn("slot", F.xxhash64(*key))
-    base = spread(base, "slot").withColumn("found", markup_kinds(F.col("raw")))
-    base = clean_column(base, "raw", "found", "clean").withColumn("page", F.xxhash64(F.coalesce("host", F.lit("")), "clean"))
+    base = clean_column(markup_kinds(spread(base, "slot"), "raw", "found"), "raw", "found", "clean").withColumn("page", F.xxhash64(F.coalesce("host", F.lit("")), "clean"))
     base = cut(base.select(*key, "host", "found", "clean", "page"))  # rewritten once, read for suffixes and rows
     spans = boilerplate_spans(base, "host", "page", "clean").groupBy("page").agg(F.collect_list(F.struct("start", "tokens")).alias("s"))
     spans = cut(spans.select("page", F.col("s.start").alias("starts"), F.col("s.tokens").alias("sizes")))

@@ -99,7 +99,7 @@ MARKUP = {
 
 def test_markup_kinds(spark):
     texts = list(MARKUP)
-    got = {r.i: r.k for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", markup_kinds(F.col("t")).alias("k")).collect()}
+    got = {r.i: r.k for r in markup_kinds(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "k").collect()}
     for i, t in enumerate(texts):
         assert got[i] == MARKUP[t], t
 
