@@ -168,12 +168,12 @@ def judge_open_ends(texts: DataFrame, key: str, column: str, counts: DataFrame,
     asked = open_.select("key", "o.broken", "o.w", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"o.{k}").alias("ctx")) for k in (*_KINDS, "S")])).alias("q"))
     asked = asked.select("key", "broken", "w", "q.kind", "q.ctx").filter("ctx is not null")
     # contexts are distinct when they meet their counts, and even when these come back to the texts
-    known = cut(asked.select("ctx").distinct().join(counts, "ctx"))
+    known = cut(asked.select("ctx").distinct().join(counts, "ctx"))  # counted and joined
     got = meet(asked, known, ["ctx"], "left")
     per = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
     wide = got.groupBy("key", "broken", "w").agg(*[per(k, c).alias(f"{k}_{c}") for k in (*_KINDS, "S") for c in _COUNTS])
     # how much longer words that begin like the last word are used: beginnings of the lengths that are asked for
-    last = cut(open_.select(F.col("o.w").alias("w")).distinct())
+    last = open_.select(F.col("o.w").alias("w")).distinct()
     lengths = sorted(r[0] for r in last.select(F.length("w")).distinct().collect())  # as many as lengths of words
     used = counts.filter(F.col("ctx").startswith("C ")).select(F.expr("substring(ctx, 3)").alias("v"), (F.col("mid") + F.col("brk") + F.col("end")).alias("n")).filter("n > 0")
     begins = used.select(F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: k < F.length("v")), lambda k: F.substring(F.col("v"), F.lit(1), k))).alias("w"), "n")
