@@ -121,7 +121,21 @@ def compile_rule(pattern: str) -> str:
 
 def compile_rules(rules: Sequence[tuple[int, str, str]] = RULES) -> list[tuple[str, str]]:
     """``(name, expression)`` in the order in which they are tried."""
-    return [(name, compile_rule(pattern)) for _, _, name, pattern in sorted((stage, i, name, pattern) for i, (stage, name, pattern) in enumerate(rules))]
+    return [(name, compile_rule(pattern)) for name, pattern in _in_order(rules)]
+
+
+def _in_order(rules: Sequence[tuple[int, str, str]]) -> list[tuple[str, str]]:
+    return [(name, pattern) for _, _, name, pattern in sorted((stage, i, name, pattern) for i, (stage, name, pattern) in enumerate(rules))]
+
+
+def _meets(e: Column, pattern: str) -> Column:
+    """Whether an encoded sentence meets a rule; the words that the rule cannot do without are looked for first."""
+    needed = {"$EXCEPT": "except", "$AFTER": "after"}
+    words = [needed.get(p, p) for p in pattern.split() if p in needed or p.isalpha() and p not in ("DUR", "_")]
+    out = F.lit(True)
+    for w in words:
+        out = out & e.contains(w + " ")
+    return out & e.rlike(compile_rule(pattern))
 
 
 def compile_quantity(name: str, pattern: str) -> tuple[str, str]:
@@ -213,8 +227,9 @@ def match_patterns(rows: DataFrame, rules: Sequence[tuple[int, str, str]] = RULE
     """
     e = rows.select("doc_id", "sent", "label", "s", encode(F.col("s")).alias("e")).filter(F.col("e").contains("dur#"))
     name = None
-    for rule, p in compile_rules(rules):
-        name = F.when(F.col("e").rlike(p), rule) if name is None else name.when(F.col("e").rlike(p), rule)
+    for rule, p in _in_order(rules):
+        hit = _meets(F.col("e"), p)
+        name = F.when(hit, rule) if name is None else name.when(hit, rule)
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("s"), r"[^\p{L}\p{N}<>=/ -]", " "), r"([<>=/])", " $1 "), " +", " ")
     part = lambda k: F.regexp_extract("flat", DURATION, k)
     # exploded, so that no filter brings the rules into the plan a second time

@@ -120,6 +120,18 @@ def test_tables_and_lexicon_files(spark, tmp_path):
     assert [(r.tid, r.criteria) for r in rows.collect()] == [("1", "a, b"), ("2", "c")]
 
 
+def test_database_read_in_ranges(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no database driver here")
+    spark.range(50).selectExpr("id as k", "cast(id * 2 as double) as v").write.jdbc(url, "t", properties={"driver": driver})
+    got = files.read_database(spark, url, "t", "k", 0, 50, 3, driver=driver)
+    assert got.rdd.getNumPartitions() == 3 and got.count() == 50 and got.agg(F.sum("v")).first()[0] == 2450.0
+
+
 def test_empty_criteria(spark):
     t = spark.createDataFrame([], "doc_id int, text string")
     rows = C.criteria_rows(t, "doc_id", "text")
