@@ -27,7 +27,7 @@ def test_found_columns(spark):
     want = {"p2_found": ["id", "defect"], "p3_found": ["tbl", "row_id", "field", "kind"], "p5_found": ["tbl", "id"], "p6_found": ["code_a", "code_b"], "p8_found": ["doc_id", "item_id"], "p10_found": ["doc_id", "kind"]}
     for name, cols in want.items():
         df = q[name](spark, DATA)
-        assert df.columns == cols and df.count() >= 0
+        assert df.columns == cols and (df.count() > 0 or name == "p8_found")
 
 
 @settings(max_examples=60, deadline=None)
@@ -145,6 +145,18 @@ def test_block_shifts_like_brute_force(items, text):
     assert automaton.hits(text) == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("ab"), min_size=10, max_size=24), st.lists(st.sampled_from("abc"), max_size=60))
+def test_chains_like_all_pieces(item, text):
+    diagonals = set(range(-len(item), len(text)))
+    pieces = sorted(p for d in diagonals for p in leaks.pieces_on(text, item, d) if not leaks.changed_too_much(text, item, p))
+    best = []
+    for i, (a, b, n) in enumerate(pieces):
+        before = max([best[j] - max(0, c + m - a, d + m - b) for j, (c, d, m) in enumerate(pieces[:i]) if c < a and d < b], default=0)
+        best.append(n + max(before, 0))
+    assert held(text, item, diagonals) == max(best, default=0)
+
+
 def test_leaks(spark):
     item = "a tall man of forty walks into the ward with a red ear and two cold hands after eating much old cheese at home last night"
     other = "one short girl runs out of a green house because her small dog barks at every white car that drives by in the rain"
@@ -264,3 +276,21 @@ def test_messages_hold_a_trigger():
         "acceso denegado", "zugriff verweigert", "accès refusé", "acesso negado", "erreur", "fehler 7", "oops", "sample text", "body copy", "text to follow", "content coming", "layout only", "will appear in this", "asdfgh", "replace before launch", "text goes here",
     ]
     assert [x for x in said if templates._said(x) is None] == []
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names."""
+    long = "word, " * 100_000 + "{{name}} " + "<b>x</b> " * 20_000
+    rows = [(1, None, None), (None, "x", "some text. And more"), (2, "", ""), (3, "h", long), (3, "h", long), (4, None, "x" * 200_000), (5, "h", "404 not found 😀"), (6, "h", "\x00\x02  , , . ."), (6, "h", None)]
+    df = spark.createDataFrame(rows, "id long, host string, t string")
+    for c in ("doc_id", "text", "kind", "clean", "kinds", "page", "key", "a", "q", "len", "defect", "term", "frame", "mark", "words_held"):
+        df = df.withColumn(c, F.lit("clash"))
+    assert {r.doc_id: r.kind for r in find_residue(df, "id", "t").collect()} == {3: "placeholder", 5: "error_page"}
+    clean = {r.id: r for r in strip_markup(df, "host", ["id"], "t").collect()}
+    assert clean[3].kinds == ["html", "wiki"] and clean[2].kinds == [] and None in clean
+    assert {r.key: r.defect for r in find_defects(df, "id", "host", "t").collect()}[2] == "empty"
+    assert cut_sentences(df.withColumn("src", F.lit(None).cast("string")), ["src"], "id", "t", ["host"]).count() >= 0
+    assert cut_terms(df.withColumn("src", F.lit("s")), ["src"], "id", "host", "t").count() >= 0
+    items = spark.createDataFrame([(1, "word " * 30), (None, "word " * 30), (2, None)], "id long, t string").withColumn("doc_id", F.lit(7))
+    assert {(r.doc_id, r.item_id) for r in find_leaks(df, items, "id", "t", "id", "t").collect()} <= {(3, 1)}
+    assert template_slots(df.limit(0), "id", "t").count() == 0
