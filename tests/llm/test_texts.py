@@ -186,6 +186,52 @@ def test_leaks_in_passes_of_any_size(spark, monkeypatch):
         assert set(got) == want and len(got) == len(want), size
 
 
+def test_leaks_of_shared_windows(spark):
+    case = "a tall man of forty walks into the ward with a red ear and two cold hands after much old cheese"
+    ask = "which of these findings should a doctor look for first of all"
+    items = [(1, case), *((k, f"{case} in town w{k} by road w{k}a") for k in (2, 3, 4)), *((10 + k, f"girl g{k} runs out of house h{k} with dog d{k} at noon n{k} {ask}") for k in range(3))]
+    girl = items[4][1].split()
+    # the whole of a text whose every window others have; a stock question moved off its own words, and alone
+    docs = [(1, f"Look: {case}."), (2, " ".join([*girl[:8], "and", "so", ask])), (3, f"Look: {ask}?")]
+    got = {(r.doc_id, r.item_id): r.words_held for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {**{(1, k): 21 for k in (1, 2, 3, 4)}, (2, 10): 20}
+
+
+def test_leaks_like_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    stock = [[rng.choice("abcdefgh") for _ in range(n)] for n in (9, 12, 15)]
+    some = lambda n: [rng.choice("abcdefghijkl") for _ in range(n)]
+    items = [(k, [*some(rng.randint(4, 20)), *rng.choice(stock), *some(rng.randint(0, 9))]) for k in range(30)]
+    docs = []
+    for d in range(150):
+        w = list(rng.choice(items)[1])
+        a = rng.randrange(len(w))
+        w = [*w[a:], *some(rng.randint(0, 3)), *w[:a]] if rng.random() < 0.5 else [*w[:a], *some(rng.randint(0, 3)), *w[a:]]
+        docs.append((d, [*some(5), *(x if rng.random() < 0.9 else "z" for x in w), *some(5)]))
+    shared = lambda run: len({tuple(w) for _, w in items if any(w[p : p + len(run)] == run for p in range(len(w)))}) >= 3
+    want = set()
+    for d, w in docs:
+        for k, item in items:
+            best, best_own, chains = 0, 0, []
+            for a, b, n in sorted({p for x in range(-len(item), len(w)) for p in leaks.pieces_on(w, item, x) if not leaks.changed_too_much(w, item, p)}):
+                is_own = any(item[p : p + q] == w[p + b - a : p + b - a + q] and not shared(item[p : p + q]) for q in (4, 8, 16, 32) for p in range(a, a + n - q + 1))
+                before = [(g - max(0, c + m - a, e + m - b), o and o - max(0, c + m - a, e + m - b)) for c, e, m, g, o in chains if c < a and e < b]
+                got = n + max([g for g, _ in before], default=0)
+                own = got if is_own else max([n + o for _, o in before if o], default=0)
+                chains.append((a, b, n, got, own))
+                best, best_own = max(best, got), max(best_own, own)
+            whole = []
+            for a, b, n in sorted({p for x in range(-len(item), len(w)) for p in leaks.pieces_on(w, item, x, 0)}):
+                whole.append((a, b, n, n + max([g - max(0, c + m - a, e + m - b) for c, e, m, g in whole if c < a and e < b], default=0)))
+            if best_own * 3 >= len(item) or max([x[3] for x in whole], default=0) * 2 > len(item):
+                want.add((d, k, best, len(item)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    for size in (100, 500_000):
+        monkeypatch.setattr(leaks, "WORDS_PER_PASS", size)
+        assert sorted(map(tuple, find_leaks(*df).collect())) == sorted(want)
+    assert len(want) > 150
+
+
 def test_residue(spark):
     docs = [
         (1, "Hello {{first_name}}! Your next visit is due."), (2, "My file lists {low, high} and {1, 2, 3} and I like that [name withheld]."), (3, "Lorem ipsum dolor sit amet, consectetur adipiscing elit."),
