@@ -4,8 +4,9 @@ One pass over the texts cuts each into segments and finds the places that may be
 variables, default values, blanks. A second pass aligns the records: what all texts hold between
 the same words as such a place are the values of one slot of one template, and a slot whose records
 differ there is unfilled where it keeps its variable, default or blank. Whole pages are judged by
-their segments: segments that repeat over pages with a message are the template around it, and an
-unknown segment that pages hold with nothing but such a template is a message of its own.
+their segments: segments that repeat over pages with a message are the template around it, and
+unknown segments that pages of any length hold with nothing but such a template are a message of
+their own.
 """
 
 from __future__ import annotations
@@ -313,7 +314,9 @@ def whole_pages(scanned: DataFrame) -> DataFrame:
     """``(doc_id, kind, template)`` of texts that are nothing but filler, an error page or a script notice.
 
     ``template`` is set where the message or what stands around it repeats over ``PAGES`` distinct
-    pages. Copies of a page count as one.
+    pages. Copies of a page count as one. A message that no phrase tells of is all the segments that
+    a page holds beside the template; the same ones must stand so on ``PAGES`` pages, and each of
+    them hardly elsewhere.
     """
     latin = scanned.filter("latin").select("doc_id", F.lit("filler").alias("kind"), F.lit(False).alias("template"))
     zipped = F.arrays_zip("keys", "said", "plain")
@@ -336,17 +339,19 @@ def whole_pages(scanned: DataFrame) -> DataFrame:
     seeded = page.filter(~F.col("content") & F.col("first").isNotNull()).select("doc_id", kind.alias("kind"), "template")
     # the template of the seeded pages around a message that no phrase tells of
     around = cut(judged.filter(known & F.col("said").isNull() & F.col("plain")).join(seeded.select("doc_id", "kind"), "doc_id").groupBy("k").agg(F.mode("kind", True).alias("kind")))
-    others = scanned.filter("not message and not latin and size(keys) between 2 and 12")
-    seg = others.select("doc_id", "same", F.explode(F.arrays_zip("keys", "plain")).alias("x")).select("doc_id", "same", F.col("x.keys").alias("k"), F.col("x.plain").alias("plain"))
-    seg = meet(seg, around, ["k"], "left")
-    bare = seg.groupBy("doc_id", "same").agg(F.max("kind").alias("kind"), F.count_if(F.col("plain") & F.col("kind").isNull()).alias("unknown"), F.max(F.when(F.col("plain") & F.col("kind").isNull(), F.col("k"))).alias("k"))
-    bare = cut(bare.filter("kind is not null and unknown = 1"))
-    if bare.isEmpty():
+    others = scanned.filter("not message and not latin")
+    beside = cut(meet(others.select("doc_id", "same", F.explode("keys").alias("k")), around, ["k"]).groupBy("doc_id", "same").agg(F.max("kind").alias("kind")))
+    if beside.isEmpty():
         return latin.unionByName(seeded)
-    only = bare.groupBy("k").agg(F.count_distinct("same").alias("bare")).filter(F.col("bare") >= PAGES)
-    total = meet(scanned.select("same", F.explode(F.array_distinct("keys")).alias("k")), cut(only), ["k"]).groupBy("k").agg(F.count_distinct("same").alias("pages"), F.max("bare").alias("bare"))
-    learned_message = cut(total.filter(F.col("bare") >= COMPANION * F.col("pages")).select("k"))
-    return latin.unionByName(seeded).unionByName(meet(bare.select("doc_id", "kind", "k"), learned_message.withColumn("here", F.lit(True)), ["k"]).select("doc_id", "kind", F.lit(True).alias("template")))
+    seg = meet(others, beside, ["doc_id", "same"]).select("doc_id", "same", "kind", F.explode(F.arrays_zip("keys", "plain")).alias("x")).filter("x.plain").select("doc_id", "same", "kind", F.col("x.keys").alias("k"))
+    unknown = meet(seg, around.select("k", F.lit(True).alias("known")), ["k"], "left").filter("known is null")
+    bare = cut(unknown.groupBy("doc_id", "same", "kind").agg(F.sort_array(F.collect_set("k")).alias("unknown")))  # segments of one page
+    only = cut(bare.groupBy("unknown").agg(F.count_distinct("same").alias("pages")).filter(F.col("pages") >= PAGES).select("unknown", F.lit(True).alias("here")))
+    held = cut(meet(bare, only, ["unknown"]).select("same", F.explode("unknown").alias("k")).groupBy("k").agg(F.count_distinct("same").alias("bare")))
+    total = meet(scanned.select("same", F.explode(F.array_distinct("keys")).alias("k")), held, ["k"]).groupBy("k").agg(F.count_distinct("same").alias("pages"), F.max("bare").alias("bare"))
+    says = cut(total.select("k", (F.col("bare") >= COMPANION * F.col("pages")).alias("says")))
+    learned_message = cut(meet(only.select("unknown", F.explode("unknown").alias("k")), says, ["k"]).groupBy("unknown").agg(F.min("says").alias("says")).filter("says"))
+    return latin.unionByName(seeded).unionByName(meet(bare, learned_message, ["unknown"]).select("doc_id", "kind", F.lit(True).alias("template")))
 
 
 def residue_evidence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -313,6 +313,17 @@ def test_message_learned_from_its_template(spark):
     assert set(got.values()) == {("error_page", "page template")} and set(got) == {*range(1, 28), *range(41, 45)}
 
 
+def test_message_learned_on_pages_of_any_length(spark):
+    menu = ["Home", "Forum", "Search", "Help", "Login", "Menu", "Contact", "About", "Imprint", "Back", "Top", "FAQ", "News"]
+    page = lambda i, t: "\n".join([*menu, *(n for k, n in enumerate(menu) if i >> k & 1), t])
+    docs = [(i, page(i, "404 Not Found. Kindly use the site map below.")) for i in range(1, 40)]
+    docs += [(40 + i, page(i, "This leaf fell off the shelf. Kindly use the site map below.")) for i in range(1, 4)]
+    docs += [(50 + i, page(i, "A mouse ate this leaf. We will glue it soon. Kindly use the site map below.")) for i in range(1, 4)]
+    docs += [(60 + i, page(i, f"I slept well on day {n}. My knee is fine. Kindly use the site map below.")) for i, n in ((1, "one"), (2, "two"))]
+    got = {r.doc_id: (r.kind, r.evidence) for r in residue_evidence(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {("error_page", "page template")} and set(got) == {*range(1, 40), *range(41, 44), *range(51, 54)}
+
+
 def test_messages_hold_a_trigger():
     said = [
         "comments are loaded by a script.", "turn on script", "scripts are off", "please run script", "scripting on", "noscript", "supported browsers", "outdated browser", "enable cookies", "javascript", "script is blocked", "requires script.",
