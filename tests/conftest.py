@@ -50,3 +50,15 @@ def same(spark, duck, f, sql):
     got = bag(df.columns, df.collect())
     c = duck.execute(sql)
     assert got == bag([d[0] for d in c.description], c.fetchall())
+
+
+def broadcasts_exploded(df):
+    """Whether the plan broadcasts a side that explodes rows, which Spark sizes as if it did not."""
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    joins = [n for n in nodes(df._jdf.queryExecution().sparkPlan()) if n.nodeName().startswith("BroadcastHashJoin")]
+    return any(n.nodeName() == "Generate" for j in joins for n in nodes(j.left() if j.buildSide().toString() == "BuildLeft" else j.right()))
