@@ -52,6 +52,12 @@ def same(spark, duck, f, sql):
     assert got == bag([d[0] for d in c.description], c.fetchall())
 
 
+def stored(spark, tmp_path, name, rows, schema):
+    """Rows as a Parquet table, whose size Spark knows."""
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+    return spark.read.parquet(str(tmp_path / name))
+
+
 def broadcasts_exploded(df):
     """Whether the plan broadcasts a side that explodes rows, which Spark sizes as if it did not."""
 

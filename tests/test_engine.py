@@ -18,7 +18,7 @@ from lexiloom.runtime import meet
 from lexiloom.sources import files as S
 from lexiloom.streaming import windows as W
 
-from .conftest import broadcasts_exploded
+from .conftest import broadcasts_exploded, stored
 
 
 def test_criterion_splitting():
@@ -189,16 +189,10 @@ def test_vectors(spark):
     assert {r.key: r.centre for r in n.collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
 
 
-def _stored(spark, tmp_path, name, rows, schema):
-    """Rows as a Parquet table, whose size Spark knows."""
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
-    return spark.read.parquet(str(tmp_path / name))
-
-
 def test_grams_of_annotation_are_not_broadcast(spark, tmp_path):
-    docs = _stored(spark, tmp_path, "docs", [(1, "Red knee, red knee hurts"), (2, None)], "id int, s string")
+    docs = stored(spark, tmp_path, "docs", [(1, "Red knee, red knee hurts"), (2, None)], "id int, s string")
     concepts = [("C1", "red knee"), ("C2", "red knee"), ("C3", "hurts"), ("C1", "red knee")] + [(f"D{i}", f"other {i}") for i in range(3000)]
-    lexicon = _stored(spark, tmp_path, "lexicon", concepts, "cui string, norm string")
+    lexicon = stored(spark, tmp_path, "lexicon", concepts, "cui string, norm string")
     a = L.annotate(docs, "id", "s", lexicon)
     assert not broadcasts_exploded(a)
     assert sorted((r.seg, r.start, r.gram, r.cui) for r in a.collect()) == [(0, 1, "red knee", "C1"), (0, 1, "red knee", "C2"), (1, 1, "red knee", "C1"), (1, 1, "red knee", "C2"), (1, 3, "hurts", "C3")]

@@ -13,6 +13,8 @@ from lexiloom.operators import suggestions as S
 from lexiloom.operators import vectors as V
 from lexiloom.sources import files, outputs
 
+from .conftest import broadcasts_exploded, stored
+
 
 def lexicon(spark):
     rows = [("C1", "A1", "S", "knee pain"), ("C2", "A2", "S", "pain"), ("C3", "A3", "LAYVOC", "heart failure"), ("C4", "A4", "S", "left heart")]
@@ -33,6 +35,14 @@ def test_candidates_and_resolution(spark):
     assert S.candidates(df.limit(0), "id", "p").count() == 0
 
 
+def test_candidates_are_not_broadcast(spark, tmp_path):
+    phrases = stored(spark, tmp_path, "phrases", [(1, "the bad knee pain"), (2, None)], "id int, p string")
+    concepts = [("C1", "knee pain"), ("C2", "knee pain"), ("C3", "pain")] + [(f"D{i}", f"other {i}") for i in range(3000)]
+    found = S.resolve(S.candidates(phrases, "id", "p"), stored(spark, tmp_path, "lexicon", concepts, "cui string, norm string"))
+    assert not broadcasts_exploded(found)
+    assert sorted((r.key, r.candidate, r.cui) for r in found.collect()) == [(1, "knee pain", "C1"), (1, "knee pain", "C2")]
+
+
 def test_masks(spark):
     rows = [("p", "C1", "T1", 90.0), ("p", "C1", "T2", 90.0), ("p", "C1", "T3", 90.0), ("p", "C2", "T4", 95.5), ("p", "C3", "T9", 95.9), ("q", "C1", "T2", 10.0), ("q", None, "T1", 1.0), ("p", "C2", "T4", 95.5)]
     rules = [("T2", "T1", "T1"), ("T4", "T1", "T1"), ("T5", "T6", "T6")]
