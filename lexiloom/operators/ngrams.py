@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from ..runtime import cut, meet, spread
@@ -15,6 +15,15 @@ def phrase_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return seg.select("doc_id", "seg", X.phrase_tokens(F.col("s")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
+def spans(tokens: Column, longest: int) -> Column:
+    """``(start, n, w)`` of every stretch of up to ``longest`` tokens that no stop word begins or ends."""
+    starts = F.sequence(F.lit(1), F.size(tokens))
+    every = F.flatten(
+        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i + 1)), lambda n: F.struct(i.alias("start"), n.alias("n"), F.slice(tokens, i, n).alias("w"))))
+    )
+    return F.filter(every, lambda g: ~X.edge_stop_word(g["w"]))
+
+
 def ngram_occurrences(docs: DataFrame, doc_id: str, text: str, longest: int = 3) -> DataFrame:
     """``(doc_id, seg, start, n, gram)``, one row per occurrence.
 
@@ -22,11 +31,7 @@ def ngram_occurrences(docs: DataFrame, doc_id: str, text: str, longest: int = 3)
     not keep longer ones from being formed.
     """
     rows = phrase_rows(docs, doc_id, text)
-    starts = F.sequence(F.lit(1), F.size("tokens"))
-    spans = F.flatten(
-        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("tokens") - i + 1)), lambda n: F.struct(i.alias("start"), n.alias("n"), F.slice("tokens", i, n).alias("w"))))
-    )
-    out = rows.select("doc_id", "seg", F.explode(F.filter(spans, lambda g: ~X.edge_stop_word(g["w"]))).alias("g"))
+    out = rows.select("doc_id", "seg", F.explode(spans(F.col("tokens"), longest)).alias("g"))
     return out.select("doc_id", "seg", "g.start", "g.n", F.array_join("g.w", " ").alias("gram"))
 
 

@@ -43,13 +43,23 @@ def align_explode(spark: SparkSession, d: str) -> DataFrame:
 )
 def bow_cooccur_vector(spark: SparkSession, d: str) -> DataFrame:
     """Every place that is not zero of every gram's bag-of-words vector, as a count and over the gram's frequency; the vocabulary
-    is the reference's: the 10,000 most frequent grams that occur ten times or more."""
-    occ = N.ngram_occurrences(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "seg", "gram")
-    places = cut(occ.groupBy("doc_id", "seg", "gram").agg(F.count("*").alias("times")))
-    freq = cut(places.groupBy("gram").agg(F.sum("times").alias("tf")))
-    voc = meet(places, cut(N.vocabulary(freq, 10, 10_000).select("gram")), ["gram"]).select("doc_id", "seg", F.col("gram").alias("word"))
-    n = places.select("doc_id", "seg", "gram").join(voc, ["doc_id", "seg"]).filter("gram <> word").groupBy("gram", "word").agg(F.count("*").alias("n"))
-    return meet(n, freq, ["gram"]).select("gram", "word", "n", F.round(F.col("n").cast("double") / F.col("tf"), 6).alias("per_place"))
+    is the reference's: the 10,000 most frequent grams that occur ten times or more.
+
+    Only tokens move before grams meet words, which they do inside their stretch, and words are numbers until the
+    end. The counts are merged, as Spark sizes what is made of exploded grams by the scan and would broadcast it; no
+    gram has more places than the vocabulary, so none is hot.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    freq = cut(N.ngram_occurrences(docs, "doc_id", "text").groupBy("gram").agg(F.count("*").alias("tf")))
+    voc = cut(N.vocabulary(freq, 10, 10_000).select("gram", F.col("idx").cast("int").alias("own")))
+    rows = N.phrase_rows(docs.filter("doc_id is not null"), "doc_id", "text").groupBy("doc_id", "seg").agg(F.collect_list("tokens").alias("parts"))
+    grams = F.array_distinct(F.flatten(F.transform("parts", lambda t: F.transform(N.spans(t, 3), lambda g: F.array_join(g["w"], " ")))))
+    held = meet(rows.select("doc_id", "seg", F.explode(grams).alias("gram")), voc, ["gram"], "left")
+    held = held.groupBy("doc_id", "seg").agg(F.collect_list(F.struct("gram", "own")).alias("grams"), F.collect_list("own").alias("words"))
+    pairs = held.select(F.explode("grams").alias("g"), "words").select("g.gram", "g.own", F.explode("words").alias("place")).filter("own is null or own <> place")
+    n = pairs.groupBy("gram", "place").agg(F.count("*").alias("n")).join(freq.hint("merge"), "gram")
+    n = meet(n, voc.select(F.col("own").alias("place"), F.col("gram").alias("word")), ["place"])
+    return n.select("gram", "word", "n", F.round(F.col("n").cast("double") / F.col("tf"), 6).alias("per_place"))
 
 
 @query(

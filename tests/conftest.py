@@ -58,13 +58,18 @@ def stored(spark, tmp_path, name, rows, schema):
     return spark.read.parquet(str(tmp_path / name))
 
 
-def broadcasts_exploded(df):
-    """Whether the plan broadcasts a side that explodes rows, which Spark sizes as if it did not."""
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
 
-    def nodes(plan):
-        yield plan
-        for i in range(plan.children().size()):
-            yield from nodes(plan.children().apply(i))
 
+def broadcast_sides(df):
+    """The sides of joins that the plan broadcasts."""
     joins = [n for n in nodes(df._jdf.queryExecution().sparkPlan()) if n.nodeName().startswith("BroadcastHashJoin")]
-    return any(n.nodeName() == "Generate" for j in joins for n in nodes(j.left() if j.buildSide().toString() == "BuildLeft" else j.right()))
+    return [j.left() if j.buildSide().toString() == "BuildLeft" else j.right() for j in joins]
+
+
+def broadcasts_exploded(df):
+    """Whether the plan broadcasts a side that explodes rows, which Spark sizes as if it did not."""
+    return any(n.nodeName() == "Generate" for side in broadcast_sides(df) for n in nodes(side))

@@ -18,7 +18,7 @@ from lexiloom.runtime import meet
 from lexiloom.sources import files as S
 from lexiloom.streaming import windows as W
 
-from .conftest import broadcasts_exploded, stored
+from .conftest import broadcast_sides, broadcasts_exploded, stored
 
 
 def test_criterion_splitting():
@@ -174,6 +174,18 @@ def test_vector_of_every_gram(spark, tmp_path):
     assert got == want
 
 
+def test_vector_broadcasts_the_vocabulary_alone(spark, tmp_path):
+    rows = [(i, "red knee") for i in range(12)] + [(90, "red knee, red knee hurts red"), (91, "red tea"), (91, "red tea, knee"), (None, "red knee"), (92, None)]
+    stored(spark, tmp_path, "documents.parquet", rows, "doc_id long, text string")
+    v = QUERIES["bow_cooccur_vector"](spark, str(tmp_path))
+    vocabulary = {"red", "knee", "red knee"}
+    sides = " ".join(side.output().mkString(" ") for side in broadcast_sides(v))
+    assert "tf#" not in sides and "doc_id#" not in sides
+    got = {(r.gram, r.word): (r.n, r.per_place) for r in v.collect()}
+    assert {w for _, w in got} == vocabulary and len(got) == len(set(got))
+    assert got["red", "knee"] == (14, round(14 / 18, 6)) and got["hurts", "red"] == (1, 1.0) and got["red tea", "red"] == (1, 0.5) and ("red", "red") not in got
+
+
 def test_vectors(spark):
     e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [5.0, 5.0])], "id long, v array<double>")
     got = [(r.query, r.key, r.place) for r in V.knn(e, e.filter("id = 1"), "id", "v", 2).orderBy("place").collect()]
@@ -206,6 +218,13 @@ def test_meeting_of_hot_keys(spark):
         assert meet(rows, lookup, ["k"], "left", most).count() == 202
 
 
+def test_copies_of_a_large_lookup_are_not_broadcast(spark, tmp_path):
+    rows = stored(spark, tmp_path, "rows", [(i, "hot") for i in range(200)], "i int, k string")
+    lookup = stored(spark, tmp_path, "lookup", [("hot", 1), ("b", 2)], "k string, n int")
+    met = meet(rows, lookup, ["k"], max_rows=1)
+    assert not broadcast_sides(met) and met.count() == 200
+
+
 def test_large_groups_meet_in_parts(spark):
     rows = [("a", i) for i in range(60)] + [("b", 1), ("b", 2), (None, 5)]
     df = spark.createDataFrame(rows, "g string, i int")
