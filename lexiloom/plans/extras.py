@@ -69,12 +69,13 @@ def bow_cooccur_vector(spark: SparkSession, d: str) -> DataFrame:
 def suffix_parents(spark: SparkSession, d: str) -> DataFrame:
     """Findings with the strings of their post and source that theirs ends with, null where there is none.
 
-    A string meets its own suffixes by equality, so no pair of findings is formed.
+    A string meets its own suffixes by equality, so no pair of findings is formed. The two sides are merged: Spark
+    sizes the suffixes, which are exploded, by the scan and would broadcast them.
     """
     t = table(spark, d, "content_tag").filter("target <> ''").select("id", "blogid", "sab", "target")
     p = t.select("blogid", "sab", F.lower("target").alias("suffix"), F.col("target").alias("parent")).distinct()
     ends = F.transform(F.sequence(F.lit(1), F.length("target")), lambda i: F.substring(F.lower("target"), i, F.length("target")))
-    held = t.select("id", "blogid", "sab", "target", F.explode(ends).alias("suffix")).join(p, ["blogid", "sab", "suffix"]).filter("target <> parent").select("id", "parent").distinct()
+    held = t.select("id", "blogid", "sab", "target", F.explode(ends).alias("suffix")).join(p.hint("merge"), ["blogid", "sab", "suffix"]).filter("target <> parent").select("id", "parent").distinct()
     return t.select("id").distinct().join(held, "id", "left")
 
 

@@ -186,6 +186,15 @@ def test_vector_broadcasts_the_vocabulary_alone(spark, tmp_path):
     assert got["red", "knee"] == (14, round(14 / 18, 6)) and got["hurts", "red"] == (1, 1.0) and got["red tea", "red"] == (1, 0.5) and ("red", "red") not in got
 
 
+def test_suffixes_are_not_broadcast(spark, tmp_path):
+    rows = [(1, "b", "S", "left Knee"), (2, "b", "S", "knee"), (3, "b", None, "left knee"), (4, "c", "S", "Knee"), (5, "b", "S", ""), (6, "b", "S", "LEFT knee")]
+    stored(spark, tmp_path, "content_tag.parquet", rows, "id long, blogid string, sab string, target string")
+    s = QUERIES["suffix_parents"](spark, str(tmp_path))
+    assert not any("suffix#" in side.output().mkString(" ") for side in broadcast_sides(s))
+    got = sorted((r.id, r.parent or "") for r in s.collect())
+    assert got == [(1, "LEFT knee"), (1, "knee"), (2, ""), (3, ""), (4, ""), (6, "knee"), (6, "left Knee")]
+
+
 def test_vectors(spark):
     e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [5.0, 5.0])], "id long, v array<double>")
     got = [(r.query, r.key, r.place) for r in V.knn(e, e.filter("id = 1"), "id", "v", 2).orderBy("place").collect()]
